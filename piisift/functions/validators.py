@@ -35,43 +35,52 @@ def _digit_at(digits: Column, pos0: Column) -> Column:
     return F.substring(digits, pos0 + 1, 1).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda-bound variable).
+
+    Inside higher-order functions Spark does not eliminate common
+    subexpressions, so a validator that reads its input many times binds it here.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def luhn_valid(value: Column) -> Column:
     """Luhn check on the digits of ``value`` (13..19 digits)."""
-    # Digits right-to-left, computed once; the fold body only sees (acc, x).
-    rev = F.reverse(F.regexp_extract_all(ascii_digits(value), F.lit("[0-9]"), 0))
-    n = F.size(rev)
 
-    def add(acc: Column, x: Column) -> Column:
-        v = x.cast("int")
-        doubled = F.when(v * 2 > 9, v * 2 - 9).otherwise(v * 2)
-        term = F.when(acc["i"] % 2 == 1, doubled).otherwise(v)
-        return F.struct((acc["i"] + 1).alias("i"), (acc["t"] + term).alias("t"))
+    def check(rev: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            v = x.cast("int")
+            doubled = F.when(v * 2 > 9, v * 2 - 9).otherwise(v * 2)
+            term = F.when(acc["i"] % 2 == 1, doubled).otherwise(v)
+            return F.struct((acc["i"] + 1).alias("i"), (acc["t"] + term).alias("t"))
 
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("t"))
-    total = F.aggregate(rev, init, add, lambda acc: acc["t"])
-    return F.when(n.between(LUHN_MIN_DIGITS, LUHN_MAX_DIGITS), total % 10 == 0).otherwise(F.lit(False))
+        init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("t"))
+        total = F.aggregate(rev, init, add, lambda acc: acc["t"])
+        n = F.size(rev)
+        # CASE evaluates the sum only for plausible lengths.
+        return F.when(n.between(LUHN_MIN_DIGITS, LUHN_MAX_DIGITS), total % 10 == 0).otherwise(F.lit(False))
+
+    # Digits right-to-left, computed once.
+    return let(F.reverse(F.regexp_extract_all(ascii_digits(value), F.lit("[0-9]"), 0)), check)
 
 
 def rrn_valid(value: Column) -> Column:
     """Resident-number check: 14 chars with ``-``, month, day, gender digit, checksum."""
-    d = ascii_digits(F.regexp_replace(value, "-", ""))
-    shape_ok = value.contains("-") & (F.length(value) == 14) & (F.length(d) == 13) & d.rlike("^[0-9]{13}$")
-    month = F.substring(d, 3, 2).cast("int")
-    day = F.substring(d, 5, 2).cast("int")
-    gender = _digit_at(d, F.lit(6))
-    weighted = [_digit_at(d, F.lit(i)) * w for i, w in enumerate(RRN_WEIGHTS)]
-    total = weighted[0]
-    for term in weighted[1:]:
-        total = total + term
-    check = F.pmod(F.lit(11) - F.pmod(total, F.lit(11)), F.lit(10))
-    body_ok = (
-        month.between(1, 12)
-        & day.between(1, 31)
-        & gender.isin(1, 2, 3, 4)
-        & (check == _digit_at(d, F.lit(12)))
-    )
-    # Guard the casts: only evaluate the arithmetic on well-formed values.
-    return F.when(shape_ok, body_ok).otherwise(F.lit(False))
+
+    def check(d: Column) -> Column:
+        shape_ok = value.contains("-") & (F.length(value) == 14) & (F.length(d) == 13) & d.rlike("^[0-9]{13}$")
+        month = F.substring(d, 3, 2).cast("int")
+        day = F.substring(d, 5, 2).cast("int")
+        gender = _digit_at(d, F.lit(6))
+        total = _digit_at(d, F.lit(0)) * RRN_WEIGHTS[0]
+        for i, w in enumerate(RRN_WEIGHTS[1:], start=1):
+            total = total + _digit_at(d, F.lit(i)) * w
+        check_digit = F.pmod(F.lit(11) - F.pmod(total, F.lit(11)), F.lit(10))
+        body_ok = month.between(1, 12) & day.between(1, 31) & gender.isin(1, 2, 3, 4) & (check_digit == _digit_at(d, F.lit(12)))
+        # Guard the casts: the arithmetic only runs on well-formed values.
+        return F.when(shape_ok, body_ok).otherwise(F.lit(False))
+
+    return let(ascii_digits(F.regexp_replace(value, "-", "")), check)
 
 
 def enough_account_digits(value: Column) -> Column:

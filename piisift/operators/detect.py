@@ -207,5 +207,12 @@ def detect(
 
 
 def explode_matches(df: DataFrame, keys: list[str], matches_col: str = "matches") -> DataFrame:
-    """Long form: one row per match with scalar columns (and its position ``pos``)."""
-    return df.select(*keys, F.posexplode(matches_col).alias("pos", "m")).select(*keys, "pos", "m.*")
+    """Long form: one row per match with scalar columns (and its position ``pos``).
+
+    ``posexplode_outer`` + a filter on the generated ``pos``: a plain explode
+    makes Catalyst infer ``size(matches) > 0`` and push it below the projection
+    that computes ``matches``, which would run every regex twice.  A predicate on
+    the generator's output cannot move below the generator.
+    """
+    exploded = df.select(*keys, F.posexplode_outer(matches_col).alias("pos", "m"))
+    return exploded.where(F.col("pos").isNotNull()).select(*keys, "pos", "m.*")

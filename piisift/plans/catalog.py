@@ -254,16 +254,15 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_entities_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct entities per text in first-seen order, at most 20."""
     d = detect(inputs.all_texts(spark, sf_dir))
-    e = d.select("doc_id", F.posexplode(top_entities(F.col("matches"))).alias("rank", "e"))
-    return e.select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("e.ptype").alias("ptype"), F.col("e.value").alias("value"))
+    e = d.select("doc_id", F.posexplode_outer(top_entities(F.col("matches"))).alias("rank", "e"))
+    return e.where(F.col("rank").isNotNull()).select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("e.ptype").alias("ptype"), F.col("e.value").alias("value"))
 
 
 def whitelist_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score before/after extending the allow-list, per text that has a candidate."""
+    """Score before/after extending the allow-list, per text."""
     extended = collect_allowlist(_extended_allow(spark, sf_dir))
     before, after = DetectorConfig(), DetectorConfig(allowlist=extended)
-    r = allowlist_impact(inputs.all_texts(spark, sf_dir), before, after)
-    return r.where((F.col("matches_before") > 0) | (F.col("matches_after") > 0))
+    return allowlist_impact(inputs.all_texts(spark, sf_dir), before, after)
 
 
 def qa_results(spark: SparkSession, sf_dir: str) -> DataFrame:

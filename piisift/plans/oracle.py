@@ -611,7 +611,7 @@ FROM {sb} b JOIN {sa} a USING (doc_id) LEFT JOIN {newly} n USING (doc_id)""",
 def _impact_sql() -> str:
     s = Sql()
     i = _impact_body(s, s.all_texts(), "w")
-    return s.render(f"SELECT * FROM {i} WHERE matches_before > 0 OR matches_after > 0")
+    return s.render(f"SELECT * FROM {i}")
 
 
 def _qa_sql() -> str:
