@@ -34,8 +34,13 @@ SPAN_TYPE = T.ArrayType(
 
 
 def safe_text(text: Column) -> Column:
-    """The text with marker characters neutralised (same length, same matches)."""
-    return F.translate(text, MARK_OPEN + MARK_CLOSE, MARK_SUBSTITUTE + MARK_SUBSTITUTE)
+    """The text with marker characters neutralised (same length, same matches).
+
+    ``translate`` copies the text with a per-character lookup; a byte search
+    first skips that for the (usual) texts holding no marker.
+    """
+    has_marker = (F.instr(text, MARK_OPEN) > 0) | (F.instr(text, MARK_CLOSE) > 0)
+    return F.when(has_marker, F.translate(text, MARK_OPEN + MARK_CLOSE, MARK_SUBSTITUTE + MARK_SUBSTITUTE)).otherwise(text)
 
 
 def _marked(safe: Column, pattern: str, group: int) -> Column:

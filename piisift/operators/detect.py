@@ -48,6 +48,13 @@ RULE_GATES: dict[tuple[str, int], tuple[str, ...]] = {
     ("NAME", 1): ("hangul",),
 }
 
+#: For validated rules, a pattern every *valid* match must contain; used as the
+#: find-only gate instead of the rule pattern when it is cheaper to scan.  A
+#: Luhn-valid CARD holds 13+ digits separated only by whitespace or hyphens.
+VALID_HINTS: dict[tuple[str, int], str] = {
+    ("CARD", 0): r"\d(?:[\s-]*\d){12}",
+}
+
 GATE_COLUMNS = {
     "digit": lambda safe: safe.rlike(r"(?U)\d"),
     "hangul": lambda safe: safe.rlike("[가-힣]"),
@@ -156,7 +163,8 @@ def candidates_column(
     for ordinal, k, ptype, pattern, conf, group in _indexed_rules(config, types):
         arr = rule_matches(text, safe, ordinal, ptype, pattern, conf, group, config, validate, allowlist)
         if use_gates:
-            cond = has_match(safe, pattern)
+            hint = VALID_HINTS.get((ptype, k)) if validate else None
+            cond = has_match(safe, hint or pattern)
             for g in RULE_GATES.get((ptype, k), ()):
                 cond = F.col(f"_g_{g}") & cond
             arr = F.when(cond, arr).otherwise(empty_matches())

@@ -113,3 +113,89 @@ def qa_summary(results: DataFrame) -> DataFrame:
         (total - passed).alias("failed"),
         F.round(F.lit(100.0) * passed / total, 1).alias("pass_rate"),
     )
+
+
+def allowlist_impact_table(
+    df: DataFrame,
+    allow: DataFrame,
+    before: DetectorConfig = DEFAULT_CONFIG,
+    text_col: str = "text",
+    max_inline: int = 100_000,
+) -> DataFrame:
+    """J7 with the second allow-list given as a ``(kind, value)`` table.
+
+    Up to ``max_inline`` distinct entries the list is inlined and the row-form
+    job runs (no shuffle).  Beyond that the long-form path runs: candidates are
+    exploded once and materialised in the shared checkpoint folder, flagged by a
+    (size-checked broadcast or shuffled) join with the list, and both variants
+    are merged per text with the islands merge.
+    """
+    from piisift.sources.texts import collect_allowlist
+
+    distinct = allow.select("kind", "value").distinct()
+    if distinct.count() <= max_inline:
+        after = DetectorConfig(allowlist=collect_allowlist(distinct, max_inline), weights=before.weights, default_weight=before.default_weight)
+        return allowlist_impact(df, before, after, text_col)
+    return _allowlist_impact_long(df, distinct, before, text_col)
+
+
+def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConfig, text_col: str) -> DataFrame:
+    from piisift.config import ALLOWLIST_KINDS
+    from piisift.functions.matches import MATCH_FIELDS, score_from_risk, weight_of
+    from piisift.operators.detect import explode_matches
+    from piisift.operators.longform import MAX_BROADCAST_ROWS, merge_long
+    from piisift.session import checkpoint_dir
+
+    fields = [f.name for f in MATCH_FIELDS]
+    c = with_candidates(df.select("doc_id", text_col), text_col, before, allowlist=False)
+    long = explode_matches(c, ["doc_id"], "_cands").select("doc_id", *fields)
+
+    kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
+    listed = (
+        allow.select(F.try_element_at(kinds, F.col("kind")).alias("ptype"), "value")
+        .where(F.col("ptype").isNotNull() & F.col("value").isNotNull())
+        .distinct()
+        .withColumn("_after", F.lit(True))
+    )
+    if listed.count() <= MAX_BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+
+    def before_listed(m_ptype: Column, m_value: Column) -> Column:
+        cond = F.lit(False)
+        for ptype in ("PHONE", "EMAIL", "ACCOUNT"):
+            hit = _allowed(ptype, m_value, before)
+            if hit is not None:
+                cond = cond | ((m_ptype == ptype) & hit)
+        return cond
+
+    flagged = (
+        long.join(listed, on=["ptype", "value"], how="left")
+        .withColumn("_after", F.coalesce(F.col("_after"), F.lit(False)))
+        .withColumn("_before", before_listed(F.col("ptype"), F.col("value")))
+    )
+    # Used three times below: materialise once in the shared folder (lineage cut).
+    checkpoint_dir(df.sparkSession)
+    flagged = flagged.checkpoint(eager=True)
+
+    variants = flagged.where(~F.col("_before")).withColumn("_v", F.lit("before")).unionByName(
+        flagged.where(~F.col("_after")).withColumn("_v", F.lit("after"))
+    )
+    merged = merge_long(variants.select("doc_id", "_v", *fields), ["doc_id", "_v"])
+    per = merged.groupBy("doc_id").agg(
+        F.sum(F.when(F.col("_v") == "before", 1).otherwise(0)).cast("int").alias("matches_before"),
+        F.sum(F.when(F.col("_v") == "after", 1).otherwise(0)).cast("int").alias("matches_after"),
+        F.sum(F.when(F.col("_v") == "before", weight_of(F.col("ptype"), before.weights, before.default_weight)).otherwise(0.0)).alias("_rb"),
+        F.sum(F.when(F.col("_v") == "after", weight_of(F.col("ptype"), before.weights, before.default_weight)).otherwise(0.0)).alias("_ra"),
+    )
+    newly = flagged.where(~F.col("_before") & F.col("_after")).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("newly_filtered"))
+    docs = df.select("doc_id")
+    out = docs.join(per, "doc_id", "left").join(newly, "doc_id", "left")
+    out = out.select(
+        "doc_id",
+        F.coalesce("matches_before", F.lit(0)).alias("matches_before"),
+        F.coalesce("matches_after", F.lit(0)).alias("matches_after"),
+        score_from_risk(F.coalesce(F.col("_rb"), F.lit(0.0))).alias("score_before"),
+        score_from_risk(F.coalesce(F.col("_ra"), F.lit(0.0))).alias("score_after"),
+        F.coalesce("newly_filtered", F.lit(0)).alias("newly_filtered"),
+    )
+    return out.withColumn("delta", F.col("score_after") - F.col("score_before"))

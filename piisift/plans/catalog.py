@@ -19,9 +19,9 @@ from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
 from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, scrub
 from piisift.operators.longform import filter_allowlisted
-from piisift.operators.reports import allowlist_impact, document_report, qa_summary, top_entities
+from piisift.operators.reports import allowlist_impact_table, qa_summary, top_entities
 from piisift.plans import inputs
-from piisift.sources.texts import allowlist_table, assemble_documents, collect_allowlist
+from piisift.sources.texts import allowlist_table, assemble_documents
 
 CANDIDATE_COLS = ["doc_id", "rule", "ptype", "value", "span_start", "span_end", "confidence"]
 MATCH_COLS = ["doc_id", "pos", "ptype", "value", "span_start", "span_end", "confidence", "source"]
@@ -260,9 +260,7 @@ def top_entities_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whitelist_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score before/after extending the allow-list, per text."""
-    extended = collect_allowlist(_extended_allow(spark, sf_dir))
-    before, after = DetectorConfig(), DetectorConfig(allowlist=extended)
-    return allowlist_impact(inputs.all_texts(spark, sf_dir), before, after)
+    return allowlist_impact_table(inputs.all_texts(spark, sf_dir), _extended_allow(spark, sf_dir))
 
 
 def qa_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +287,7 @@ def qa_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("guard_rrn").alias("suite"), "doc_id",
         F.when(~F.array_contains(types, "RRN"), "PASS").otherwise("FAIL").alias("status"),
     )
-    extended = collect_allowlist(_extended_allow(spark, sf_dir))
-    impact = allowlist_impact(inputs.supplier_contacts(spark, sf_dir), DetectorConfig(), DetectorConfig(allowlist=extended))
+    impact = allowlist_impact_table(inputs.supplier_contacts(spark, sf_dir), _extended_allow(spark, sf_dir))
     t6 = impact.select(
         F.lit("whitelist_after").alias("suite"), "doc_id",
         F.when(F.col("delta") <= 0, "PASS").otherwise("FAIL").alias("status"),

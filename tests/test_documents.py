@@ -35,3 +35,19 @@ def test_document_report(spark):
     assert r.total_matches == 32 and r.pii_score == 100 and r.blocked
     assert [(e.ptype, e.value) for e in r.entities] == [("PHONE", "010-1234-5678"), ("EMAIL", "a@b.co")]
     assert r.preview.endswith("...") is False  # blocked answer is the short message
+
+
+def test_allowlist_impact_long_path_equals_inline(spark):
+    from conftest import SF_SMALL
+    from piisift.operators.reports import allowlist_impact_table
+    from piisift.plans import catalog, inputs
+
+    texts = inputs.all_texts(spark, SF_SMALL)
+    allow = catalog._extended_allow(spark, SF_SMALL)
+    inline = allowlist_impact_table(texts, allow)
+    longp = allowlist_impact_table(texts, allow, max_inline=0)
+    cols = sorted(inline.columns)
+    assert sorted(longp.columns) == cols
+    a = sorted(tuple(r[c] for c in cols) for r in inline.collect())
+    b = sorted(tuple(r[c] for c in cols) for r in longp.collect())
+    assert a == b and any(r[cols.index("delta")] != 0 for r in a)
