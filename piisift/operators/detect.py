@@ -84,6 +84,39 @@ def _allowed(ptype: str, value: Column, config: DetectorConfig) -> Column | None
     return None
 
 
+def _sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def allowlist_sql(var: str, lists: dict[str, list[str]]) -> str | None:
+    """SQL predicate "``var`` is allow-listed" (exact equality per kind), or None.
+
+    Written as SQL text so a long list is one expression handed to the JVM in a
+    single call; Catalyst turns each literal ``IN`` list into a hash set (InSet).
+    """
+    terms = []
+    for kind, ptype in ALLOWLIST_KINDS.items():
+        values = list(dict.fromkeys(v for v in (lists.get(kind) or []) if v is not None))
+        if values:
+            terms.append(f"({var}.ptype = {_sql_str(ptype)} AND {var}.value IN ({', '.join(_sql_str(v) for v in values)}))")
+    return " OR ".join(terms) if terms else None
+
+
+def drop_allowlisted(array_col: str, lists: dict[str, list[str]]) -> Column:
+    """V4 on an array column of matches: keep those not on the allow-list."""
+    pred = allowlist_sql("m", lists)
+    if pred is None:
+        return F.col(array_col)
+    return F.expr(f"filter({array_col}, m -> NOT ({pred}))")
+
+
+def count_allowlisted(array_col: str, lists: dict[str, list[str]]) -> Column:
+    pred = allowlist_sql("m", lists)
+    if pred is None:
+        return F.lit(0)
+    return F.expr(f"size(filter({array_col}, m -> {pred}))")
+
+
 def _validated(ptype: str, m: Column, validate: bool) -> Column | None:
     if not validate:
         return None
@@ -123,9 +156,6 @@ def rule_matches(
         valid = _validated(ptype, m, validate)
         if valid is not None:
             conds.append(valid)
-        listed = _allowed(ptype, m["value"], config) if allowlist else None
-        if listed is not None:
-            conds.append(~listed)
         return conds
 
     if conditions(F.struct(F.lit(None).alias("value"))):
@@ -141,13 +171,40 @@ def rule_matches(
     return out
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give CPU-bound detection all cores when the input is small.
+
+    Detection is map-only, so its parallelism is the scan's: a file with one row
+    group is read by one task however many splits it has.  When Catalyst's size
+    estimate shows fewer bytes than one split per core, a round-robin
+    repartition over the cores is cheap and removes that bottleneck.  Larger
+    inputs keep their natural splits and stay shuffle-free.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
+        return df
+    if size < split * cores:
+        return df.repartition(cores)
+    return df
+
+
 def with_gates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Projection 1: marker-safe text plus the cheap gate booleans."""
+    df = spread_small_input(df)
     safe = safe_text(F.col(text_col))
     df = df.withColumn("_safe", safe)
     return df.withColumns({f"_g_{name}": fn(F.col("_safe")) for name, fn in GATE_COLUMNS.items()})
 
 
+_COLUMN_CACHE: dict[tuple, Column] = {}
+
+
 def candidates_column(
     text_col: str = "text",
     config: DetectorConfig = DEFAULT_CONFIG,
@@ -156,7 +213,29 @@ def candidates_column(
     allowlist: bool = True,
     gates: bool | None = None,
 ) -> Column:
-    """Projection 2: all rule matches, in emission order (needs :func:`with_gates`)."""
+    """Projection 2: all rule matches, in emission order (needs :func:`with_gates`).
+
+    The expression is unresolved (columns by name), so one instance serves every
+    DataFrame; it is built once per configuration and session.
+    """
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), text_col, repr(config), tuple(sorted(types or [])), types is None, validate, allowlist, gates)
+    col = _COLUMN_CACHE.get(key)
+    if col is None:
+        col = _build_candidates_column(text_col, config, types, validate, allowlist, gates)
+        _COLUMN_CACHE[key] = col
+    return col
+
+
+def _build_candidates_column(
+    text_col: str = "text",
+    config: DetectorConfig = DEFAULT_CONFIG,
+    types: set[str] | None = None,
+    validate: bool = True,
+    allowlist: bool = True,
+    gates: bool | None = None,
+) -> Column:
     use_gates = config.gates if gates is None else gates
     text, safe = F.col(text_col), F.col("_safe")
     parts = []
@@ -188,7 +267,10 @@ def with_candidates(
     """Add the pre-merge candidate array (internal match structs)."""
     gated = with_gates(df, text_col)
     col = candidates_column(text_col, config, types, validate, allowlist, gates)
-    return gated.withColumn(out_col, col).drop("_safe", *[f"_g_{g}" for g in GATE_COLUMNS])
+    out = gated.withColumn(out_col, col).drop("_safe", *[f"_g_{g}" for g in GATE_COLUMNS])
+    if allowlist and allowlist_sql("m", config.allowlist) is not None:
+        out = out.withColumn(out_col, drop_allowlisted(out_col, config.allowlist))
+    return out
 
 
 def detect(

@@ -12,7 +12,7 @@ from piisift.config import (
     DetectorConfig,
 )
 from piisift.functions.matches import merge_matches, risk_value, score_from_risk
-from piisift.operators.detect import DEFAULT_CONFIG, _allowed, with_candidates
+from piisift.operators.detect import DEFAULT_CONFIG, _allowed, count_allowlisted, drop_allowlisted, with_candidates
 from piisift.operators.guard import guard
 
 
@@ -65,32 +65,16 @@ def allowlist_impact(
     shuffle, no second scan.
     """
     c = with_candidates(df, text_col, before, allowlist=False)
-
-    def filtered(cfg: DetectorConfig) -> Column:
-        def keep(m: Column) -> Column:
-            cond = F.lit(True)
-            for ptype in ("PHONE", "EMAIL", "ACCOUNT"):
-                listed = _allowed(ptype, m["value"], cfg)
-                if listed is not None:
-                    cond = cond & ~((m["ptype"] == ptype) & listed)
-            return cond
-
-        return F.filter(F.col("_cands"), keep)
-
-    def listed(cfg: DetectorConfig, m: Column) -> Column:
-        cond = F.lit(False)
-        for ptype in ("PHONE", "EMAIL", "ACCOUNT"):
-            hit = _allowed(ptype, m["value"], cfg)
-            if hit is not None:
-                cond = cond | ((m["ptype"] == ptype) & hit)
-        return cond
-
-    kept_before = c.select("doc_id", filtered(before).alias("_kb"), filtered(after).alias("_ka"))
+    kept_before = c.select(
+        "doc_id",
+        drop_allowlisted("_cands", before.allowlist).alias("_kb"),
+        drop_allowlisted("_cands", after.allowlist).alias("_ka"),
+    )
     merged = kept_before.select(
         "doc_id",
         merge_matches(F.col("_kb")).alias("_before"),
         merge_matches(F.col("_ka")).alias("_after"),
-        F.size(F.filter("_kb", lambda m: listed(after, m))).alias("newly_filtered"),
+        count_allowlisted("_kb", after.allowlist).alias("newly_filtered"),
     )
     out = merged.select(
         "doc_id",
@@ -133,10 +117,12 @@ def allowlist_impact_table(
     from piisift.sources.texts import collect_allowlist
 
     distinct = allow.select("kind", "value").distinct()
-    if distinct.count() <= max_inline:
-        after = DetectorConfig(allowlist=collect_allowlist(distinct, max_inline), weights=before.weights, default_weight=before.default_weight)
-        return allowlist_impact(df, before, after, text_col)
-    return _allowlist_impact_long(df, distinct, before, text_col)
+    try:
+        lists = collect_allowlist(distinct, max_inline)
+    except ValueError:
+        return _allowlist_impact_long(df, distinct, before, text_col)
+    after = DetectorConfig(allowlist=lists, weights=before.weights, default_weight=before.default_weight)
+    return allowlist_impact(df, before, after, text_col)
 
 
 def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConfig, text_col: str) -> DataFrame:
