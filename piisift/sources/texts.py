@@ -71,46 +71,69 @@ def assemble_documents(
     doc_col: str = "doc_id",
     page_col: str = "page_no",
     text_col: str = "text",
+    salt_buckets: int = 64,
 ) -> DataFrame:
     """S3 + S4: pages -> one text per document, capped.
 
-    Each non-empty page becomes ``"[페이지 n]\\n{text}\\n"`` (``n`` is the page
+    Each non-empty page becomes ``"[페이지 n]\n{text}\n"`` (``n`` is the page
     number, so numbering survives skipped pages); parts are joined with
-    ``"\\n"``.  Longer than ``max_length``: the first ``max_length`` characters
+    ``"\n"``.  Longer than ``max_length``: the first ``max_length`` characters
     plus the fixed notice.
 
-    Scale: one shuffle by document.  A running sum over the page order gives each
-    part's offset in the joined text, and only parts starting within the cap are
-    collected, so a document's group never exceeds the cap plus one page.
+    Scale (capped): a part is at least ``MIN_PART`` characters, so only a
+    document's first ``K = max_length // MIN_PART + 1`` non-empty pages can
+    start inside the cap.  Stage 1 salts pages by page number and keeps, per
+    (document, salt), the K smallest pages plus that salt's length total, so a
+    document holding a huge share of all pages is spread over ``salt_buckets``
+    tasks.  Stage 2 sees at most ``salt_buckets * K`` rows per document: exact
+    running offsets, the full length from the salt totals, and only parts
+    starting inside the cap are collected (at most the cap plus one page).
     """
-    header = F.concat(F.lit(PAGE_HEADER.split("{n}")[0]), F.col(page_col).cast("string"), F.lit(PAGE_HEADER.split("{n}")[1]))
+    hl, hr = PAGE_HEADER.split("{n}")
+    header = F.concat(F.lit(hl), F.col(page_col).cast("string"), F.lit(hr))
     parts = pages.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
         F.col(doc_col).alias("doc_id"),
         F.col(page_col).alias("page_no"),
         F.concat(header, F.col(text_col), F.lit("\n")).alias("part"),
     )
     sep = len(PAGE_SEPARATOR)
-    if max_length is not None:
-        w = Window.partitionBy("doc_id").orderBy("page_no")
-        plen = F.length("part") + sep
-        parts = (
-            parts.withColumn("_end", F.sum(plen).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("_total", F.sum(plen).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            .withColumn("_start", F.col("_end") - plen)
-            .filter(F.col("_start") <= max_length)
-        )
-        agg = parts.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("_parts"),
-            (F.max("_total") - sep).alias("_full_length"),
+    if max_length is None:
+        # Whole documents: the output row is the document itself.
+        agg = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("_parts"))
+        return agg.select("doc_id", F.array_join(F.transform("_parts", lambda p: p["part"]), PAGE_SEPARATOR).alias("text"))
+
+    min_part = len(hl) + 1 + len(hr) + 1 + 1 + sep  # header with one digit, one text char, newline, separator
+    keep = max_length // min_part + 1
+    plen = F.length("part") + sep
+    salted = parts.withColumn("_plen", plen).withColumn("_salt", F.pmod(F.xxhash64("page_no"), F.lit(salt_buckets)))
+    w1 = Window.partitionBy("doc_id", "_salt").orderBy("page_no")
+    stage1 = (
+        salted.withColumn("_rn1", F.row_number().over(w1))
+        .withColumn("_salt_total", F.sum("_plen").over(w1.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .filter(F.col("_rn1") <= keep)
+        # No part contributes more than the cap; later stages move at most that much text.
+        .withColumn("part", F.substring("part", 1, max_length + 1))
+    )
+    w2 = Window.partitionBy("doc_id").orderBy("page_no")
+    stage2 = (
+        stage1.withColumn("_rn", F.row_number().over(w2))
+        .withColumn("_end", F.sum("_plen").over(w2.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn(
+            "_total",
+            F.sum(F.when(F.col("_rn1") == 1, F.col("_salt_total"))).over(w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         )
-        # The kept parts cover the first ``max_length`` characters of the full text.
-        joined = F.array_join(F.transform("_parts", lambda p: p["part"]), PAGE_SEPARATOR)
-        capped = F.when(
-            F.col("_full_length") > max_length, F.concat(F.substring(joined, 1, max_length), F.lit(DOC_CAP_NOTICE))
-        ).otherwise(joined)
-        return agg.select("doc_id", capped.alias("text"))
-    agg = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("_parts"))
-    return agg.select("doc_id", F.array_join(F.transform("_parts", lambda p: p["part"]), PAGE_SEPARATOR).alias("text"))
+        .filter((F.col("_rn") <= keep) & (F.col("_end") - F.col("_plen") <= max_length))
+    )
+    agg = stage2.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("_parts"),
+        (F.max("_total") - sep).alias("_full_length"),
+    )
+    # The kept parts cover the first ``max_length`` characters of the full text.
+    joined = F.array_join(F.transform("_parts", lambda p: p["part"]), PAGE_SEPARATOR)
+    capped = F.when(
+        F.col("_full_length") > max_length, F.concat(F.substring(joined, 1, max_length), F.lit(DOC_CAP_NOTICE))
+    ).otherwise(joined)
+    return agg.select("doc_id", capped.alias("text"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -18,12 +18,15 @@ def test_assembly_and_cap(spark):
         "over": [(1, "y" * 6000), (2, "z" * 6000), (3, "w" * 10)],
         "edge": [(1, "q" * 9985), (2, "r" * 5)],
         "many": [(i, "p" * 300) for i in range(1, 200)],
+        "hot": [(i, "" if i % 7 == 0 else "h") for i in range(1, 5000)],
+        "gaps": [(i * 13, "g" * (i % 5)) for i in range(1, 3000)],
     }
     rows = [(d, n, t) for d, ps in docs.items() for n, t in ps]
     pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
-    got = {r.doc_id: r.text for r in assemble_documents(pages).collect()}
-    for d, ps in docs.items():
-        assert got[d] == _assemble_py(ps), d
+    for buckets in (1, 3, 64):
+        got = {r.doc_id: r.text for r in assemble_documents(pages, salt_buckets=buckets).collect()}
+        for d, ps in docs.items():
+            assert got[d] == _assemble_py(ps), (d, buckets)
     assert got["plain"] == "[페이지 1]\na\n\n[페이지 3]\nb\n"
     assert len(got["exact"]) == 10000
 
