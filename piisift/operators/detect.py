@@ -171,32 +171,8 @@ def rule_matches(
     return out
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give CPU-bound detection all cores when the input is small.
-
-    Detection is map-only, so its parallelism is the scan's: a file with one row
-    group is read by one task however many splits it has.  When Catalyst's size
-    estimate shows fewer bytes than one split per core, a round-robin
-    repartition over the cores is cheap and removes that bottleneck.  Larger
-    inputs keep their natural splits and stay shuffle-free.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
-        return df
-    if size < split * cores:
-        return df.repartition(cores)
-    return df
-
-
 def with_gates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Projection 1: marker-safe text plus the cheap gate booleans."""
-    df = spread_small_input(df)
     safe = safe_text(F.col(text_col))
     df = df.withColumn("_safe", safe)
     return df.withColumns({f"_g_{name}": fn(F.col("_safe")) for name, fn in GATE_COLUMNS.items()})

@@ -21,7 +21,7 @@ from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, s
 from piisift.operators.longform import filter_allowlisted
 from piisift.operators.reports import allowlist_impact_table, qa_summary, top_entities
 from piisift.plans import inputs
-from piisift.sources.texts import allowlist_table, assemble_documents
+from piisift.sources.texts import allowlist_table, assemble_documents, spread_small_input
 
 CANDIDATE_COLS = ["doc_id", "rule", "ptype", "value", "span_start", "span_end", "confidence"]
 MATCH_COLS = ["doc_id", "pos", "ptype", "value", "span_start", "span_end", "confidence", "source"]
@@ -82,10 +82,20 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged matches per type and the number of texts holding that type."""
-    long = explode_matches(_merged(spark, sf_dir), ["doc_id"])
-    per_doc = long.groupBy("ptype", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("ptype").agg(F.sum("n").cast("long").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
+    """Merged matches per type and the number of texts holding that type.
+
+    Row form marks each type's first match in a text, so one partially
+    aggregated ``groupBy(ptype)`` (a hot type is combined map-side) gives both.
+    """
+    d = _merged(spark, sf_dir)
+    types = F.transform("matches", lambda m: m["ptype"])
+    flagged = F.transform(
+        "matches", lambda m, i: F.struct(m["ptype"].alias("ptype"), (F.array_position(types, m["ptype"]) == i + 1).alias("first"))
+    )
+    long = d.select(F.explode_outer(flagged).alias("t")).where(F.col("t").isNotNull())
+    return long.groupBy(F.col("t.ptype").alias("ptype")).agg(
+        F.count(F.lit(1)).alias("n_matches"), F.sum(F.col("t.first").cast("long")).alias("n_docs")
+    )
 
 
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +118,8 @@ def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _guard_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs.customer_records(spark, sf_dir))
+    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
+    return spread_small_input(both)
 
 
 def guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

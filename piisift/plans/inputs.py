@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piisift.sources.texts import spread_small_input
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,13 +30,13 @@ def _key(prefix: str, col: Column) -> Column:
     return F.concat(F.lit(prefix), col.cast("string"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (doc_id, text), plus lang and source for reports."""
     d = _read(spark, sf_dir, "documents")
     return d.select(_key("doc-", F.col("doc_id")).alias("doc_id"), "text", "lang", "source")
 
 
-def conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+def _conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
     c = _read(spark, sf_dir, "conversations")
     if role is not None:
         c = c.filter(F.col("role") == role)
@@ -42,7 +44,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None
     return c.select(doc_id.alias("doc_id"), "text")
 
 
-def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer sheet: ID keyword and code, mobile, e-mail, account, card."""
     c = _read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -58,7 +60,7 @@ def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(_key("cust-", k).alias("doc_id"), text.alias("text"))
 
 
-def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resident-number-shaped notes (a minority pass the checksum)."""
     o = _read(spark, sf_dir, "orders")
     text = F.concat(
@@ -69,7 +71,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(_key("ord-", F.col("o_orderkey")).alias("doc_id"), text.alias("text"))
 
 
-def supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mobile and landline numbers."""
     s = _read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
@@ -80,7 +82,7 @@ def supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(_key("supp-", k).alias("doc_id"), text.alias("text"))
 
 
-def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Street addresses with a postal code."""
     p = _read(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -95,17 +97,44 @@ def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text table above, unioned: the general detection input."""
     parts = [
-        corpus(spark, sf_dir).select("doc_id", "text"),
-        conversation_turns(spark, sf_dir),
-        customer_records(spark, sf_dir),
-        order_notes(spark, sf_dir),
-        supplier_contacts(spark, sf_dir),
-        part_addresses(spark, sf_dir),
+        _corpus(spark, sf_dir).select("doc_id", "text"),
+        _conversation_turns(spark, sf_dir),
+        _customer_records(spark, sf_dir),
+        _order_notes(spark, sf_dir),
+        _supplier_contacts(spark, sf_dir),
+        _part_addresses(spark, sf_dir),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return spread_small_input(out)
+
+
+# Each table on its own, spread over the cores when small (see spread_small_input).
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_input(_corpus(spark, sf_dir))
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    return spread_small_input(_conversation_turns(spark, sf_dir, role))
+
+
+def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_input(_customer_records(spark, sf_dir))
+
+
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_input(_order_notes(spark, sf_dir))
+
+
+def supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_input(_supplier_contacts(spark, sf_dir))
+
+
+def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_input(_part_addresses(spark, sf_dir))
 
 
 def extended_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
