@@ -233,8 +233,9 @@ def guard_block_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in page table: each line of a document is one page."""
-    d = inputs.corpus(spark, sf_dir)
+    """Stand-in page table: each line of a document is one page (the assembly
+    shuffles by document anyway, so the scan is not spread first)."""
+    d = inputs._corpus(spark, sf_dir)
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(
         "doc_id", (F.col("pos") + 1).alias("page_no"), "text"
     )
