@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
-from piisift.functions.llm import default_verdict, llm_matches, parse_verdict
+from piisift.functions.llm import default_verdict
 from piisift.functions.matches import public_matches, risk_value, score_from_risk
 from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
@@ -179,12 +179,14 @@ def injection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1-L3 + V5: model findings parsed and normalised, one row per finding."""
+    """L1-L3 + V5: model findings parsed and normalised, one row per finding.
+
+    Answers are pre-aggregated to one row per document before the join, so a
+    document with very many answers cannot skew it.
+    """
     texts = inputs.corpus(spark, sf_dir).select("doc_id", "text")
-    resp = pii_responses(spark, sf_dir)
-    j = texts.join(resp, "doc_id")
-    found = j.select("doc_id", llm_matches(F.col("response"), F.col("text")).alias("m"))
-    return explode_matches(found, ["doc_id"], "m").select(
+    found = attach_model_answers(texts, pii_responses(spark, sf_dir)).select("doc_id", "llm_matches")
+    return explode_matches(found, ["doc_id"], "llm_matches").select(
         "doc_id", F.col("pos").alias("idx"), "ptype", "value", "span_start", "span_end", "confidence"
     )
 
@@ -200,10 +202,8 @@ def llm_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4 + L5: verdict per conversation turn (parsed, parse error, or no-model default)."""
     texts = inputs.conversation_turns(spark, sf_dir)
-    resp = injection_responses(spark, sf_dir)
-    j = texts.join(resp.select("doc_id", "response"), "doc_id", "left")
-    v = F.when(F.col("response").isNull(), default_verdict()).otherwise(parse_verdict(F.col("response")))
-    out = j.select("doc_id", v.alias("v"))
+    j = attach_model_answers(texts, injection_responses(spark, sf_dir))
+    out = j.select("doc_id", F.coalesce(F.col("verdict"), default_verdict()).alias("v"))
     return out.select(
         "doc_id",
         F.col("v.injection_detected").alias("injection_detected"),
