@@ -69,3 +69,16 @@ def test_name_rules_are_off_by_default():
     names = [i for i, r in enumerate(on) if r[0] == "NAME"]
     assert names and on[names[0] - 1][0] == "ACCOUNT" and on[names[-1] + 1][0] == "ADDRESS"
     assert len(on) == len(RULES) + len(NAME_RULES)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+ALPHABET = list("0123456789") * 3 + list(" -:.@_\t\n") + list("aZAbKR") + list("계좌번호사고객서울시동로가길님é") + ["\xa0", "\x1c", "　", "😀"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, min_size=0, max_size=60), min_size=1, max_size=40))
+def test_random_texts_match_python_re(spark, texts):
+    cfg = DetectorConfig(name_candidates=True)
+    _check(spark, [(str(i), t) for i, t in enumerate(texts)], cfg.rules(), cfg)
