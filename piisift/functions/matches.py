@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piisift.config import DEFAULT_WEIGHT, SCORE_SCALE, WEIGHTS
+from piisift.functions.arrays import inclusive_scan, let
 
 MATCH_FIELDS = [
     T.StructField("span_start", T.IntegerType()),
@@ -47,15 +48,11 @@ def make_match(start: Column, end: Column, ord_: int | Column, ptype, value: Col
     )
 
 
-def merge_matches(cands: Column) -> Column:
-    """Resolve overlaps exactly like the reference's ordered merge.
+#: Up to this many candidates a text is merged by one fold; beyond it by islands.
+SMALL_K = 32
 
-    Sorted by (start, end, ord), the accepted list stays disjoint, so a new match
-    can only overlap the *last* accepted one: append when it starts at or after
-    that one's end; replace it when strictly more confident; drop otherwise.
-    Same-span duplicates fall in the second/third case.
-    """
 
+def _fold(sorted_matches: Column) -> Column:
     def step(acc: Column, m: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         n = F.size(acc)
@@ -65,7 +62,46 @@ def merge_matches(cands: Column) -> Column:
             .otherwise(acc)
         )
 
-    return F.aggregate(F.array_sort(cands), empty_matches(), step)
+    return F.aggregate(sorted_matches, empty_matches(), step)
+
+
+def _merge_islands(s: Column) -> Column:
+    """Split the sorted array where a match starts at or after every earlier end
+    (prefix max of ends, blocked scan) and fold each island on its own."""
+    n = F.size(s)
+
+    def with_max(pmax: Column) -> Column:
+        opens = F.transform(s, lambda m, i: F.when((i == 0) | (m["span_start"] >= F.element_at(pmax, i)), i).otherwise(F.lit(-1)))
+
+        def per_island(starts: Column) -> Column:
+            def island(st: Column, j: Column) -> Column:
+                nxt = F.coalesce(F.try_element_at(starts, j + 2), n)
+                return _fold(F.slice(s, st + 1, nxt - st))
+
+            return F.flatten(F.transform(starts, island))
+
+        return let(F.filter(opens, lambda x: x >= 0), per_island)
+
+    ends = F.transform(s, lambda m: m["span_end"])
+    return let(inclusive_scan(ends, lambda a, b: F.greatest(a, b), F.lit(0)), with_max)
+
+
+def merge_matches(cands: Column) -> Column:
+    """Resolve overlaps exactly like the reference's ordered merge.
+
+    Sorted by (start, end, ord), the accepted list stays disjoint, so a new match
+    can only overlap the *last* accepted one: append when it starts at or after
+    that one's end; replace it when strictly more confident; drop otherwise.
+    Same-span duplicates fall in the second/third case.  A match starting at or
+    after every earlier end opens an *island* that cannot interact with earlier
+    ones, so long arrays are folded island by island (no quadratic copying of
+    the whole array).
+    """
+
+    def on_sorted(s: Column) -> Column:
+        return F.when(F.size(s) <= SMALL_K, _fold(s)).otherwise(_merge_islands(s))
+
+    return let(F.array_sort(cands), on_sorted)
 
 
 def weight_of(ptype: Column, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT) -> Column:

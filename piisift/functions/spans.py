@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from piisift.functions.arrays import inclusive_scan, let
 from piisift.functions.dialect import split_group, to_java
 
 MARK_OPEN = "\ue000"
@@ -54,15 +55,12 @@ def _marked(safe: Column, pattern: str, group: int) -> Column:
     return F.regexp_replace(safe, F.lit(java), F.lit(replacement))
 
 
-def match_spans(safe: Column, pattern: str, group: int = 0) -> Column:
-    """``array<struct<s,e>>`` of the non-overlapping matches of ``pattern``.
+#: Up to this many matches a text uses the direct fold; beyond it the scan.
+SMALL_K = 32
 
-    ``safe`` must come from :func:`safe_text`.  With ``group=1`` the spans are
-    those of capture group 1 while matching proceeds over whole matches, as
-    ``finditer`` + ``match.span(1)`` does.
-    """
-    segs = F.split(_marked(safe, pattern, group), MARK_CLOSE)
-    body = F.slice(segs, 1, F.size(segs) - 1)
+
+def _fold_spans(body: Column) -> Column:
+    """Running-offset fold; appends copy the array, so only for short arrays."""
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
     def step(acc: Column, seg: Column) -> Column:
@@ -75,6 +73,37 @@ def match_spans(safe: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(body, init, step, lambda acc: acc["out"])
 
 
+def _scan_spans(body: Column) -> Column:
+    """Same spans via a prefix sum of segment lengths: O(k log k) for k matches."""
+
+    def with_ends(ends: Column) -> Column:
+        def span(seg: Column, end: Column) -> Column:
+            match_len = F.length(seg) - F.length(F.substring_index(seg, MARK_OPEN, 1)) - 1
+            return F.struct((end - match_len).alias("s"), end.alias("e"))
+
+        return F.zip_with(body, ends, span)
+
+    lens = F.transform(body, lambda seg: F.length(seg) - 1)
+    return let(inclusive_scan(lens, lambda a, b: a + b, F.lit(0)), with_ends)
+
+
+def match_spans(safe: Column, pattern: str, group: int = 0) -> Column:
+    """``array<struct<s,e>>`` of the non-overlapping matches of ``pattern``.
+
+    ``safe`` must come from :func:`safe_text`.  With ``group=1`` the spans are
+    those of capture group 1 while matching proceeds over whole matches, as
+    ``finditer`` + ``match.span(1)`` does.  Segment ``i`` holds the gap before
+    match ``i``, one marker and the match, so match ``i`` ends at the running
+    sum of ``length(segment) - 1``.
+    """
+    segs = F.split(_marked(safe, pattern, group), MARK_CLOSE)
+
+    def on_body(body: Column) -> Column:
+        return F.when(F.size(body) <= SMALL_K, _fold_spans(body)).otherwise(_scan_spans(body))
+
+    return let(segs, lambda s: let(F.slice(s, 1, F.size(s) - 1), on_body))
+
+
 def has_match(safe: Column, pattern: str) -> Column:
     """Cheap find-only test with the same dialect (no copy of the text)."""
     return safe.rlike(to_java(pattern))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from piisift.functions.arrays import let
 from piisift.config import (
     ACCOUNT_MIN_DIGITS,
     LUHN_MAX_DIGITS,
@@ -35,15 +36,6 @@ def _digit_at(digits: Column, pos0: Column) -> Column:
     return F.substring(digits, pos0 + 1, 1).cast("int")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a lambda-bound variable).
-
-    Inside higher-order functions Spark does not eliminate common
-    subexpressions, so a validator that reads its input many times binds it here.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def luhn_valid(value: Column) -> Column:
     """Luhn check on the digits of ``value`` (13..19 digits)."""
 

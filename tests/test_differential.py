@@ -82,3 +82,13 @@ ALPHABET = list("0123456789") * 3 + list(" -:.@_\t\n") + list("aZAbKR") + list("
 def test_random_texts_match_python_re(spark, texts):
     cfg = DetectorConfig(name_candidates=True)
     _check(spark, [(str(i), t) for i, t in enumerate(texts)], cfg.rules(), cfg)
+
+
+def test_texts_with_many_matches(spark):
+    import random
+
+    rnd = random.Random(5)
+    pieces = ["010-1234-5678", "4111 1111 1111 1111", " a@b.co ", "계좌번호 123-45-678901", "06234", "AB123456", "x", " ", "서울시 강남구 역삼동 "]
+    rows = [(f"big{i}", "".join(rnd.choice(pieces) for _ in range(rnd.choice([40, 150, 600])))) for i in range(6)]
+    cfg = DetectorConfig()
+    _check(spark, rows, cfg.rules(), cfg)

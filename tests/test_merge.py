@@ -64,3 +64,25 @@ def test_worked_cases():
     # ADDRESS (0.8) evicted by PHONE (0.9); equal confidence keeps the first.
     assert model_merge([(0, 17, 0.8), (4, 17, 0.9)]) == [1]
     assert model_merge([(0, 5, 0.9), (0, 5, 0.9)]) == [0]
+
+
+def test_long_lists_use_islands_and_match_model(spark):
+    import random
+
+    rnd = random.Random(11)
+    docs = []
+    for d in range(12):
+        n = rnd.choice([33, 64, 200, 700])
+        ms = []
+        for i in range(n):
+            s = rnd.randint(0, n * 3)
+            ms.append((s, s + rnd.randint(1, 15), rnd.choice([0.5, 0.6, 0.8, 0.85, 0.9, 0.95, 0.98])))
+        if d == 0:  # one giant island: a long span covering everything
+            ms.append((0, n * 3 + 20, 0.8))
+        docs.append(ms)
+    rows = [(d, s, e, i, "T", f"v{i}", c, "regex") for d, ms in enumerate(docs) for i, (s, e, c) in enumerate(ms)]
+    long = spark.createDataFrame(rows, "doc long, span_start int, span_end int, ord int, ptype string, value string, confidence double, source string")
+    arr = long.groupBy("doc").agg(F.collect_list(F.struct(*[f.name for f in MATCH_TYPE.fields])).alias("ms"))
+    got = {r.doc: [m.ord for m in r.merged] for r in arr.select("doc", merge_matches(F.col("ms")).alias("merged")).collect()}
+    for d, ms in enumerate(docs):
+        assert got[d] == model_merge(ms), d
