@@ -101,7 +101,8 @@ def merge_matches(cands: Column) -> Column:
     def on_sorted(s: Column) -> Column:
         return F.when(F.size(s) <= SMALL_K, _fold(s)).otherwise(_merge_islands(s))
 
-    return let(F.array_sort(cands), on_sorted)
+    # Zero or one candidate (most texts): nothing to sort or resolve.
+    return F.when(F.size(cands) <= 1, cands).otherwise(let(F.array_sort(cands), on_sorted))
 
 
 def weight_of(ptype: Column, weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT) -> Column:

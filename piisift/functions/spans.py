@@ -59,8 +59,9 @@ def _marked(safe: Column, pattern: str, group: int) -> Column:
 SMALL_K = 32
 
 
-def _fold_spans(body: Column) -> Column:
-    """Running-offset fold; appends copy the array, so only for short arrays."""
+def _fold_spans(segs: Column) -> Column:
+    """Running-offset fold over all segments (the trailing one has no marker and
+    is skipped); appends copy the array, so only for short arrays."""
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
     def step(acc: Column, seg: Column) -> Column:
@@ -68,9 +69,10 @@ def _fold_spans(body: Column) -> Column:
         start = acc["pos"] + gap
         end = start + F.length(seg) - gap - 1
         span = F.struct(start.alias("s"), end.alias("e"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        appended = F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(F.instr(seg, MARK_OPEN) > 0, appended).otherwise(acc)
 
-    return F.aggregate(body, init, step, lambda acc: acc["out"])
+    return F.aggregate(segs, init, step, lambda acc: acc["out"])
 
 
 def _scan_spans(body: Column) -> Column:
@@ -98,10 +100,11 @@ def match_spans(safe: Column, pattern: str, group: int = 0) -> Column:
     """
     segs = F.split(_marked(safe, pattern, group), MARK_CLOSE)
 
-    def on_body(body: Column) -> Column:
-        return F.when(F.size(body) <= SMALL_K, _fold_spans(body)).otherwise(_scan_spans(body))
+    def on_segments(seg_arr: Column) -> Column:
+        body = F.slice(seg_arr, 1, F.size(seg_arr) - 1)
+        return F.when(F.size(seg_arr) <= SMALL_K + 1, _fold_spans(seg_arr)).otherwise(let(body, _scan_spans))
 
-    return let(segs, lambda s: let(F.slice(s, 1, F.size(s) - 1), on_body))
+    return let(segs, on_segments)
 
 
 def has_match(safe: Column, pattern: str) -> Column:
