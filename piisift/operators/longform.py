@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 from piisift.config import ALLOWLIST_KINDS
 from piisift.functions.matches import MATCH_FIELDS, merge_matches
 
-#: Broadcast an allow-list only up to this many rows (checked with a count).
-MAX_BROADCAST_ROWS = 2_000_000
+#: Broadcast an allow-list side only up to this many bytes of values (checked
+#: with one aggregate job before the join).
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def fits_broadcast(table, value_cols: list[str], max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Proven size bound for a broadcast: total UTF-8 bytes of the value columns
+    plus a per-row overhead, computed by one aggregate."""
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in value_cols), F.lit(32)))
+    total = table.agg(size.alias("b")).collect()[0]["b"] or 0
+    return total <= max_bytes
+
+
+def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """V4 as an anti-join on ``(ptype, value)``.
 
-    The allow-list side is broadcast only after its row count is checked;
-    beyond the bound the join is left to a shuffled (sort-merge) anti-join.
+    The allow-list side is broadcast only after its size is checked; beyond
+    the bound the join is a shuffled (sort-merge) anti-join, where AQE splits
+    a skewed partition of the candidate side.
     """
     kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
     right = (
@@ -29,7 +39,7 @@ def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_rows:
         .where(F.col("ptype").isNotNull() & F.col("value").isNotNull())
         .distinct()
     )
-    if right.count() <= max_broadcast_rows:
+    if fits_broadcast(right, ["ptype", "value"], max_broadcast_bytes):
         right = F.broadcast(right)
     return long_df.join(right, on=["ptype", "value"], how="left_anti")
 

@@ -129,7 +129,7 @@ def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConf
     from piisift.config import ALLOWLIST_KINDS
     from piisift.functions.matches import MATCH_FIELDS, score_from_risk, weight_of
     from piisift.operators.detect import explode_matches
-    from piisift.operators.longform import MAX_BROADCAST_ROWS, merge_long
+    from piisift.operators.longform import fits_broadcast, merge_long
     from piisift.session import checkpoint_dir
 
     fields = [f.name for f in MATCH_FIELDS]
@@ -143,7 +143,7 @@ def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConf
         .distinct()
         .withColumn("_after", F.lit(True))
     )
-    if listed.count() <= MAX_BROADCAST_ROWS:
+    if fits_broadcast(listed, ["ptype", "value"]):
         listed = F.broadcast(listed)
 
     def before_listed(m_ptype: Column, m_value: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
 from piisift.functions.llm import default_verdict
-from piisift.functions.matches import public_matches, risk_value, score_from_risk
+from piisift.functions.matches import risk_value, score_from_risk
 from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
 from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, scrub

@@ -54,3 +54,17 @@ def test_allowlist_impact_long_path_equals_inline(spark):
     a = sorted(tuple(r[c] for c in cols) for r in inline.collect())
     b = sorted(tuple(r[c] for c in cols) for r in longp.collect())
     assert a == b and any(r[cols.index("delta")] != 0 for r in a)
+
+
+def test_allowlist_antijoin_broadcast_and_shuffled_agree(spark):
+    from conftest import SF_SMALL
+    from piisift.operators.longform import filter_allowlisted
+    from piisift.plans import catalog, inputs
+
+    c = catalog._candidates_long(inputs.all_texts(spark, SF_SMALL), {"PHONE", "EMAIL", "ACCOUNT"}, allowlist=False)
+    allow = catalog._extended_allow(spark, SF_SMALL)
+    small = filter_allowlisted(c, allow)
+    shuffled = filter_allowlisted(c, allow, max_broadcast_bytes=0)
+    assert "BroadcastExchange" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    a = sorted(map(tuple, small.collect()))
+    assert a == sorted(map(tuple, shuffled.collect())) and len(a) < c.count()
