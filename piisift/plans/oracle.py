@@ -66,7 +66,7 @@ WS_EXTRA_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _EXTRA_WS) + "]"
 
 def _weight_case(col: str = "ptype") -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {float(v)}" for k, v in WEIGHTS.items())
-    return f"(CASE {col} {whens} ELSE {float(DEFAULT_WEIGHT)} END)"
+    return f"CAST(CASE {col} {whens} ELSE {float(DEFAULT_WEIGHT)} END AS DOUBLE)"
 
 
 def _score(risk: str) -> str:

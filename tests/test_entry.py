@@ -25,8 +25,11 @@ def test_every_query_matches_oracle(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    duck = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for name, fn in qs.items():
         df = fn(spark, SF_SMALL)
+        types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sqls[name]}").fetchall()}
+        assert {c: duck.get(t, t) for c, t in df.dtypes} == types, name
         cols = sorted(df.columns)
         spark_rows = sorted(tuple(_key(r[c]) for c in cols) for r in df.collect())
         res = con.execute(sqls[name])
