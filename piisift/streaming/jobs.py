@@ -21,9 +21,11 @@ from piisift.session import checkpoint_dir
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def document_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, glob: str = "documents*.parquet"
+) -> DataFrame:
     """The ``documents`` parquet files of a directory as a stream of (doc_id, text)."""
-    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", "documents*.parquet")
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     s = reader.parquet(sf_dir)
