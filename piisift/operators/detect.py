@@ -137,11 +137,10 @@ def rule_matches(
     pattern: str,
     conf: float,
     group: int,
-    config: DetectorConfig,
     validate: bool = True,
-    allowlist: bool = True,
 ) -> Column:
-    """Validated, allow-listed matches of one rule as an array of match structs."""
+    """Validated matches of one rule as an array of match structs (the
+    allow-list is applied to all rules at once by :func:`with_candidates`)."""
     spans = match_spans(safe, pattern, group)
 
     def to_match(sp: Column) -> Column:
@@ -186,7 +185,6 @@ def candidates_column(
     config: DetectorConfig = DEFAULT_CONFIG,
     types: set[str] | None = None,
     validate: bool = True,
-    allowlist: bool = True,
     gates: bool | None = None,
 ) -> Column:
     """Projection 2: all rule matches, in emission order (needs :func:`with_gates`).
@@ -196,27 +194,22 @@ def candidates_column(
     """
     from pyspark import SparkContext
 
-    key = (id(SparkContext._active_spark_context), text_col, repr(config), tuple(sorted(types or [])), types is None, validate, allowlist, gates)
+    # The expression depends on the rules, validation and gating only (the
+    # allow-list is applied afterwards, in :func:`with_candidates`).
+    use_gates = config.gates if gates is None else gates
+    key = (id(SparkContext._active_spark_context), text_col, tuple(config.rules()), tuple(sorted(types or [])), types is None, validate, use_gates)
     col = _COLUMN_CACHE.get(key)
     if col is None:
-        col = _build_candidates_column(text_col, config, types, validate, allowlist, gates)
+        col = _build_candidates_column(text_col, config, types, validate, use_gates)
         _COLUMN_CACHE[key] = col
     return col
 
 
-def _build_candidates_column(
-    text_col: str = "text",
-    config: DetectorConfig = DEFAULT_CONFIG,
-    types: set[str] | None = None,
-    validate: bool = True,
-    allowlist: bool = True,
-    gates: bool | None = None,
-) -> Column:
-    use_gates = config.gates if gates is None else gates
+def _build_candidates_column(text_col: str, config: DetectorConfig, types: set[str] | None, validate: bool, use_gates: bool) -> Column:
     text, safe = F.col(text_col), F.col("_safe")
     parts = []
     for ordinal, k, ptype, pattern, conf, group in _indexed_rules(config, types):
-        arr = rule_matches(text, safe, ordinal, ptype, pattern, conf, group, config, validate, allowlist)
+        arr = rule_matches(text, safe, ordinal, ptype, pattern, conf, group, validate)
         if use_gates:
             hint = VALID_HINTS.get((ptype, k)) if validate else None
             cond = has_match(safe, hint or pattern)
@@ -242,7 +235,7 @@ def with_candidates(
 ) -> DataFrame:
     """Add the pre-merge candidate array (internal match structs)."""
     gated = with_gates(df, text_col)
-    col = candidates_column(text_col, config, types, validate, allowlist, gates)
+    col = candidates_column(text_col, config, types, validate, gates)
     out = gated.withColumn(out_col, col).drop("_safe", *[f"_g_{g}" for g in GATE_COLUMNS])
     if allowlist and allowlist_sql("m", config.allowlist) is not None:
         out = out.withColumn(out_col, drop_allowlisted(out_col, config.allowlist))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
 from piisift.functions.llm import default_verdict
-from piisift.functions.matches import risk_value, score_from_risk
+from piisift.functions.matches import mask_text, risk_value, score_from_risk
 from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
 from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, scrub
@@ -275,36 +275,40 @@ def whitelist_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowlist_impact_table(inputs.all_texts(spark, sf_dir), _extended_allow(spark, sf_dir))
 
 
+def _verdicts(df: DataFrame, checks: dict[str, "F.Column"]) -> DataFrame:
+    """One row per (check, text) from a single pass over ``df``."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("suite"), F.when(cond, "PASS").otherwise("FAIL").alias("status")) for name, cond in checks.items()])
+    return df.select("doc_id", F.explode(pairs).alias("v")).select("v.suite", "doc_id", "v.status")
+
+
 def qa_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expectation checks in the style of the QA runner, one row per text."""
-    contacts = guard(inputs.customer_records(spark, sf_dir))
+    """Expectation checks in the style of the QA runner, one row per check and text.
+
+    Each input is detected once; all checks on it read that one result.
+    """
     types = F.transform("matches", lambda m: m["ptype"])
-    t1 = contacts.select(
-        F.lit("guard_contacts").alias("suite"), "doc_id",
-        F.when((F.col("pii_score") > 0) & F.array_contains(types, "EMAIL") & F.array_contains(types, "ACCOUNT")
-               & (F.col("blocked") | F.col("answer").contains("<EMAIL>")), "PASS").otherwise("FAIL").alias("status"),
+    contacts = detect(inputs.customer_records(spark, sf_dir), internal=True).select(
+        "doc_id",
+        "matches",
+        score_from_risk(risk_value(F.col("matches"))).alias("score"),
+        mask_text(F.col("text"), F.col("matches")).alias("masked"),
     )
-    scrubbed = scrub(inputs.customer_records(spark, sf_dir))
-    t2 = scrubbed.select(
-        F.lit("scrub_accounts").alias("suite"), "doc_id",
-        F.when(F.array_contains(types, "ACCOUNT") & F.col("scrubbed").contains("<ACCOUNT>"), "PASS").otherwise("FAIL").alias("status"),
+    blocked = F.col("score") >= DEFAULT_CONFIG.block_threshold
+    t12 = _verdicts(
+        contacts,
+        {
+            "guard_contacts": (F.col("score") > 0) & F.array_contains(types, "EMAIL") & F.array_contains(types, "ACCOUNT")
+            & (blocked | F.col("masked").contains("<EMAIL>")),
+            "scrub_accounts": F.array_contains(types, "ACCOUNT") & F.col("masked").contains("<ACCOUNT>"),
+        },
     )
     safe = guard(inputs.conversation_turns(spark, sf_dir, role="assistant"))
-    t4 = safe.select(
-        F.lit("guard_safe").alias("suite"), "doc_id",
-        F.when((F.col("pii_score") == 0) & (F.size("matches") == 0), "PASS").otherwise("FAIL").alias("status"),
-    )
+    t4 = _verdicts(safe, {"guard_safe": (F.col("pii_score") == 0) & (F.size("matches") == 0)})
     rrn = guard(inputs.order_notes(spark, sf_dir))
-    t5 = rrn.select(
-        F.lit("guard_rrn").alias("suite"), "doc_id",
-        F.when(~F.array_contains(types, "RRN"), "PASS").otherwise("FAIL").alias("status"),
-    )
+    t5 = _verdicts(rrn, {"guard_rrn": ~F.array_contains(types, "RRN"), "guard_rrn_low_score": F.col("pii_score") <= 10})
     impact = allowlist_impact_table(inputs.supplier_contacts(spark, sf_dir), _extended_allow(spark, sf_dir))
-    t6 = impact.select(
-        F.lit("whitelist_after").alias("suite"), "doc_id",
-        F.when(F.col("delta") <= 0, "PASS").otherwise("FAIL").alias("status"),
-    )
-    return t1.unionByName(t2).unionByName(t4).unionByName(t5).unionByName(t6)
+    t6 = _verdicts(impact, {"whitelist_after": F.col("delta") <= 0})
+    return t12.unionByName(t4).unionByName(t5).unionByName(t6)
 
 
 def qa_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:

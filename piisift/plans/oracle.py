@@ -640,9 +640,11 @@ def _qa_sql() -> str:
         f"SELECT 'guard_rrn', CASE WHEN r.doc_id IS NULL THEN 'PASS' ELSE 'FAIL' END FROM {orders} o "
         f"LEFT JOIN (SELECT DISTINCT doc_id FROM {mo} WHERE ptype = 'RRN') r USING (doc_id)"
     )
+    go = s.guarded(orders, "qo")
+    t5b = f"SELECT 'guard_rrn_low_score', CASE WHEN pii_score <= 10 THEN 'PASS' ELSE 'FAIL' END FROM {go}"
     imp = _impact_body(s, s.suppliers(), "qw")
     t6 = f"SELECT 'whitelist_after', CASE WHEN delta <= 0 THEN 'PASS' ELSE 'FAIL' END FROM {imp}"
-    res = s.add("qa_results", "\nUNION ALL\n".join([t1, t2, t4, t5, t6]))
+    res = s.add("qa_results", "\nUNION ALL\n".join([t1, t2, t4, t5, t5b, t6]))
     return s.render(
         f"""SELECT suite, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS passed,
   CAST(count(*) - sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS failed,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,3 +162,36 @@ def assemble_documents(
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K1/K2: result or scrubbed-corpus sink (JSON keeps non-ASCII as is)."""
     df.write.mode(mode).format(fmt).save(path)
+
+
+def wire_matches(matches: Column) -> Column:
+    """Matches in the response shape: ``{type, value, span: [start, end], confidence, source}``."""
+    return F.transform(
+        matches,
+        lambda m: F.struct(
+            m["ptype"].alias("type"),
+            m["value"].alias("value"),
+            F.array(m["span_start"], m["span_end"]).alias("span"),
+            m["confidence"].alias("confidence"),
+            m["source"].alias("source"),
+        ),
+    )
+
+
+def guard_response(guarded: DataFrame) -> DataFrame:
+    """K1: one JSON response per guarded text (``answer, pii_score, blocked,
+    matches, prompt_injection``), non-ASCII kept as is."""
+    body = F.struct(
+        F.col("answer").alias("answer"),
+        F.col("pii_score").alias("pii_score"),
+        F.col("blocked").alias("blocked"),
+        wire_matches(F.col("matches")).alias("matches"),
+        F.col("prompt_injection").alias("prompt_injection"),
+    )
+    return guarded.select("doc_id", F.to_json(body).alias("response"))
+
+
+def scrub_response(scrubbed: DataFrame) -> DataFrame:
+    """K1: one JSON response per scrubbed text (``scrubbed, matches``)."""
+    body = F.struct(F.col("scrubbed").alias("scrubbed"), wire_matches(F.col("matches")).alias("matches"))
+    return scrubbed.select("doc_id", F.to_json(body).alias("response"))
