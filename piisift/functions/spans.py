@@ -9,9 +9,11 @@ is.  We obtain Python ``re.finditer`` offsets with built-in expressions only:
    unchanged and no marker can be forged.
 2. ``split`` on ``MARK_CLOSE``: each segment but the last is
    ``<gap before the match> MARK_OPEN <match>``.
-3. ``aggregate`` carries the running offset and emits ``struct<s int, e int>``
-   (0-based, end-exclusive, code points -- the same unit as Spark ``length``
-   and ``substring``).
+3. Match ``i`` ends at the running sum of ``length(segment) - 1`` and starts
+   ``len(match)`` earlier: ``struct<s int, e int>``, 0-based, end-exclusive,
+   in code points (the unit of Spark ``length`` and ``substring``).  Up to
+   ``SMALL_K`` matches an ``aggregate`` carries the sum; beyond that a blocked
+   prefix scan does, so a text's cost stays near-linear in its match count.
 
 Everything stays inside the JVM; no Python runs per row.
 """

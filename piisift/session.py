@@ -41,7 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
-    unset -- local runs and tests -- a fresh local folder is created and set.
+    unset on a ``local[...]`` master (local runs and tests) is a fresh local
+    folder created and set; on a cluster an unset value is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -49,6 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # A machine-local folder would not survive a lost executor or be seen by others.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     local = tempfile.mkdtemp(prefix="piisift-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
