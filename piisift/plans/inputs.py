@@ -45,10 +45,12 @@ def _conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = Non
 
 
 def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer sheet: ID keyword and code, mobile, e-mail, account, card."""
+    """Customer sheet: name context, ID keyword and code, mobile, e-mail, account, card."""
     c = _read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
+    surname = F.element_at(F.array(*[F.lit(x) for x in ("김", "이", "박", "최", "정")]), (k % 5 + 1).cast("int"))
     text = F.concat(
+        F.lit("성함은 "), surname, F.lit("민수님, "),
         F.lit("고객번호: C"), _pad(k, 6),
         F.lit(" 연락처 010-"), _pad(k % 10000, 4), F.lit("-"), _pad(k * 7 % 10000, 4),
         F.lit(", 이메일 "), F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"),

@@ -149,8 +149,10 @@ class Sql:
 
     def customers(self) -> str:
         p, k = self._pad, "c_custkey"
+        surnames = "[" + ", ".join(q(x) for x in ("김", "이", "박", "최", "정")) + "]"
         text = " || ".join(
             [
+                q("성함은 "), f"({surnames})[{k} % 5 + 1]", q("민수님, "),
                 q("고객번호: C"), p(k, 6), q(" 연락처 010-"), p(f"{k} % 10000", 4), "'-'", p(f"{k} * 7 % 10000", 4),
                 q(", 이메일 "), "lower(replace(c_name, '#', '.'))", "'@example.com'",
                 q(", 계좌번호 "), p(f"{k} % 1000", 3), "'-'", p("c_nationkey", 2), "'-'", p(f"{k} * 37 % 1000000", 6),
