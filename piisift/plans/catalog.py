@@ -162,9 +162,10 @@ def pii_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def injection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw injection answers per conversation turn; every fourth turn has none."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    kind = (F.col("conv_id") + F.col("turn")) % 4
+    """Raw injection answers for every user turn, in three shapes (plain JSON,
+    ```json fenced, not JSON); assistant turns have none (-> "no model" default)."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
+    kind = (F.col("conv_id") + F.col("turn")) % 3
     flagged = (F.length("text") % 3 == 0).cast("string")
     response = (
         F.when(
@@ -175,7 +176,7 @@ def injection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("model error {"))
     )
     doc_id = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    return c.where(kind != 3).select(doc_id.alias("doc_id"), F.lit("injection").alias("task"), response.alias("response"))
+    return c.select(doc_id.alias("doc_id"), F.lit("injection").alias("task"), response.alias("response"))
 
 
 def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

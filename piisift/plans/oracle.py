@@ -393,10 +393,10 @@ FROM {norm} WHERE ptype <> '' AND value <> '' AND confidence > {LLM_MIN_CONFIDEN
 
     def injection_responses(self) -> str:
         flagged = "CAST(length(text) % 3 = 0 AS VARCHAR)"
-        body = f"""SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id, CASE (conv_id + turn) % 4
+        body = f"""SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id, CASE (conv_id + turn) % 3
   WHEN 0 THEN '{{"injection_detected": ' || {flagged} || ', "attack_types": ["JAILBREAK", "ROLE_MANIPULATION"], "confidence": 0.9, "details": "pattern"}}'
   WHEN 1 THEN '```json' || chr(10) || '{{"injection_detected": false, "attack_types": [], "confidence": 0.1, "details": "clean"}}' || chr(10) || '```'
-  ELSE 'model error {{' END AS response FROM conversations WHERE (conv_id + turn) % 4 <> 3"""
+  ELSE 'model error {{' END AS response FROM conversations WHERE role = 'user'"""
         return self.add("inj_resp", body)
 
     def verdicts(self) -> str:
