@@ -215,8 +215,9 @@ def injection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guard_block_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J10 over every conversation turn: texts per block reason."""
-    texts = inputs.conversation_turns(spark, sf_dir)
+    """J10 over every conversation turn and customer sheet: texts per block reason."""
+    both = inputs._conversation_turns(spark, sf_dir).unionByName(inputs._customer_records(spark, sf_dir))
+    texts = spread_small_input(both)
     g = hybrid_guard(texts, injection_responses(spark, sf_dir))
     reason = (
         F.when(F.col("prompt_injection.injection_detected"), F.lit("injection"))

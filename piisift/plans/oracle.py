@@ -525,7 +525,7 @@ def _stream_guard_sql() -> str:
 
 def _block_reasons_sql() -> str:
     s = Sql()
-    src = s.turns()
+    src = s.add("reasons_in", f"SELECT doc_id, text FROM {s.turns()} UNION ALL SELECT doc_id, text FROM {s.customers()}")
     g = s.guarded(src, "g", verdicts=s.verdicts())
     reason = "CASE WHEN injection_detected THEN 'injection' WHEN blocked THEN 'pii' ELSE 'none' END"
     return s.render(
