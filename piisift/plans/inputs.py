@@ -1,6 +1,6 @@
 """Text tables the registered queries run on, read from the driver tables.
 
-``documents`` and ``conversations`` carry real prose.  The corpus has no
+``documents``, ``conversations`` and ``pages`` (raw HTML) carry real text.  The corpus has no
 resident numbers, accounts, addresses or ID numbers, so a few stand-in texts
 are composed from other tables' columns (only to give rows of schema
 ``(doc_id string, text string)``; the jobs never see how they were made and
@@ -44,6 +44,12 @@ def _conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = Non
     return c.select(doc_id.alias("doc_id"), "text")
 
 
+def _web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as (doc_id, text): raw HTML is scanned as it is."""
+    p = _read(spark, sf_dir, "pages")
+    return p.select(_key("page-", F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
+
+
 def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer sheet: name context, ID keyword and code, mobile, e-mail, account, card."""
     c = _read(spark, sf_dir, "customer")
@@ -101,6 +107,7 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         _corpus(spark, sf_dir).select("doc_id", "text"),
         _conversation_turns(spark, sf_dir),
+        _web_pages(spark, sf_dir),
         _customer_records(spark, sf_dir),
         _order_notes(spark, sf_dir),
         _supplier_contacts(spark, sf_dir),

@@ -194,6 +194,7 @@ class Sql:
         srcs = [
             f"SELECT doc_id, text FROM {self.corpus()}",
             f"SELECT doc_id, text FROM {self.turns()}",
+            f"SELECT 'page-' || CAST(page_id AS VARCHAR) AS doc_id, html AS text FROM pages",
             f"SELECT doc_id, text FROM {self.customers()}",
             f"SELECT doc_id, text FROM {self.orders()}",
             f"SELECT doc_id, text FROM {self.suppliers()}",
