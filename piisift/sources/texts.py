@@ -25,6 +25,18 @@ LLM_RESPONSE_SCHEMA = T.StructType(
 )
 
 
+def _bytes(conf_value: str, default: int) -> int:
+    """A Spark size setting ("134217728b", "128m", "1g", "64MB") in bytes."""
+    text = str(conf_value).strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    try:
+        if text and text[-1] in units:
+            return int(float(text[:-1]) * units[text[-1]])
+        return int(text)
+    except ValueError:
+        return default
+
+
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Give CPU-bound detection all cores when the input is small.
 
@@ -32,16 +44,17 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     group is read by one task however many splits it has.  When Catalyst's size
     estimate shows fewer bytes than one split per core, a round-robin
     repartition over the cores is cheap and removes that bottleneck.  Larger
-    inputs keep their natural splits and stay shuffle-free.
+    inputs keep their natural splits and stay shuffle-free.  Without an
+    estimate (or a classic session) the plan is left unchanged.
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
     try:
+        spark = df.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"), 128 << 20)
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
+    except Exception:  # noqa: BLE001 - no estimate available: leave the plan alone
         return df
     if size < split * cores:
         return df.repartition(cores)
