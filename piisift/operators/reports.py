@@ -110,7 +110,8 @@ def allowlist_impact_table(
 
     Up to ``max_inline`` distinct entries the list is inlined and the row-form
     job runs (no shuffle).  Beyond that the long-form path runs: candidates are
-    exploded once and materialised in the shared checkpoint folder, flagged by a
+    found once per text (keyed by a row id, so duplicate or hot ``doc_id`` values
+    do no harm) and materialised in the shared checkpoint folder, flagged by a
     (size-checked broadcast or shuffled) join with the list, and both variants
     are merged per text with the islands merge.
     """
@@ -133,8 +134,15 @@ def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConf
     from piisift.session import checkpoint_dir
 
     fields = [f.name for f in MATCH_FIELDS]
-    c = with_candidates(df.select("doc_id", text_col), text_col, before, allowlist=False)
-    long = explode_matches(c, ["doc_id"], "_cands").select("doc_id", *fields)
+    # Key by a per-row id, not doc_id: texts sharing an id stay apart and a hot
+    # id cannot pile up in one task.  The thin per-text table (id, doc_id,
+    # candidate array; no text) is materialised once in the shared folder: the
+    # ids are fixed from here on and the regex work is not repeated.
+    base = df.select("doc_id", text_col).withColumn("_row", F.monotonically_increasing_id())
+    checkpoint_dir(df.sparkSession)
+    c = with_candidates(base, text_col, before, allowlist=False).select("_row", "doc_id", "_cands").checkpoint(eager=True)
+    docs = c.select("_row", "doc_id")
+    long = explode_matches(c, ["_row"], "_cands").select("_row", *fields)
 
     kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
     listed = (
@@ -159,23 +167,19 @@ def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConf
         .withColumn("_after", F.coalesce(F.col("_after"), F.lit(False)))
         .withColumn("_before", before_listed(F.col("ptype"), F.col("value")))
     )
-    # Used three times below: materialise once in the shared folder (lineage cut).
-    checkpoint_dir(df.sparkSession)
-    flagged = flagged.checkpoint(eager=True)
 
     variants = flagged.where(~F.col("_before")).withColumn("_v", F.lit("before")).unionByName(
         flagged.where(~F.col("_after")).withColumn("_v", F.lit("after"))
     )
-    merged = merge_long(variants.select("doc_id", "_v", *fields), ["doc_id", "_v"])
-    per = merged.groupBy("doc_id").agg(
+    merged = merge_long(variants.select("_row", "_v", *fields), ["_row", "_v"])
+    per = merged.groupBy("_row").agg(
         F.sum(F.when(F.col("_v") == "before", 1).otherwise(0)).cast("int").alias("matches_before"),
         F.sum(F.when(F.col("_v") == "after", 1).otherwise(0)).cast("int").alias("matches_after"),
         F.sum(F.when(F.col("_v") == "before", weight_of(F.col("ptype"), before.weights, before.default_weight)).otherwise(0.0)).alias("_rb"),
         F.sum(F.when(F.col("_v") == "after", weight_of(F.col("ptype"), before.weights, before.default_weight)).otherwise(0.0)).alias("_ra"),
     )
-    newly = flagged.where(~F.col("_before") & F.col("_after")).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("newly_filtered"))
-    docs = df.select("doc_id")
-    out = docs.join(per, "doc_id", "left").join(newly, "doc_id", "left")
+    newly = flagged.where(~F.col("_before") & F.col("_after")).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("newly_filtered"))
+    out = docs.join(per, "_row", "left").join(newly, "_row", "left")
     out = out.select(
         "doc_id",
         F.coalesce("matches_before", F.lit(0)).alias("matches_before"),
