@@ -117,16 +117,8 @@ def count_allowlisted(array_col: str, lists: dict[str, list[str]]) -> Column:
     return F.expr(f"size(filter({array_col}, m -> {pred}))")
 
 
-def _validated(ptype: str, m: Column, validate: bool) -> Column | None:
-    if not validate:
-        return None
-    if ptype == "CARD":
-        return luhn_valid(m["value"])
-    if ptype == "RRN":
-        return rrn_valid(m["value"])
-    if ptype == "ACCOUNT":
-        return enough_account_digits(m["value"])
-    return None
+#: V1-V3: the validator a type's candidates must pass (by value).
+VALIDATORS = {"CARD": luhn_valid, "RRN": rrn_valid, "ACCOUNT": enough_account_digits}
 
 
 def rule_matches(
@@ -149,24 +141,9 @@ def rule_matches(
         return make_match(sp["s"], sp["e"], ordinal, ptype, value, conf, "regex")
 
     out = F.transform(spans, to_match)
-
-    def conditions(m: Column) -> list[Column]:
-        conds = []
-        valid = _validated(ptype, m, validate)
-        if valid is not None:
-            conds.append(valid)
-        return conds
-
-    if conditions(F.struct(F.lit(None).alias("value"))):
-
-        def keep(m: Column) -> Column:
-            conds = conditions(m)
-            cond = conds[0]
-            for c in conds[1:]:
-                cond = cond & c
-            return cond
-
-        out = F.filter(out, keep)
+    validator = VALIDATORS.get(ptype) if validate else None
+    if validator is not None:
+        out = F.filter(out, lambda m: validator(m["value"]))
     return out
 
 
