@@ -61,3 +61,21 @@ def test_wire_responses_match_published_shape(spark):
     s = json.loads(scrub_response(scrub(df2)).collect()[0].response)
     assert s["scrubbed"] == "홍길동의 계좌번호 <ACCOUNT> 로 이체"
     assert [(m["type"], m["value"], m["span"]) for m in s["matches"]] == [("ACCOUNT", "123-456-7890123", [10, 25])]
+
+
+def test_command_line_jobs(spark):
+    from piisift.__main__ import main
+
+    d = tempfile.mkdtemp(prefix="piisift-cli-", dir="/tmp")
+    spark.createDataFrame([("a", "고객 연락처: 010-9876-5432, 계좌: 123-45-678901")], "doc_id string, text string").write.parquet(f"{d}/in")
+    assert main(["scrub", "--input", f"{d}/in", "--output", f"{d}/scrub"]) == 0
+    r = json.loads(spark.read.json(f"{d}/scrub").collect()[0].response)
+    assert r["scrubbed"] == "고객 연락처: <PHONE>, 계좌: <ACCOUNT>"
+    assert main(["guard", "--input", f"{d}/in", "--output", f"{d}/guard"]) == 0
+    g = json.loads(spark.read.json(f"{d}/guard").collect()[0].response)
+    assert g["pii_score"] == 37 and g["blocked"] is False
+    spark.createDataFrame([("p", 1, "연락처 010-1234-5678"), ("p", 2, "")], "doc_id string, page_no int, text string").write.parquet(f"{d}/pages")
+    assert main(["report", "--input", f"{d}/pages", "--output", f"{d}/report"]) == 0
+    rep = json.loads(spark.read.json(f"{d}/report").collect()[0].response)
+    assert rep["total_matches"] == 1 and rep["entities"] == [{"type": "PHONE", "value": "010-1234-5678"}]
+    assert rep["preview"] == "[페이지 1]\n연락처 <PHONE>\n"
