@@ -31,19 +31,26 @@ MARK_OPEN = "\ue000"
 MARK_CLOSE = "\ue001"
 MARK_SUBSTITUTE = "\ufffd"
 
+#: ``s``/``e``: offsets; ``v``: the matched text as read from the segment (equal
+#: to the original text's slice whenever the text holds no marker character).
 SPAN_TYPE = T.ArrayType(
-    T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
+    T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("v", T.StringType())])
 )
 
 
-def safe_text(text: Column) -> Column:
+def has_marker(text: Column) -> Column:
+    """Whether the text holds a marker character (byte search)."""
+    return (F.instr(text, MARK_OPEN) > 0) | (F.instr(text, MARK_CLOSE) > 0)
+
+
+def safe_text(text: Column, marker: Column | None = None) -> Column:
     """The text with marker characters neutralised (same length, same matches).
 
-    ``translate`` copies the text with a per-character lookup; a byte search
-    first skips that for the (usual) texts holding no marker.
+    ``translate`` copies the text with a per-character lookup; the byte search
+    of :func:`has_marker` first skips that for the (usual) texts holding none.
     """
-    has_marker = (F.instr(text, MARK_OPEN) > 0) | (F.instr(text, MARK_CLOSE) > 0)
-    return F.when(has_marker, F.translate(text, MARK_OPEN + MARK_CLOSE, MARK_SUBSTITUTE + MARK_SUBSTITUTE)).otherwise(text)
+    flag = has_marker(text) if marker is None else marker
+    return F.when(flag, F.translate(text, MARK_OPEN + MARK_CLOSE, MARK_SUBSTITUTE + MARK_SUBSTITUTE)).otherwise(text)
 
 
 def _marked(safe: Column, pattern: str, group: int) -> Column:
@@ -70,7 +77,7 @@ def _fold_spans(segs: Column) -> Column:
         gap = F.length(F.substring_index(seg, MARK_OPEN, 1))
         start = acc["pos"] + gap
         end = start + F.length(seg) - gap - 1
-        span = F.struct(start.alias("s"), end.alias("e"))
+        span = F.struct(start.alias("s"), end.alias("e"), F.substring_index(seg, MARK_OPEN, -1).alias("v"))
         appended = F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
         return F.when(F.instr(seg, MARK_OPEN) > 0, appended).otherwise(acc)
 
@@ -83,7 +90,7 @@ def _scan_spans(body: Column) -> Column:
     def with_ends(ends: Column) -> Column:
         def span(seg: Column, end: Column) -> Column:
             match_len = F.length(seg) - F.length(F.substring_index(seg, MARK_OPEN, 1)) - 1
-            return F.struct((end - match_len).alias("s"), end.alias("e"))
+            return F.struct((end - match_len).alias("s"), end.alias("e"), F.substring_index(seg, MARK_OPEN, -1).alias("v"))
 
         return F.zip_with(body, ends, span)
 

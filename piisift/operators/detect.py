@@ -24,7 +24,7 @@ from piisift.functions.matches import (
     merge_matches,
     public_matches,
 )
-from piisift.functions.spans import has_match, match_spans, safe_text
+from piisift.functions.spans import has_marker, has_match, match_spans, safe_text
 from piisift.functions.validators import enough_account_digits, luhn_valid, py_strip, rrn_valid
 
 DEFAULT_CONFIG = DetectorConfig()
@@ -136,7 +136,9 @@ def rule_matches(
     spans = match_spans(safe, pattern, group)
 
     def to_match(sp: Column) -> Column:
-        raw = F.substring(text, sp["s"] + 1, sp["e"] - sp["s"])
+        # The segment already holds the match; slicing the text (a walk from its
+        # start) is only needed when marker characters were translated away.
+        raw = F.when(F.col("_g_marker"), F.substring(text, sp["s"] + 1, sp["e"] - sp["s"])).otherwise(sp["v"])
         value = py_strip(raw) if ptype == "CARD" else raw  # CARD: stripped value, unstripped span
         return make_match(sp["s"], sp["e"], ordinal, ptype, value, conf, "regex")
 
@@ -148,9 +150,9 @@ def rule_matches(
 
 
 def with_gates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Projection 1: marker-safe text plus the cheap gate booleans."""
-    safe = safe_text(F.col(text_col))
-    df = df.withColumn("_safe", safe)
+    """Projection 1: marker flag, marker-safe text and the cheap gate booleans."""
+    df = df.withColumn("_g_marker", has_marker(F.col(text_col)))
+    df = df.withColumn("_safe", safe_text(F.col(text_col), F.col("_g_marker")))
     return df.withColumns({f"_g_{name}": fn(F.col("_safe")) for name, fn in GATE_COLUMNS.items()})
 
 
@@ -213,7 +215,7 @@ def with_candidates(
     """Add the pre-merge candidate array (internal match structs)."""
     gated = with_gates(df, text_col)
     col = candidates_column(text_col, config, types, validate, gates)
-    out = gated.withColumn(out_col, col).drop("_safe", *[f"_g_{g}" for g in GATE_COLUMNS])
+    out = gated.withColumn(out_col, col).drop("_safe", "_g_marker", *[f"_g_{g}" for g in GATE_COLUMNS])
     if allowlist and allowlist_sql("m", config.allowlist) is not None:
         out = out.withColumn(out_col, drop_allowlisted(out_col, config.allowlist))
     return out

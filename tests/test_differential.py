@@ -41,6 +41,10 @@ def _check(spark, rows, rules, config):
         for ordinal, (ptype, pattern, _conf, group) in enumerate(rules):
             spark_spans = [(m.span_start, m.span_end) for m in cands if m.ord == ordinal]
             assert spark_spans == _python_spans(text, pattern, group), (doc_id, ptype, pattern)
+            for m in cands:
+                if m.ord == ordinal:
+                    raw = text[m.span_start : m.span_end]
+                    assert m.value == (raw.strip() if ptype == "CARD" else raw), (doc_id, ptype)
 
 
 def test_fixture_and_tricky_texts(spark):
