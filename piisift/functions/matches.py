@@ -122,25 +122,59 @@ def score_from_risk(risk: Column) -> Column:
     return F.when(risk == 0, F.lit(0)).otherwise(raw.cast("int"))
 
 
+#: Texts longer than this are sliced through fixed-size chunks when masking.
+MASK_CHUNK = 4096
+
+
+def _chunked_slice(chunks: Column, start: Column, length: Column) -> Column:
+    """``text[start : start + length]`` (0-based) from the text's chunks of
+    ``MASK_CHUNK`` code points: each piece walks at most its own chunks instead
+    of the text from its beginning."""
+    c = MASK_CHUNK
+    first = (start / c).cast("int")
+    last = ((start + length - 1) / c).cast("int")
+
+    def part(j: Column) -> Column:
+        lo = F.greatest(start, j * c)
+        hi = F.least(start + length, (j + 1) * c)
+        return F.substring(F.element_at(chunks, j + 1), lo - j * c + 1, hi - lo)
+
+    return F.when(length <= 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, last), part), ""))
+
+
 def mask_text(text: Column, matches: Column) -> Column:
     """Replace every merged span by ``<TYPE>``.
 
     The merged spans are disjoint and sorted, so one left-to-right pass equals
     the right-to-left slicing of the reference.  Each piece is the gap since the
     previous span's end plus the token; ``zip_with`` pairs a span with the end
-    of its predecessor, so the lambdas never re-read the array column.
+    of its predecessor, so the lambdas never re-read the array column.  A plain
+    ``substring`` walks the text from its start, so long texts are cut into
+    chunks once (``regexp_extract_all``) and each gap is sliced from its chunks:
+    linear in the text plus a chunk per span, not text length times spans.
     """
     ends = F.transform(matches, lambda m: m["span_end"])
     prev_ends = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(matches))
-    pieces = F.zip_with(
-        matches,
-        prev_ends,
-        lambda m, pe: F.concat(
-            F.substring(text, pe + 1, m["span_start"] - pe), F.lit("<"), m["ptype"], F.lit(">")
-        ),
-    )
     tail_from = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + 1
-    return F.concat(F.array_join(pieces, ""), F.substr(text, tail_from))
+
+    def pieces(slice_gap) -> Column:
+        return F.array_join(
+            F.zip_with(
+                matches,
+                prev_ends,
+                lambda m, pe: F.concat(slice_gap(pe, m["span_start"] - pe), F.lit("<"), m["ptype"], F.lit(">")),
+            ),
+            "",
+        )
+
+    direct = pieces(lambda a, n: F.substring(text, a + 1, n))
+
+    def chunked(chunks: Column) -> Column:
+        return pieces(lambda a, n: _chunked_slice(chunks, a, n))
+
+    long_text = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MASK_CHUNK}}}"), 0), chunked)
+    body = F.when((F.length(text) <= MASK_CHUNK) | (F.size(matches) <= 1), direct).otherwise(long_text)
+    return F.concat(body, F.substr(text, tail_from))
 
 
 def public_matches(matches: Column) -> Column:
