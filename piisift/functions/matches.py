@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piisift.config import DEFAULT_WEIGHT, SCORE_SCALE, WEIGHTS
-from piisift.functions.arrays import inclusive_scan, let
+from piisift.functions.arrays import let
 
 MATCH_FIELDS = [
     T.StructField("span_start", T.IntegerType()),
@@ -65,25 +65,54 @@ def _fold(sorted_matches: Column) -> Column:
     return F.aggregate(sorted_matches, empty_matches(), step)
 
 
-def _merge_islands(s: Column) -> Column:
-    """Split the sorted array where a match starts at or after every earlier end
-    (prefix max of ends, blocked scan) and fold each island on its own."""
+#: Block size of the blocked merge.
+MERGE_BLOCK = 64
+
+
+def _next_last(last: Column, m: Column) -> Column:
+    """The fold's state is the last accepted match: ``m`` becomes it when it
+    starts at or after its end (append) or is strictly more confident (replace)."""
+    return F.when(
+        last.isNull() | (m["span_start"] >= last["span_end"]) | (m["confidence"] > last["confidence"]), m
+    ).otherwise(last)
+
+
+def _merge_blocked(s: Column) -> Column:
+    """The same fold, in blocks: a scalar-state pass gives each block's incoming
+    last-accepted match, then every block independently emits the matches it
+    finalises (a match is final once a later one is appended after it).
+    ``O(k * block + (k / block)^2)`` for ``k`` candidates, whatever the overlaps."""
+    b = MERGE_BLOCK
     n = F.size(s)
+    n_blocks = ((n + b - 1) / b).cast("int")
+    no_match = F.lit(None).cast(MATCH_TYPE)
+
+    def block(j: Column) -> Column:
+        return F.slice(s, j * b + 1, b)
+
+    # Incoming state of each block (exclusive scan with a scalar state).
+    def pass_block(acc: Column, j: Column) -> Column:
+        out = F.aggregate(block(j), acc["last"], _next_last)
+        return F.struct(out.alias("last"), F.concat(acc["ins"], F.array(acc["last"])).alias("ins"))
 
-    def with_max(pmax: Column) -> Column:
-        opens = F.transform(s, lambda m, i: F.when((i == 0) | (m["span_start"] >= F.element_at(pmax, i)), i).otherwise(F.lit(-1)))
+    init = F.struct(no_match.alias("last"), F.array().cast(MATCHES_TYPE).alias("ins"))
+    states = F.aggregate(F.sequence(F.lit(0), n_blocks - 1), init, pass_block)
 
-        def per_island(starts: Column) -> Column:
-            def island(st: Column, j: Column) -> Column:
-                nxt = F.coalesce(F.try_element_at(starts, j + 2), n)
-                return _fold(F.slice(s, st + 1, nxt - st))
+    def finalise(st: Column) -> Column:
+        def emit(j: Column) -> Column:
+            def step(acc: Column, m: Column) -> Column:
+                last = acc["last"]
+                appended = last.isNotNull() & (m["span_start"] >= last["span_end"])
+                fin = F.when(appended, F.concat(acc["fin"], F.array(last))).otherwise(acc["fin"])
+                return F.struct(fin.alias("fin"), _next_last(last, m).alias("last"))
 
-            return F.flatten(F.transform(starts, island))
+            start = F.struct(F.array().cast(MATCHES_TYPE).alias("fin"), F.element_at(st["ins"], j + 1).alias("last"))
+            return F.aggregate(block(j), start, step, lambda acc: acc["fin"])
 
-        return let(F.filter(opens, lambda x: x >= 0), per_island)
+        done = F.flatten(F.transform(F.sequence(F.lit(0), n_blocks - 1), emit))
+        return F.concat(done, F.array(st["last"]))
 
-    ends = F.transform(s, lambda m: m["span_end"])
-    return let(inclusive_scan(ends, lambda a, b: F.greatest(a, b), F.lit(0)), with_max)
+    return let(states, finalise)
 
 
 def merge_matches(cands: Column) -> Column:
@@ -92,14 +121,12 @@ def merge_matches(cands: Column) -> Column:
     Sorted by (start, end, ord), the accepted list stays disjoint, so a new match
     can only overlap the *last* accepted one: append when it starts at or after
     that one's end; replace it when strictly more confident; drop otherwise.
-    Same-span duplicates fall in the second/third case.  A match starting at or
-    after every earlier end opens an *island* that cannot interact with earlier
-    ones, so long arrays are folded island by island (no quadratic copying of
-    the whole array).
+    Same-span duplicates fall in the second/third case.  Long arrays use the
+    blocked form of the same fold (no quadratic copying of the whole array).
     """
 
     def on_sorted(s: Column) -> Column:
-        return F.when(F.size(s) <= SMALL_K, _fold(s)).otherwise(_merge_islands(s))
+        return F.when(F.size(s) <= SMALL_K, _fold(s)).otherwise(_merge_blocked(s))
 
     # Zero or one candidate (most texts): nothing to sort or resolve.
     return F.when(F.size(cands) <= 1, cands).otherwise(let(F.array_sort(cands), on_sorted))
