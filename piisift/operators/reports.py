@@ -6,14 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piisift.config import (
+    ALLOWLIST_KINDS,
     REPORT_MAX_ENTITIES,
     REPORT_PREVIEW_CHARS,
     REPORT_PREVIEW_ELLIPSIS,
     DetectorConfig,
 )
-from piisift.functions.matches import merge_matches, risk_value, score_from_risk
-from piisift.operators.detect import DEFAULT_CONFIG, _allowed, count_allowlisted, drop_allowlisted, with_candidates
+from piisift.functions.matches import MATCH_FIELDS, merge_matches, risk_value, score_from_risk, weight_of
+from piisift.operators.detect import (
+    DEFAULT_CONFIG,
+    _allowed,
+    count_allowlisted,
+    drop_allowlisted,
+    explode_matches,
+    with_candidates,
+)
 from piisift.operators.guard import guard
+from piisift.operators.longform import fits_broadcast, merge_long
+from piisift.session import checkpoint_dir
+from piisift.sources.texts import collect_allowlist
 
 
 def top_entities(matches: Column, cap: int = REPORT_MAX_ENTITIES) -> Column:
@@ -115,8 +126,6 @@ def allowlist_impact_table(
     (size-checked broadcast or shuffled) join with the list, and both variants
     are merged per text with the islands merge.
     """
-    from piisift.sources.texts import collect_allowlist
-
     distinct = allow.select("kind", "value").distinct()
     try:
         lists = collect_allowlist(distinct, max_inline)
@@ -127,12 +136,6 @@ def allowlist_impact_table(
 
 
 def _allowlist_impact_long(df: DataFrame, allow: DataFrame, before: DetectorConfig, text_col: str) -> DataFrame:
-    from piisift.config import ALLOWLIST_KINDS
-    from piisift.functions.matches import MATCH_FIELDS, score_from_risk, weight_of
-    from piisift.operators.detect import explode_matches
-    from piisift.operators.longform import fits_broadcast, merge_long
-    from piisift.session import checkpoint_dir
-
     fields = [f.name for f in MATCH_FIELDS]
     # Key by a per-row id, not doc_id: texts sharing an id stay apart and a hot
     # id cannot pile up in one task.  The thin per-text table (id, doc_id,

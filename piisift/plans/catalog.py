@@ -20,7 +20,9 @@ from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, wi
 from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, scrub
 from piisift.operators.longform import filter_allowlisted
 from piisift.operators.reports import allowlist_impact_table, qa_summary, top_entities
+from piisift.operators.reports import document_report as build_document_report
 from piisift.plans import inputs
+from piisift.streaming.jobs import run_stream_guard, run_stream_scrub
 from piisift.sources.texts import allowlist_table, assemble_documents, spread_small_input
 
 CANDIDATE_COLS = ["doc_id", "rule", "ptype", "value", "span_start", "span_end", "confidence"]
@@ -251,9 +253,7 @@ def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per assembled document score, blocked, match count, top-20 entities, preview."""
-    from piisift.operators.reports import document_report as report
-
-    r = report(assemble_documents(_pages(spark, sf_dir)))
+    r = build_document_report(assemble_documents(_pages(spark, sf_dir)))
     return r.select(
         "doc_id",
         "pii_score",
@@ -333,15 +333,11 @@ def risk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guard as a Structured Streaming query over the document files."""
-    from piisift.streaming.jobs import run_stream_guard
-
     return run_stream_guard(spark, sf_dir)
 
 
 def stream_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrub as a Structured Streaming query over the document files."""
-    from piisift.streaming.jobs import run_stream_scrub
-
     return run_stream_scrub(spark, sf_dir)
 
 
