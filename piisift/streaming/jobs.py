@@ -46,8 +46,9 @@ def start_sink(df: DataFrame, out_dir: str, name: str, available_now: bool = Tru
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    q = start_sink(stream, out_dir, name)
+    run_id = f"{name}_{uuid.uuid4().hex}"
+    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/{run_id}"
+    q = start_sink(stream, out_dir, run_id)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
