@@ -15,9 +15,15 @@ from piisift.functions.matches import empty_matches, mask_text, public_matches,
 from piisift.operators.detect import DEFAULT_CONFIG, detect
 
 
-def scrub(df: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG, extra_matches_col: str | None = None) -> DataFrame:
+def scrub(
+    df: DataFrame,
+    text_col: str = "text",
+    config: DetectorConfig = DEFAULT_CONFIG,
+    extra_matches_col: str | None = None,
+    allowlist_table: DataFrame | None = None,
+) -> DataFrame:
     """``scrubbed`` (every merged span replaced by ``<TYPE>``) and ``matches``; never blocks."""
-    d = detect(df, text_col, config, extra_matches_col=extra_matches_col, internal=True)
+    d = detect(df, text_col, config, extra_matches_col=extra_matches_col, internal=True, allowlist_table=allowlist_table)
     return d.select(
         *[c for c in df.columns if c != extra_matches_col],
         mask_text(F.col(text_col), F.col("matches")).alias("scrubbed"),
@@ -31,6 +37,7 @@ def guard(
     config: DetectorConfig = DEFAULT_CONFIG,
     extra_matches_col: str | None = None,
     verdict_col: str | None = None,
+    allowlist_table: DataFrame | None = None,
 ) -> DataFrame:
     """``answer, pii_score, blocked, matches, prompt_injection``.
 
@@ -38,7 +45,7 @@ def guard(
     the injection message wins over the PII message; otherwise the masked text.
     Without ``verdict_col`` every verdict is the "no model" default.
     """
-    d = detect(df, text_col, config, extra_matches_col=extra_matches_col, internal=True)
+    d = detect(df, text_col, config, extra_matches_col=extra_matches_col, internal=True, allowlist_table=allowlist_table)
     verdict = F.coalesce(F.col(verdict_col), default_verdict()) if verdict_col else default_verdict()
     keep = [c for c in df.columns if c not in (extra_matches_col, verdict_col)]
     scored = d.select(

@@ -26,6 +26,16 @@ def fits_broadcast(table, value_cols: list[str], max_bytes: int = MAX_BROADCAST_
     return total <= max_bytes
 
 
+def typed_allowlist(allow: DataFrame) -> DataFrame:
+    """``(kind, value)`` -> distinct ``(ptype, value)`` of the kinds that apply."""
+    kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
+    return (
+        allow.select(F.try_element_at(kinds, F.col("kind")).alias("ptype"), F.col("value"))
+        .where(F.col("ptype").isNotNull() & F.col("value").isNotNull())
+        .distinct()
+    )
+
+
 def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """V4 as an anti-join on ``(ptype, value)``.
 
@@ -33,12 +43,7 @@ def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_bytes
     the bound the join is a shuffled (sort-merge) anti-join, where AQE splits
     a skewed partition of the candidate side.
     """
-    kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
-    right = (
-        allow.select(F.try_element_at(kinds, F.col("kind")).alias("ptype"), F.col("value"))
-        .where(F.col("ptype").isNotNull() & F.col("value").isNotNull())
-        .distinct()
-    )
+    right = typed_allowlist(allow)
     if fits_broadcast(right, ["ptype", "value"], max_broadcast_bytes):
         right = F.broadcast(right)
     return long_df.join(right, on=["ptype", "value"], how="left_anti")

@@ -68,3 +68,23 @@ def test_allowlist_antijoin_broadcast_and_shuffled_agree(spark):
     assert "BroadcastExchange" not in shuffled._jdf.queryExecution().executedPlan().toString()
     a = sorted(map(tuple, small.collect()))
     assert a == sorted(map(tuple, shuffled.collect())) and len(a) < c.count()
+
+
+def test_detect_with_allowlist_table_inline_and_join_agree(spark):
+    from conftest import SF_SMALL
+    from piisift.operators.detect import detect
+    from piisift.operators.guard import guard
+    from piisift.plans import catalog, inputs
+
+    texts = inputs.all_texts(spark, SF_SMALL)
+    allow = catalog._extended_allow(spark, SF_SMALL)
+
+    def rows(df):
+        return sorted((r.doc_id, tuple((m.ptype, m.span_start, m.span_end) for m in r.matches)) for r in df.collect())
+
+    inline = rows(detect(texts, allowlist_table=allow))
+    joined = rows(detect(texts, allowlist_table=allow, max_inline=0))
+    plain = rows(detect(texts))
+    assert inline == joined and inline != plain
+    g = guard(texts, allowlist_table=allow).where("pii_score > 0").count()
+    assert g > 0
