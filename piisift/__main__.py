@@ -40,13 +40,16 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     spark = get_spark()
-    lists = DEFAULT_ALLOWLIST
+    table = None
     if args.allowlist:
         fmt = "json" if args.allowlist.endswith(".json") else "parquet"
-        lists = collect_allowlist(spark.read.format(fmt).load(args.allowlist))
-    config = DetectorConfig(allowlist=lists, name_candidates=args.names)
+        table = spark.read.format(fmt).load(args.allowlist)
+    config = DetectorConfig(allowlist=DEFAULT_ALLOWLIST, name_candidates=args.names)
 
     if args.command == "report":
+        if table is not None:  # reports are per document: inline only (bounded check)
+            extra = collect_allowlist(table)
+            config = DetectorConfig(allowlist={k: DEFAULT_ALLOWLIST.get(k, []) + v for k, v in extra.items()}, name_candidates=args.names)
         pages = spark.read.format(args.input_format).load(args.input)
         docs = assemble_documents(pages, doc_col=args.id_col, text_col=args.text_col)
         entities = F.transform("entities", lambda e: F.struct(e["ptype"].alias("type"), e["value"].alias("value")))
@@ -56,7 +59,10 @@ def main(argv: list[str] | None = None) -> int:
         )
     else:
         texts = read_texts(spark, args.input, args.input_format, args.id_col, args.text_col)
-        out = scrub_response(scrub(texts, config=config)) if args.command == "scrub" else guard_response(guard(texts, config=config))
+        if args.command == "scrub":
+            out = scrub_response(scrub(texts, config=config, allowlist_table=table))
+        else:
+            out = guard_response(guard(texts, config=config, allowlist_table=table))
     out.write.mode("overwrite").format(args.format).save(args.output)
     return 0
 

@@ -79,3 +79,14 @@ def test_command_line_jobs(spark):
     rep = json.loads(spark.read.json(f"{d}/report").collect()[0].response)
     assert rep["total_matches"] == 1 and rep["entities"] == [{"type": "PHONE", "value": "010-1234-5678"}]
     assert rep["preview"] == "[페이지 1]\n연락처 <PHONE>\n"
+
+
+def test_command_line_allowlist_table(spark):
+    from piisift.__main__ import main
+
+    d = tempfile.mkdtemp(prefix="piisift-cli-", dir="/tmp")
+    spark.createDataFrame([("a", "연락처 010-9876-5432 메일 me@x.org")], "doc_id string, text string").write.parquet(f"{d}/in")
+    spark.createDataFrame([("phones", "010-9876-5432")], "kind string, value string").write.parquet(f"{d}/allow")
+    assert main(["guard", "--input", f"{d}/in", "--output", f"{d}/g", "--allowlist", f"{d}/allow"]) == 0
+    g = json.loads(spark.read.json(f"{d}/g").collect()[0].response)
+    assert [m["type"] for m in g["matches"]] == ["EMAIL"]
