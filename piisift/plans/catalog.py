@@ -119,6 +119,13 @@ def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
 
 
+def scrub_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with an allow-list given as a table (S5): every text scrubbed with the
+    shipped list plus the table-derived entries."""
+    s = scrub(inputs.all_texts(spark, sf_dir), allowlist_table=_extended_allow(spark, sf_dir))
+    return s.select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
+
+
 def _guard_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
     return spread_small_input(both)
@@ -357,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_score": risk_score,
     "mask_documents": mask_documents,
     "scrub_documents": scrub_documents,
+    "scrub_allowlisted": scrub_allowlisted,
     "guard_documents": guard_documents,
     "guard_block_reasons": guard_block_reasons,
     "llm_pii_parse": llm_pii_parse,

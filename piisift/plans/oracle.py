@@ -510,6 +510,18 @@ def _scrub_sql() -> str:
     return s.render(f"SELECT mk.doc_id, mk.masked AS scrubbed, sc.n_matches FROM {mk} mk JOIN {sc} sc USING (doc_id)")
 
 
+def _scrub_allowlisted_sql() -> str:
+    s = Sql()
+    src = s.all_texts()
+    raw = s.candidates(src, "a", allowlist=None)
+    a = s.extended_allow_lists()
+    kept = s.add("a_kept", f"SELECT * FROM {raw} c WHERE NOT EXISTS (SELECT 1 FROM {a} x WHERE x.ptype = c.ptype AND x.value = c.value)")
+    m = s.merged(kept, "ak")
+    mk = s.masked(src, m, "ak")
+    sc = s.scores(src, m, "ak")
+    return s.render(f"SELECT mk.doc_id, mk.masked AS scrubbed, sc.n_matches FROM {mk} mk JOIN {sc} sc USING (doc_id)")
+
+
 def _guard_sql() -> str:
     s = Sql()
     src = s.add("guard_in", f"SELECT doc_id, text FROM {s.turns('assistant')} UNION ALL SELECT doc_id, text FROM {s.customers()}")
@@ -690,6 +702,7 @@ ORACLE: dict[str, callable] = {
     "risk_score": _risk_sql,
     "mask_documents": _mask_sql,
     "scrub_documents": _scrub_sql,
+    "scrub_allowlisted": _scrub_allowlisted_sql,
     "guard_documents": _guard_sql,
     "guard_block_reasons": _block_reasons_sql,
     "llm_pii_parse": _llm_parse_sql,
