@@ -44,8 +44,9 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     group is read by one task however many splits it has.  When Catalyst's size
     estimate shows fewer bytes than one split per core, a round-robin
     repartition over the cores is cheap and removes that bottleneck.  Larger
-    inputs keep their natural splits and stay shuffle-free.  Without an
-    estimate (or a classic session) the plan is left unchanged.
+    inputs keep their natural splits and stay shuffle-free.  Without a size
+    estimate (e.g. outside a classic, JVM-backed session) the plan is left
+    unchanged.
     """
     if df.isStreaming:
         return df
