@@ -33,3 +33,25 @@ def test_restart_resumes_exactly_once(spark):
     got = spark.read.parquet(f"{out}/data")
     assert n1 == first.count()
     assert got.count() == docs.count() == got.select("doc_id").distinct().count()
+
+
+def test_hybrid_guard_on_a_stream_equals_batch(spark):
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from piisift.operators.guard import hybrid_guard
+    from piisift.streaming.jobs import document_stream, start_sink
+
+    responses = catalog.pii_responses(spark, SF_SMALL)  # static table joined to the stream
+    streamed_df = hybrid_guard(document_stream(spark, SF_SMALL), responses).select(
+        "doc_id", "pii_score", "blocked", F.size("matches").alias("n")
+    )
+    out = tempfile.mkdtemp(prefix="piisift-hybrid-", dir="/tmp")
+    q = start_sink(streamed_df, out, "hybrid_stream_test")
+    q.awaitTermination()
+    streamed = sorted(map(tuple, spark.read.parquet(f"{out}/data").collect()))
+    batch_texts = catalog.inputs.corpus(spark, SF_SMALL).select("doc_id", "text")
+    batch = hybrid_guard(batch_texts, responses).select("doc_id", "pii_score", "blocked", F.size("matches").alias("n"))
+    assert streamed == sorted(map(tuple, batch.collect()))
+    assert any(r[3] > 0 for r in streamed)
