@@ -126,11 +126,10 @@ def allowlist_impact_table(
     (size-checked broadcast or shuffled) join with the list, and both variants
     are merged per text with the islands merge.
     """
-    distinct = allow.select("kind", "value").distinct()
     try:
-        lists = collect_allowlist(distinct, max_inline)
+        lists = collect_allowlist(allow, max_inline)
     except ValueError:
-        return _allowlist_impact_long(df, distinct, before, text_col)
+        return _allowlist_impact_long(df, allow.select("kind", "value").distinct(), before, text_col)
     after = DetectorConfig(allowlist=lists, weights=before.weights, default_weight=before.default_weight)
     return allowlist_impact(df, before, after, text_col)
 

@@ -84,16 +84,16 @@ def allowlist_table(spark: SparkSession, lists: dict[str, list[str]] | None = No
 def collect_allowlist(table: DataFrame, max_entries: int = 100_000) -> dict[str, list[str]]:
     """Bring a size-checked allow-list to the driver for row-form filtering.
 
-    One bounded job: at most ``max_entries + 1`` distinct rows ever reach the
-    driver; more than ``max_entries`` raises, and the caller must use the join
-    path (:func:`piisift.operators.longform.filter_allowlisted`)."""
-    rows = table.select("kind", "value").distinct().limit(max_entries + 1).collect()
+    One bounded job: at most ``max_entries + 1`` raw rows are read (no
+    distinct over the whole table); more than ``max_entries`` rows raises, and
+    the caller uses the join path instead (exact either way)."""
+    rows = table.select("kind", "value").limit(max_entries + 1).collect()
     if len(rows) > max_entries:
-        raise ValueError(f"allow-list has more than {max_entries} entries; use the join path")
-    out: dict[str, list[str]] = {k: [] for k in ALLOWLIST_KINDS}
+        raise ValueError(f"allow-list has more than {max_entries} rows; use the join path")
+    out: dict[str, set[str]] = {k: set() for k in ALLOWLIST_KINDS}
     for row in rows:
         if row.kind in out and row.value is not None:
-            out[row.kind].append(row.value)
+            out[row.kind].add(row.value)
     return {k: sorted(v) for k, v in out.items()}
 
 
