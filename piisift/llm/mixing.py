@@ -83,7 +83,7 @@ def mix_sources(
             first, want, longest = wanted[s]
             without, with_edge = [*bands[s], (first, edge, longest)], [*bands[s], (first, edge + 1, longest)]
             options = [(abs(want - got), without), (abs(got + n - want), with_edge)]
-            nearest[s] = min(options + [nearest[s]] * (s in nearest), key=lambda o: o[0])
+            nearest[s] = min(options + ([nearest[s]] if s in nearest else []), key=lambda o: o[0])
             fits = got + n <= want
             bands[s] = with_edge if fits else without
             left = want - got - (n if fits else 0)
