@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from piisift.llm.common import table
 from piisift.llm.exact_dedup import exact_groups
+from piisift.llm.jaccard import similar_groups
 from piisift.llm.mixing import mix_sources
 from piisift.llm.packing import pack_documents
 
@@ -16,6 +17,10 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), k=4, threshold=(85, 100))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,4 +29,4 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op3_mix_sources, op5_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op5_exact_dedup)}
