@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from piisift.llm.common import table
 from piisift.llm.exact_dedup import exact_groups
+from piisift.llm.extraction import extract_text
 from piisift.llm.jaccard import similar_groups
 from piisift.llm.mixing import mix_sources
 from piisift.llm.packing import pack_documents
@@ -25,8 +26,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op5_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup)}
