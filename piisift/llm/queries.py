@@ -11,6 +11,7 @@ from piisift.llm.extraction import extract_text
 from piisift.llm.jaccard import similar_groups
 from piisift.llm.mixing import mix_sources
 from piisift.llm.packing import pack_documents
+from piisift.llm.topk import top_k
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +35,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup)}
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk)}
