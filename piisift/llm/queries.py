@@ -9,9 +9,12 @@ from piisift.llm.common import table
 from piisift.llm.exact_dedup import exact_groups
 from piisift.llm.extraction import extract_text
 from piisift.llm.jaccard import similar_groups
+from piisift.llm.labelled import remainder
 from piisift.llm.mixing import mix_sources
 from piisift.llm.packing import pack_documents
+from piisift.llm.quality import quality_model, score_quality
 from piisift.llm.topk import top_k
+from piisift.llm.toxicity import score_toxicity, toxicity_model
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,4 +42,21 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk)}
+def _verdicts(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    return _verdicts(score_toxicity(docs, model), 3, 1)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
+    return _verdicts(score_quality(docs, model), 4, 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk, op7_toxicity, op8_quality)}
