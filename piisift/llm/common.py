@@ -70,8 +70,13 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 
 def text_array(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column with null as the empty text, 64-bit offsets (a batch may hold over 2 GB)."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    """The text column with null as the empty text, 64-bit offsets (a batch may hold over 2 GB), data of its own.
+
+    The copy matters: Arrow's ``ascii_lower`` gives wrong bytes for a slice of
+    a large string array whose data does not begin at zero.
+    """
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    return pa.concat_arrays([texts])
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:

@@ -82,7 +82,7 @@ class Bands:
         return self.known[band]
 
     def _groups(self, band: int) -> tuple[int, int, int]:
-        low, top = int(self.starts[band]), int(self.starts[band + 1]) - 1
+        low, top = -(-int(self.starts[band]) * self.num // self.den), int(self.starts[band + 1]) - 1  # the smallest set that joins, the largest
         allowed = max(t - 2 * self.need(t) for t in range(max(2, 2 * top - 60), 2 * top + 1))
         for least in (4, 3, 2, 1):
             for m in range(allowed + 1, 2 * allowed + 2):

@@ -11,6 +11,7 @@ from piisift.llm.extraction import extract_text
 from piisift.llm.jaccard import similar_groups
 from piisift.llm.labelled import remainder
 from piisift.llm.mixing import mix_sources
+from piisift.llm.mixlm import score_texts
 from piisift.llm.packing import pack_documents
 from piisift.llm.quality import quality_model, score_quality
 from piisift.llm.topk import top_k
@@ -59,4 +60,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(score_quality(docs, model), 4, 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk, op7_toxicity, op8_quality)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk, op7_toxicity, op8_quality, op10_lm_scoring)}
