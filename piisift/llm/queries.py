@@ -14,6 +14,7 @@ from piisift.llm.mixing import mix_sources
 from piisift.llm.mixlm import score_texts
 from piisift.llm.packing import pack_documents
 from piisift.llm.quality import quality_model, score_quality
+from piisift.llm.suffix_dedup import remove_repeats
 from piisift.llm.topk import top_k
 from piisift.llm.toxicity import score_toxicity, toxicity_model
 
@@ -60,10 +61,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(score_quality(docs, model), 4, 2)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 10) == 0
     scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk, op7_toxicity, op8_quality, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_pack_documents, op2_ngram_jaccard, op3_mix_sources, op4_extract_html, op5_exact_dedup, op6_exact_topk, op7_toxicity, op8_quality, op9_suffix_dedup, op10_lm_scoring)}
