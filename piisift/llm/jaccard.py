@@ -11,11 +11,9 @@
 3. Classes that met, directly or not, form a cluster.  Inside a cluster (large
    ones are dealt out as pairs of tiles) the group counts of each set are a
    point; an R-tree over the points bounds the overlap of a set with a whole
-   box by the sum of coordinate minima.  Only the points travel.  What is
-   connected by surviving pairs is a smaller cluster.
-4. In the smaller clusters, dealt out likewise with their whole sets, the
-   R-tree's surviving pairs are verified, unless already linked through others.
-   The verified links give the components.
+   box by the sum of coordinate minima.  Pairs that survive are verified on the
+   full sets, unless already linked through others.
+4. The verified links give the components.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from piisift.llm.common import BASE, cut, mix64, split_words, text_array, text_slices, word_hashes
 from piisift.llm.components import connected_components
 
-GROUPS, LEAF, TILE_CLASSES, TILE_POINTS, TILE_BYTES = 64, 16, 512, 2048, 12 << 20
+GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 512, 12 << 20
 
 
 def ngram_hashes(counts: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +157,8 @@ def _fingerprints(k: int, num: int, den: int):
         for batch in batches:
             for part, hashes, sizes, cls in _documents(batch, k):
                 sig, per = signatures(hashes, sizes, bands)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                points = np.bincount(owner * GROUPS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * GROUPS).astype(np.int32)
-                points = pa.array([points[i : i + GROUPS].tobytes() for i in range(0, len(points), GROUPS)], pa.binary())
-                columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), _lists(sig.view(np.int64), per), points]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "cls", "sigs", "point"])
+                columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), _lists(sig.view(np.int64), per)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "cls", "sigs"])
 
     return task
 
@@ -220,13 +215,12 @@ def count_points(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(owner * GROUPS + groups, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
-def links_within(cls: np.ndarray, points: np.ndarray, side: np.ndarray, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links among the given classes, enough to connect all that are linked.
+def links_within(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
+    """Verified links among the given classes, enough to connect all that are linked.
 
-    ``side`` tells the tiles of a pair apart (only cross pairs then); with
-    ``sets`` the pairs that survive the R-tree are verified, without they are
-    taken as they are.
+    ``side`` tells the tiles of a pair apart (only cross pairs are linked then).
     """
+    points = count_points(sets)
     sizes = points.sum(axis=1, dtype=np.int64)
     order = np.argsort(sizes, kind="stable")
     tree, label, links = CountTree(points[order], sizes[order]), np.arange(len(order)), []
@@ -239,18 +233,17 @@ def links_within(cls: np.ndarray, points: np.ndarray, side: np.ndarray, bands: B
         for j in near:
             if label[j] == label[i]:
                 continue
-            if sets is not None:
-                both = np.concatenate([sets[order[i]], sets[order[j]]])
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if bands.den * overlap < bands.num * (int(tree.sizes[i] + tree.sizes[j]) - overlap):
-                    continue
+            both = np.concatenate([sets[order[i]], sets[order[j]]])
+            both.sort()
+            overlap = int(np.count_nonzero(both[1:] == both[:-1]))
+            if bands.den * overlap < bands.num * (int(tree.sizes[i] + tree.sizes[j]) - overlap):
+                continue
             links.append((int(cls[order[i]]), int(cls[order[j]])))
             label[label == label[j]] = label[i]
     return links
 
 
-def _join_tiles(num: int, den: int, verify: bool):
+def _join_tiles(num: int, den: int):
     """Segments of equal (root, a, b), sorted by them -> links; memory is one pair of tiles."""
 
     def links_of(held: dict, bands: Bands) -> list[tuple[int, int]]:
@@ -258,10 +251,8 @@ def _join_tiles(num: int, den: int, verify: bool):
             return []
         data, side = zip(*held.values(), strict=True)
         cls, side = np.array(list(held), dtype=np.int64), np.array(side)
-        if not verify:
-            return links_within(cls, np.stack([np.frombuffer(d, dtype=np.int32) for d in data]), side, bands)
         sets = [np.frombuffer(d, dtype=np.uint64) for d in data]
-        return links_within(cls, count_points(sets), side, bands, sets)
+        return links_within(cls, sets, side, bands)
 
     def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
@@ -281,24 +272,24 @@ def _join_tiles(num: int, den: int, verify: bool):
     return task
 
 
-def _clusters(edges: DataFrame, classes: DataFrame, row_bytes, rows_most: int) -> DataFrame:
+def _clusters(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """Components of ``edges`` joined with ``classes``: ``root, tiles`` and the columns of ``classes``.
 
-    ``tiles``: so many that one holds ``rows_most`` classes or ``TILE_BYTES`` on average.
+    ``tiles``: so many that one holds ``TILE_CLASSES`` sets or ``TILE_BYTES`` on average.
     """
     members = connected_components(edges).join(classes, F.col("node") == F.col("cls")).drop("node")
-    tiles = members.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.ceil(F.greatest(F.count("*") / rows_most, F.sum(row_bytes) / TILE_BYTES)).cast("int").alias("tiles"))
+    tiles = members.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
     return members.join(tiles.select(F.col("root").alias("r"), "tiles"), F.col("root") == F.col("r")).drop("r")
 
 
-def _links(rows: DataFrame, num: int, den: int, verify: bool) -> DataFrame:
+def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Deals ``root, tiles, cls, data`` out to pairs of tiles and joins inside each."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     dealt = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("root", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "cls", "tile", "data")
     dealt = dealt.repartition(partitions, "root", "a", "b").sortWithinPartitions("root", "a", "b")
-    return dealt.mapInArrow(_join_tiles(num, den, verify), "u long, v long")
+    return dealt.mapInArrow(_join_tiles(num, den), "u long, v long")
 
 
 def _sets(k: int):
@@ -326,22 +317,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     num, den = threshold
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    prints = cut(source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, cls long, sigs array<long>, point binary"))
+    prints = cut(source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, cls long, sigs array<long>"))
     thin = prints.select("doc_id", "text_hash", "n", "cls")
-    classes = thin.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    classes = thin.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("d"))
 
     met = prints.select(F.explode("sigs").alias("sig"), "cls")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(partitions, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_meetings, "u long, v long")
-    points = prints.where("n > 0").groupBy("cls", "n").agg(F.first("point").alias("data")).drop("n")
-    near = _links(_clusters(met, points, F.lit(4 * GROUPS), TILE_POINTS), num, den, verify=False)
 
-    # one document per class of a smaller cluster brings its whole set
-    wanted = _clusters(near, classes, F.col("n") * 8, TILE_CLASSES)
+    # one document per class of a cluster brings its whole set
+    wanted = _clusters(met, classes)
     wanted = wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("text", "cls", "root", "tiles")
     sets = texts.mapInArrow(_sets(k), "root long, tiles int, cls long, data binary")
-    linked = connected_components(_links(sets, num, den, verify=True))
+    linked = connected_components(_links(sets, num, den))
 
     named = classes.join(linked, F.col("cls") == F.col("node"), "left").select("cls", "n", F.col("d.doc_id").alias("least"), F.coalesce("root", "cls").alias("root"))
     ids = named.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
