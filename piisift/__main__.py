@@ -7,9 +7,11 @@
 ``scrub`` and ``guard`` read a table with ``doc_id`` and ``text`` columns (or
 ``--id-col``/``--text-col``) and write one JSON response per row in the
 service's shape; ``report`` reads pages ``(doc_id, page_no, text)`` and writes
-one document report per document.  ``--allowlist`` takes a parquet/JSON table
-``(kind, value)``; up to 100k entries it is inlined, beyond that ``guard`` and
-``scrub`` refuse (use the library's join path).
+one document report per document, over whole documents.  ``--responses`` takes
+a table of model answers ``(doc_id, task, response[, answer_no])``, merged by
+``scrub`` and ``guard``.  ``--allowlist`` takes a parquet/JSON table ``(kind,
+value)``; ``scrub`` and ``guard`` inline or join it by its size, ``report``
+takes up to 100k entries.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import sys
 from pyspark.sql import functions as F
 
 from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
-from piisift.operators.guard import guard, scrub
-from piisift.operators.reports import document_report
+from piisift.operators.guard import guard, hybrid_guard, hybrid_scrub, scrub
+from piisift.operators.reports import page_report
 from piisift.session import get_spark
-from piisift.sources.texts import assemble_documents, collect_allowlist, guard_response, read_texts, scrub_response
+from piisift.sources.texts import collect_allowlist, guard_response, read_texts, scrub_response
+
+
+def _read(spark, path: str):
+    return spark.read.format("json" if path.endswith(".json") else "parquet").load(path)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -36,14 +42,14 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--id-col", default="doc_id")
     ap.add_argument("--text-col", default="text")
     ap.add_argument("--allowlist", help="table (kind, value); default: the shipped list")
+    ap.add_argument("--responses", help="model answers (doc_id, task, response[, answer_no]) for scrub and guard")
     ap.add_argument("--names", action="store_true", help="also detect NAME candidates (off = parity)")
     args = ap.parse_args(argv)
 
     spark = get_spark()
     table = None
     if args.allowlist:
-        fmt = "json" if args.allowlist.endswith(".json") else "parquet"
-        table = spark.read.format(fmt).load(args.allowlist)
+        table = _read(spark, args.allowlist)
     config = DetectorConfig(allowlist=DEFAULT_ALLOWLIST, name_candidates=args.names)
 
     if args.command == "report":
@@ -51,18 +57,20 @@ def main(argv: list[str] | None = None) -> int:
             extra = collect_allowlist(table)
             config = DetectorConfig(allowlist={k: DEFAULT_ALLOWLIST.get(k, []) + v for k, v in extra.items()}, name_candidates=args.names)
         pages = spark.read.format(args.input_format).load(args.input)
-        docs = assemble_documents(pages, doc_col=args.id_col, text_col=args.text_col)
         entities = F.transform("entities", lambda e: F.struct(e["ptype"].alias("type"), e["value"].alias("value")))
-        out = document_report(docs, config=config).select(
+        out = page_report(pages, config, doc_col=args.id_col, text_col=args.text_col).select(
             "doc_id",
             F.to_json(F.struct("pii_score", "blocked", "total_matches", entities.alias("entities"), "preview")).alias("response"),
         )
     else:
         texts = read_texts(spark, args.input, args.input_format, args.id_col, args.text_col)
+        answers = _read(spark, args.responses) if args.responses else None
         if args.command == "scrub":
-            out = scrub_response(scrub(texts, config=config, allowlist_table=table))
+            done = hybrid_scrub(texts, answers, config=config, allowlist_table=table) if answers is not None else scrub(texts, config=config, allowlist_table=table)
+            out = scrub_response(done)
         else:
-            out = guard_response(guard(texts, config=config, allowlist_table=table))
+            done = hybrid_guard(texts, answers, config=config, allowlist_table=table) if answers is not None else guard(texts, config=config, allowlist_table=table)
+            out = guard_response(done)
     out.write.mode("overwrite").format(args.format).save(args.output)
     return 0
 

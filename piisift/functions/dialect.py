@@ -13,6 +13,7 @@ evaluates them with java.util.regex, which differs in three places that matter:
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from piisift.config import PY_WHITESPACE
@@ -21,6 +22,10 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 BOUNDARY = rf"(?:(?<={WORD_CLASS})(?!{WORD_CLASS})|(?<!{WORD_CLASS})(?={WORD_CLASS}))"
 
 
+#: A pattern that starts with a class repeated at least once and then a plain character.
+LEADING_RUN = re.compile(r"(\[(?:\\.|[^\]\\])+\])\+([^\\\[\](){}.*+?|^$])")
+
+
 def _class_body(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
 
@@ -59,6 +64,13 @@ def to_java(pattern: str) -> str:
     out: list[str] = []
     in_class = False
     i = 0
+    run = LEADING_RUN.match(pattern)
+    if run and re.fullmatch(run[1], run[2]) is None:
+        # The run ends where its class ends, so it can only be followed by the literal when taken
+        # whole: start it at its first character or where the last match ended, and never give
+        # back.  Otherwise each position of a long run would scan the rest of it.
+        out.append(rf"(?:\G|(?<!{_translate_atom(run[1])})){_translate_atom(run[1])}++")
+        i = len(run[1]) + 1
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):

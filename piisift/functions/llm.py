@@ -1,7 +1,8 @@
 """Model answers as data (L1-L6): fence removal, JSON parsing, normalisation.
 
 The live model call is out of scope; its raw answers arrive as a table
-``(doc_id, task, response)`` and are parsed with ``from_json``.
+``(doc_id, task, response)`` and are parsed as JSON variants.
+
 """
 
 from __future__ import annotations
@@ -22,25 +23,6 @@ from piisift.functions.validators import py_strip
 #: Emission ordinal base for model findings (after every regex rule).
 LLM_ORD_BASE = 1000
 
-PII_RESPONSE_SCHEMA = T.StructType(
-    [
-        T.StructField(
-            "pii_detected",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("type", T.StringType()),
-                        T.StructField("value", T.StringType()),
-                        T.StructField("start", T.LongType()),
-                        T.StructField("end", T.LongType()),
-                        T.StructField("confidence", T.DoubleType()),
-                    ]
-                )
-            ),
-        )
-    ]
-)
-
 VERDICT_TYPE = T.StructType(
     [
         T.StructField("injection_detected", T.BooleanType()),
@@ -65,70 +47,112 @@ def strip_fences(response: Column) -> Column:
     )
 
 
+def json_object(response: Column) -> Column:
+    """The answer as a variant if it is exactly one JSON object (after fence removal), else null.
+
+    The parser stops after the first value, so the text is parsed inside
+    brackets: anything that follows the object breaks the array or is a second
+    element.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), strip_fences(response), F.lit("]")))
+    first = F.try_variant_get(parsed, "$[0]", "variant")
+    alone = F.try_variant_get(parsed, "$[1]", "variant").isNull()
+    return F.when(alone & F.schema_of_variant(first).startswith("OBJECT"), first)
+
+
+def _kind(value: Column) -> Column:
+    """JSON type of a variant by Spark's name (``BIGINT``, ``STRING``, ...); ``MISSING`` if there is none."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+
+
+def _is_number(kind: Column) -> Column:
+    return kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+
+
 def parse_pii_items(response: Column) -> Column:
-    """L2: the ``pii_detected`` list, ``[]`` when unparsable, empty or missing."""
-    parsed = F.from_json(strip_fences(response), PII_RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.coalesce(parsed["pii_detected"], F.array().cast(PII_RESPONSE_SCHEMA["pii_detected"].dataType))
+    """L2: the ``pii_detected`` items as variants; ``[]`` when the answer is no JSON object, or holds no list of objects."""
+    items = F.try_variant_get(json_object(response), "$.pii_detected", "array<variant>")
+    whole = items.isNotNull() & ~F.exists(items, lambda x: ~_kind(x).startswith("OBJECT"))
+    return F.when(whole, items).otherwise(F.array().cast("array<variant>"))
 
 
-def llm_matches(response: Column, text: Column) -> Column:
-    """L3 + V5: normalised model findings as internal match structs.
+def llm_findings(response: Column) -> Column:
+    """L3 + V5: normalised findings ``array<struct<ptype,value,s,e,confidence>>``, spans not yet checked.
 
     type upper-cased; defaults value '', start 0, end len(value), confidence
-    0.5; kept when type and value are non-empty and confidence > 0.3.
-    Deviation: spans outside ``0 <= start < end <= len(text)`` are dropped.
+    0.5 for missing fields.  A field that is there with another JSON type (start
+    and end: integers; confidence: a number; type and value: strings; null is
+    none of them) drops its item.  Kept when type and value are non-empty and
+    the confidence is above 0.3.
     """
-    items = parse_pii_items(response)
-
-    def norm(item: Column, i: Column) -> Column:
-        value = F.coalesce(item["value"], F.lit(""))
-        start = F.coalesce(item["start"], F.lit(0))
-        end = F.coalesce(item["end"], F.length(value).cast("long"))
-        conf = F.coalesce(item["confidence"], F.lit(LLM_DEFAULT_CONFIDENCE))
-        ptype = F.upper(F.coalesce(item["type"], F.lit("")))
-        return make_match(start, end, i + F.lit(LLM_ORD_BASE), ptype, value, conf, "llm")
-
-    def keep(m: Column) -> Column:
-        return (
-            (m["ptype"] != "")
-            & (m["value"] != "")
-            & (m["confidence"] > LLM_MIN_CONFIDENCE)
-            & (m["span_start"] >= 0)
-            & (m["span_start"] < m["span_end"])
-            & (m["span_end"] <= F.length(text))
+
+    def norm(item: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.try_variant_get(item, f"$.{name}", "variant")
+
+        kinds = {n: _kind(field(n)) for n in ("type", "value", "start", "end", "confidence")}
+        missing = {n: kinds[n] == "MISSING" for n in kinds}
+        good = F.lit(True)
+        for n in ("type", "value"):
+            good = good & (missing[n] | (kinds[n] == "STRING"))
+        for n in ("start", "end"):
+            good = good & (missing[n] | (kinds[n] == "BIGINT"))
+        good = good & (missing["confidence"] | _is_number(kinds["confidence"]))
+        value = F.coalesce(F.try_variant_get(item, "$.value", "string"), F.lit(""))
+        return F.struct(
+            F.upper(F.coalesce(F.try_variant_get(item, "$.type", "string"), F.lit(""))).alias("ptype"),
+            value.alias("value"),
+            F.coalesce(F.try_variant_get(item, "$.start", "long"), F.lit(0)).cast("long").alias("s"),
+            F.coalesce(F.try_variant_get(item, "$.end", "long"), F.length(value).cast("long")).alias("e"),
+            F.coalesce(F.try_variant_get(item, "$.confidence", "double"), F.lit(LLM_DEFAULT_CONFIDENCE)).alias("confidence"),
+            good.alias("good"),
         )
 
-    # Bound the offsets before the int cast so out-of-range values are dropped, not errors.
-    def bounded(item: Column) -> Column:
-        ok = item["start"].isNull() | item["start"].between(0, 2**31 - 1)
-        ok = ok & (item["end"].isNull() | item["end"].between(0, 2**31 - 1))
-        return ok
+    found = F.transform(parse_pii_items(response), norm)
+    kept = F.filter(found, lambda m: m["good"] & (m["ptype"] != "") & (m["value"] != "") & (m["confidence"] > LLM_MIN_CONFIDENCE))
+    return F.transform(kept, lambda m: F.struct(*[m[n].alias(n) for n in ("ptype", "value", "s", "e", "confidence")]))
+
+
+def findings_to_matches(findings: Column, length: Column) -> Column:
+    """Findings of a text, in answer order, as internal match structs.
 
-    safe_items = F.filter(items, bounded)
-    return F.filter(F.transform(safe_items, norm), keep).cast(MATCHES_TYPE)
+    Deviation: spans outside ``0 <= start < end <= length`` are dropped.
+    """
+    inside = F.filter(findings, lambda m: (m["s"] >= 0) & (m["s"] < m["e"]) & (m["e"] <= length))
+    return F.transform(inside, lambda m, i: make_match(m["s"], m["e"], i + F.lit(LLM_ORD_BASE), m["ptype"], m["value"], m["confidence"], "llm")).cast(MATCHES_TYPE)
+
+
+def llm_matches(response: Column, text: Column) -> Column:
+    """One answer's findings as internal match structs of its text."""
+    return findings_to_matches(llm_findings(response), F.length(text))
 
 
 def parse_verdict(response: Column) -> Column:
-    """L4: injection verdict; defaults false/[]/0.0/''; unparsable -> ``parsing_error``."""
-    schema = T.StructType(
-        [
-            T.StructField("injection_detected", T.BooleanType()),
-            T.StructField("attack_types", T.ArrayType(T.StringType())),
-            T.StructField("confidence", T.DoubleType()),
-            T.StructField("details", T.StringType()),
-        ]
+    """L4: injection verdict; defaults false/[]/0.0/''; no JSON object -> ``parsing_error``.
+
+    ``injection_detected`` counts as the caller of the reproduced service
+    tests it: any non-empty string, non-zero number, non-empty list or object
+    is true.
+    """
+    body = json_object(response)
+    flag = F.try_variant_get(body, "$.injection_detected", "variant")
+    kind = _kind(flag)
+    truth = (
+        F.when(kind == "BOOLEAN", F.try_variant_get(flag, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(flag, "$", "string") != "")
+        .when(_is_number(kind), F.try_variant_get(flag, "$", "double") != 0)
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(flag).isin("[]", "{}"))
+        .otherwise(F.lit(False))
     )
-    cleaned = strip_fences(response)
-    parsed = F.from_json(cleaned, schema, {"mode": "PERMISSIVE"})
-    # from_json cannot tell "{}" from garbage; a JSON object is recognised by its shape.
-    is_object = F.coalesce(F.get_json_object(cleaned, "$").isNotNull() & py_strip(cleaned).startswith("{"), F.lit(False))
+    sure = F.try_variant_get(body, "$.confidence", "variant")
+    details = F.try_variant_get(body, "$.details", "variant")
     ok = F.struct(
-        F.coalesce(parsed["injection_detected"], F.lit(False)).alias("injection_detected"),
-        F.coalesce(parsed["attack_types"], F.array().cast("array<string>")).alias("attack_types"),
-        F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"),
-        F.coalesce(parsed["details"], F.lit("")).alias("details"),
+        F.coalesce(truth, F.lit(False)).alias("injection_detected"),
+        F.coalesce(F.try_variant_get(body, "$.attack_types", "array<string>"), F.array().cast("array<string>")).alias("attack_types"),
+        F.when(_is_number(_kind(sure)), F.try_variant_get(sure, "$", "double")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(_kind(details) == "STRING", F.try_variant_get(details, "$", "string")).otherwise(F.lit("")).alias("details"),
     )
-    return F.when(is_object & parsed.isNotNull(), ok).otherwise(parse_error_verdict())
+    return F.when(body.isNotNull(), ok).otherwise(parse_error_verdict())
 
 
 def parse_error_verdict() -> Column:

@@ -158,7 +158,9 @@ def with_gates(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({f"_g_{name}": fn(F.col("_safe")) for name, fn in GATE_COLUMNS.items()})
 
 
+#: Candidate columns of the running application only (a new application clears it).
 _COLUMN_CACHE: dict[tuple, Column] = {}
+_CACHE_OWNER: list[str] = []
 
 
 def candidates_column(
@@ -178,7 +180,12 @@ def candidates_column(
     # The expression depends on the rules, validation and gating only (the
     # allow-list is applied afterwards, in :func:`with_candidates`).
     use_gates = config.gates if gates is None else gates
-    key = (id(SparkContext._active_spark_context), text_col, tuple(config.rules()), tuple(sorted(types or [])), types is None, validate, use_gates)
+    active = SparkContext._active_spark_context
+    owner = active.applicationId if active is not None else ""
+    if _CACHE_OWNER != [owner]:
+        _COLUMN_CACHE.clear()
+        _CACHE_OWNER[:] = [owner]
+    key = (text_col, tuple(config.rules()), tuple(sorted(types or [])), types is None, validate, use_gates)
     col = _COLUMN_CACHE.get(key)
     if col is None:
         col = _build_candidates_column(text_col, config, types, validate, use_gates)

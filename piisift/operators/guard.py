@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piisift.config import MSG_INJECTION, MSG_PII, DetectorConfig
-from piisift.functions.llm import default_verdict, llm_matches, parse_verdict
+from piisift.config import MSG_INJECTION, MSG_PII, VERDICT_PARSE_ERROR_DETAILS, DetectorConfig
+from piisift.functions.llm import default_verdict, findings_to_matches, llm_findings, parse_verdict
 from piisift.functions.matches import empty_matches, mask_text, public_matches, risk_value, score_from_risk
 from piisift.operators.detect import DEFAULT_CONFIG, detect
 
@@ -80,23 +80,46 @@ def attach_model_answers(texts: DataFrame, responses: DataFrame, text_col: str =
 
     Adds ``llm_matches`` (normalised findings, empty when none) and ``verdict``
     (null when no injection answer; the guard then uses the default verdict).
-    One equi-join on ``doc_id`` with both tasks pivoted side by side.
+    A text may have any number of answers: the findings of all are taken, in
+    the order of the column ``answer_no`` (without it, of the answers' texts),
+    and one that reports an injection is enough.  Each answer is parsed before
+    it is grouped, so only findings travel; the injection verdict of a text is
+    the first injected one, else the first that was parsed, else the error.
     """
-    answers = responses.groupBy("doc_id").agg(
-        F.max(F.when(F.col("task") == "pii", F.col("response"))).alias("_pii_response"),
-        F.max(F.when(F.col("task") == "injection", F.col("response"))).alias("_inj_response"),
+    order = F.col("answer_no").cast("long") if "answer_no" in responses.columns else F.lit(0).cast("long")
+    pii, injection = F.col("task") == "pii", F.col("task") == "injection"
+    verdict = parse_verdict(F.col("response"))
+    parsed = responses.where(F.col("response").isNotNull()).select(
+        "doc_id",
+        F.when(pii, F.struct(order.alias("n"), F.col("response").alias("r"), llm_findings(F.col("response")).alias("f"))).alias("pii"),
+        F.when(injection, verdict).alias("v"),
+        order.alias("n"),
+        F.col("response").alias("r"),
     )
-    joined = texts.join(answers, "doc_id", "left")
+    rank = F.when(F.col("v.injection_detected"), 0).when(F.col("v.details") == VERDICT_PARSE_ERROR_DETAILS, 2).otherwise(1)
+    answers = parsed.groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("pii")), lambda x: x["f"])).alias("_findings"),
+        F.min(F.when(F.col("v").isNotNull(), F.struct(rank.alias("k"), "n", "r", "v"))).alias("_best"),
+    )
+    joined = texts.join(answers, F.col("doc_id") == F.col("_doc"), "left")
     return joined.select(
         *texts.columns,
-        F.when(F.col("_pii_response").isNull(), empty_matches())
-        .otherwise(llm_matches(F.col("_pii_response"), F.col(text_col)))
-        .alias("llm_matches"),
-        F.when(F.col("_inj_response").isNull(), F.lit(None)).otherwise(parse_verdict(F.col("_inj_response"))).alias("verdict"),
+        F.when(F.col("_findings").isNull(), empty_matches()).otherwise(findings_to_matches(F.col("_findings"), F.length(text_col))).alias("llm_matches"),
+        F.col("_best.v").alias("verdict"),
     )
 
 
-def hybrid_guard(texts: DataFrame, responses: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG) -> DataFrame:
+def hybrid_scrub(
+    texts: DataFrame, responses: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG, allowlist_table: DataFrame | None = None
+) -> DataFrame:
+    """J2 with model findings: regex and model spans merged, then masked."""
+    withllm = attach_model_answers(texts, responses, text_col).drop("verdict")
+    return scrub(withllm, text_col, config, extra_matches_col="llm_matches", allowlist_table=allowlist_table)
+
+
+def hybrid_guard(
+    texts: DataFrame, responses: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG, allowlist_table: DataFrame | None = None
+) -> DataFrame:
     """Regex + model findings merged, injection verdict from the model answers."""
     withllm = attach_model_answers(texts, responses, text_col)
-    return guard(withllm, text_col, config, extra_matches_col="llm_matches", verdict_col="verdict")
+    return guard(withllm, text_col, config, extra_matches_col="llm_matches", verdict_col="verdict", allowlist_table=allowlist_table)

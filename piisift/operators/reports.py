@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piisift.config import (
     ALLOWLIST_KINDS,
+    MSG_PII,
+    PAGE_HEADER,
+    PAGE_SEPARATOR,
     REPORT_MAX_ENTITIES,
     REPORT_PREVIEW_CHARS,
     REPORT_PREVIEW_ELLIPSIS,
     DetectorConfig,
 )
-from piisift.functions.matches import MATCH_FIELDS, merge_matches, risk_value, score_from_risk, weight_of
+from piisift.functions.matches import MATCH_FIELDS, mask_text, merge_matches, risk_value, score_from_risk, weight_of
 from piisift.operators.detect import (
     DEFAULT_CONFIG,
     _allowed,
     count_allowlisted,
+    detect,
     drop_allowlisted,
     explode_matches,
     with_candidates,
@@ -24,7 +28,7 @@ from piisift.operators.detect import (
 from piisift.operators.guard import guard
 from piisift.operators.longform import fits_broadcast, merge_long
 from piisift.session import checkpoint_dir
-from piisift.sources.texts import collect_allowlist
+from piisift.sources.texts import collect_allowlist, page_parts
 
 
 def top_entities(matches: Column, cap: int = REPORT_MAX_ENTITIES) -> Column:
@@ -63,6 +67,59 @@ def document_report(docs: DataFrame, text_col: str = "text", config: DetectorCon
     )
 
 
+def page_report(pages: DataFrame, config: DetectorConfig = DEFAULT_CONFIG, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """J5 over whole documents given as pages, without assembling them.
+
+    No rule matches across a page header's brackets, so the findings of a
+    document are those of its pages (header, text and line end, as assembled).
+    Each page is detected by itself; only a thin row per page goes on: the
+    match count, the risk in whole tenths, the distinct entities and the first
+    characters of the masked page.  The latter is needed for the few pages that
+    can reach into the preview only, which the rank limit keeps before the
+    exchange, so a document of very many pages stays spread out.
+    """
+    parts = page_parts(pages, doc_col, page_col, text_col)
+    d = detect(parts.withColumnRenamed("part", "text"), "text", config, internal=True)
+    tenths = F.aggregate("matches", F.lit(0).cast("long"), lambda acc, m: acc + F.round(weight_of(m["ptype"], config.weights, config.default_weight) * 10).cast("long"))
+    shown = REPORT_PREVIEW_CHARS + 1
+    scored = d.select("doc_id", "page_no", F.size("matches").alias("n"), tenths.alias("tenths"), "matches", mask_text(F.col("text"), F.col("matches")).alias("masked"))
+    entity = F.transform("matches", lambda m, i: F.struct(m["ptype"].alias("ptype"), m["value"].alias("value"), i.alias("at")))
+    thin = scored.select("doc_id", "page_no", "n", "tenths", entity.alias("found"), F.substring("masked", 1, shown).alias("head"), F.length("masked").alias("chars"))
+    checkpoint_dir(pages.sparkSession)
+    thin = thin.checkpoint(eager=True)  # read three times: detect once
+
+    total = F.sum(F.col("chars") + len(PAGE_SEPARATOR)) - len(PAGE_SEPARATOR)
+    sums = thin.groupBy("doc_id").agg(F.sum("n").cast("int").alias("total_matches"), (F.sum("tenths") / 10).alias("_risk"), total.alias("_chars"))
+
+    found = thin.select("doc_id", "page_no", F.explode("found").alias("e"))
+    seen = found.groupBy("doc_id", F.col("e.ptype").alias("ptype"), F.col("e.value").alias("value")).agg(F.min(F.struct("page_no", "e.at")).alias("at"))
+    types = seen.groupBy(F.col("doc_id").alias("_d"), F.col("ptype").alias("_t")).agg(F.min("at").alias("first"))
+    ranked = seen.join(types, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ptype") == F.col("_t")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "at"))
+    top = ranked.withColumn("r", place).where(F.col("r") <= REPORT_MAX_ENTITIES).groupBy(F.col("doc_id").alias("_e"))
+    entities = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ptype", "value"))), lambda x: F.struct(x["ptype"].alias("ptype"), x["value"].alias("value"))).alias("entities"))
+
+    # a page takes at least its header, one character, its line end and the separator
+    pages_shown = shown // (len(PAGE_HEADER.format(n=1)) + 2 + len(PAGE_SEPARATOR)) + 1
+    page = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
+    heads = thin.select("doc_id", "page_no", "head").withColumn("r", page).where(F.col("r") <= pages_shown).groupBy(F.col("doc_id").alias("_h"))
+    heads = heads.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "head"))), lambda x: x["head"]), PAGE_SEPARATOR).alias("start"))
+
+    out = sums.join(entities, F.col("doc_id").eqNullSafe(F.col("_e")), "left").join(heads, F.col("doc_id").eqNullSafe(F.col("_h")), "left")
+    score = score_from_risk(F.col("_risk"))
+    blocked = score >= config.block_threshold
+    text = F.when(F.col("_chars") > REPORT_PREVIEW_CHARS, F.concat(F.substring("start", 1, REPORT_PREVIEW_CHARS), F.lit(REPORT_PREVIEW_ELLIPSIS))).otherwise(F.col("start"))
+    none = F.array().cast("array<struct<ptype:string,value:string>>")
+    return out.select(
+        "doc_id",
+        score.alias("pii_score"),
+        blocked.alias("blocked"),
+        "total_matches",
+        F.coalesce("entities", none).alias("entities"),
+        F.when(blocked, preview(F.lit(MSG_PII))).otherwise(text).alias("preview"),
+    )
+
+
 def allowlist_impact(
     df: DataFrame,
     before: DetectorConfig,

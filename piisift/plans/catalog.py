@@ -12,18 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
+from piisift.config import DEFAULT_ALLOWLIST, DOC_MAX_LENGTH, DetectorConfig
 from piisift.functions.llm import default_verdict
 from piisift.functions.matches import mask_text, risk_value, score_from_risk
 from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
-from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, scrub
+from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, hybrid_scrub, scrub
 from piisift.operators.longform import filter_allowlisted
-from piisift.operators.reports import allowlist_impact_table, qa_summary, top_entities
+from piisift.operators.reports import allowlist_impact_table, page_report, qa_summary, top_entities
 from piisift.operators.reports import document_report as build_document_report
 from piisift.plans import inputs
 from piisift.streaming.jobs import run_stream_guard, run_stream_scrub
-from piisift.sources.texts import allowlist_table, assemble_documents, spread_small_input
+from piisift.sources.texts import allowlist_table, assemble_documents, guard_response, scrub_response
 
 CANDIDATE_COLS = ["doc_id", "rule", "ptype", "value", "span_start", "span_end", "confidence"]
 MATCH_COLS = ["doc_id", "pos", "ptype", "value", "span_start", "span_end", "confidence", "source"]
@@ -126,66 +126,102 @@ def scrub_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
 
 
-def _guard_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
-    return spread_small_input(both)
+GUARD_COLS = ["doc_id", "answer", "pii_score", "blocked"]
 
 
-def guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J3 over model answers (assistant turns) and customer sheets."""
-    g = guard(_guard_input(spark, sf_dir))
+def _guard_row(g: DataFrame) -> DataFrame:
     return g.select(
-        "doc_id",
-        "answer",
-        "pii_score",
-        "blocked",
+        *GUARD_COLS,
         F.size("matches").alias("n_matches"),
         F.col("prompt_injection.injection_detected").alias("injection_detected"),
         F.col("prompt_injection.details").alias("details"),
     )
 
 
+def guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 over every text."""
+    return _guard_row(guard(inputs.all_texts(spark, sf_dir)))
+
+
+def guard_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the JSON response of the guard for model answers and customer sheets."""
+    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
+    return guard_response(guard(both))
+
+
+def scrub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the JSON response of scrub for model answers and customer sheets."""
+    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
+    return scrub_response(scrub(both))
+
+
 # -- model answers (stand-in raw responses composed from the tables) ---------
 
 
 def pii_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw PII answers per document in four shapes (plain, ```json fenced,
-    ``` fenced with defaults, not JSON)."""
+    """Raw PII answers ``(doc_id, task, answer_no, response)``: plain, fenced, with defaults, not
+    JSON, single-quoted, with trailing prose, and with fields of other JSON types; every fifth
+    document has a second answer."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     word = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
     start = (F.instr(F.col("text"), word) - 1).cast("string")
     end = (F.instr(F.col("text"), word) - 1 + F.length(word)).cast("string")
-    full = F.concat(
-        F.lit('{"pii_detected": [{"type": "name", "value": "'), word, F.lit('", "start": '), start,
-        F.lit(', "end": '), end, F.lit(', "confidence": 0.8}, {"type": "email", "value": "x", "confidence": 0.2}]}'),
-    )
+
+    def item(kind: str, first: F.Column, last: F.Column, more: str) -> F.Column:
+        head = F.concat(F.lit(f'{{"type": "{kind}", "value": "'), word, F.lit('", "start": '), first)
+        return F.concat(head, F.lit(', "end": '), last, F.lit(more + "}"))
+
+    def answer(*items: F.Column) -> F.Column:
+        return F.concat(F.lit('{"pii_detected": ['), F.concat_ws(", ", *items), F.lit("]}"))
+
+    good = item("name", start, end, ', "confidence": 0.8')
+    weak = F.lit('{"type": "email", "value": "x", "confidence": 0.2}')
+    full = answer(good, weak)
     partial = F.concat(F.lit('{"pii_detected": [{"type": "id_number", "value": "'), word, F.lit('", "start": '), start, F.lit("}]}"))
-    kind = F.col("doc_id") % 4
-    response = (
-        F.when(kind == 0, full)
-        .when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
-        .when(kind == 2, F.concat(F.lit("```\n"), partial, F.lit("\n```")))
-        .otherwise(F.lit("Sorry, no JSON here"))
-    )
-    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("pii").alias("task"), response.alias("response"))
+    quoted = F.concat(F.lit('"'), start, F.lit('"'))
+    shapes = [
+        full,
+        F.concat(F.lit("```json\n"), full, F.lit("\n```")),
+        F.concat(F.lit("```\n"), partial, F.lit("\n```")),
+        F.lit("Sorry, no JSON here"),
+        F.replace(full, F.lit('"'), F.lit("'")),
+        F.concat(full, F.lit(" Hope this helps.")),
+        answer(item("name", F.concat(start, F.lit(".0")), F.concat(end, F.lit(".0")), ', "confidence": 0.8')),
+        answer(item("name", quoted, end, ""), item("phone", start, end, "")),
+        answer(item("name", start, end, ', "confidence": null'), item("address", start, end, ', "confidence": 0.7')),
+        answer(F.lit('"oops"'), good),
+        answer(item("account", start, end, ', "confidence": "high"'), good),
+        answer(item("card", start, end, ', "confidence": 1')),
+    ]
+    response = F.element_at(F.array(*shapes), (F.col("doc_id") % len(shapes) + 1).cast("int"))
+    doc_id = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id")
+    firsts = d.select(doc_id, F.lit("pii").alias("task"), F.lit(1).alias("answer_no"), response.alias("response"))
+    seconds = d.where(F.col("doc_id") % 5 == 0).select(doc_id, F.lit("pii").alias("task"), F.lit(2).alias("answer_no"), partial.alias("response"))
+    return firsts.unionByName(seconds)
 
 
 def injection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw injection answers for every user turn, in three shapes (plain JSON,
-    ```json fenced, not JSON); assistant turns have none (-> "no model" default)."""
+    """Raw injection answers for every user turn: plain JSON, fenced, not JSON, single-quoted, with
+    trailing prose and with other JSON types; every fourth conversation has a second answer.
+    Assistant turns have none (-> "no model" default)."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-    kind = (F.col("conv_id") + F.col("turn")) % 3
     flagged = (F.length("text") % 3 == 0).cast("string")
-    response = (
-        F.when(
-            kind == 0,
-            F.concat(F.lit('{"injection_detected": '), flagged, F.lit(', "attack_types": ["JAILBREAK", "ROLE_MANIPULATION"], "confidence": 0.9, "details": "pattern"}')),
-        )
-        .when(kind == 1, F.lit('```json\n{"injection_detected": false, "attack_types": [], "confidence": 0.1, "details": "clean"}\n```'))
-        .otherwise(F.lit("model error {"))
-    )
-    doc_id = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    return c.select(doc_id.alias("doc_id"), F.lit("injection").alias("task"), response.alias("response"))
+    plain = F.concat(F.lit('{"injection_detected": '), flagged, F.lit(', "attack_types": ["JAILBREAK", "ROLE_MANIPULATION"], "confidence": 0.9, "details": "pattern"}'))
+    shapes = [
+        plain,
+        F.lit('```json\n{"injection_detected": false, "attack_types": [], "confidence": 0.1, "details": "clean"}\n```'),
+        F.lit("model error {"),
+        F.replace(plain, F.lit('"'), F.lit("'")),
+        F.concat(plain, F.lit(" That is all.")),
+        F.lit('{"injection_detected": "true", "confidence": "0.9", "details": 7}'),
+        F.lit('{"injection_detected": 1, "confidence": 1}'),
+        F.lit('{"injection_detected": null, "confidence": null}'),
+    ]
+    response = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % len(shapes) + 1).cast("int"))
+    doc_id = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("doc_id")
+    firsts = c.select(doc_id, F.lit("injection").alias("task"), F.lit(1).alias("answer_no"), response.alias("response"))
+    seconds = c.where(F.col("conv_id") % 4 == 0).select(doc_id, F.lit("injection").alias("task"), F.lit(2).alias("answer_no"), F.lit("~clean").alias("response"))
+    return firsts.unionByName(seconds)
 
 
 def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +230,7 @@ def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     Answers are pre-aggregated to one row per document before the join, so a
     document with very many answers cannot skew it.
     """
-    texts = inputs.corpus(spark, sf_dir).select("doc_id", "text")
+    texts = inputs._corpus(spark, sf_dir).select("doc_id", "text")
     found = attach_model_answers(texts, pii_responses(spark, sf_dir)).select("doc_id", "llm_matches")
     return explode_matches(found, ["doc_id"], "llm_matches").select(
         "doc_id", F.col("pos").alias("idx"), "ptype", "value", "span_start", "span_end", "confidence"
@@ -203,15 +239,27 @@ def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regex and model findings merged together (regex first in emission order)."""
-    texts = inputs.corpus(spark, sf_dir).select("doc_id", "text")
+    texts = inputs._corpus(spark, sf_dir).select("doc_id", "text")
     withllm = attach_model_answers(texts, pii_responses(spark, sf_dir))
     d = detect(withllm, extra_matches_col="llm_matches")
     return explode_matches(d, ["doc_id"]).select(*MATCH_COLS)
 
 
+def hybrid_guard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10 row by row: documents with their PII answers and user turns with their injection answers."""
+    texts = inputs._corpus(spark, sf_dir).select("doc_id", "text").unionByName(inputs._conversation_turns(spark, sf_dir))
+    return _guard_row(hybrid_guard(texts, pii_responses(spark, sf_dir).unionByName(injection_responses(spark, sf_dir))))
+
+
+def hybrid_scrub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with model findings over the document corpus."""
+    s = hybrid_scrub(inputs._corpus(spark, sf_dir).select("doc_id", "text"), pii_responses(spark, sf_dir))
+    return s.select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
+
+
 def injection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4 + L5: verdict per conversation turn (parsed, parse error, or no-model default)."""
-    texts = inputs.conversation_turns(spark, sf_dir)
+    texts = inputs._conversation_turns(spark, sf_dir)
     j = attach_model_answers(texts, injection_responses(spark, sf_dir))
     out = j.select("doc_id", F.coalesce(F.col("verdict"), default_verdict()).alias("v"))
     return out.select(
@@ -226,8 +274,7 @@ def injection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guard_block_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10 over every conversation turn and customer sheet: texts per block reason."""
     both = inputs._conversation_turns(spark, sf_dir).unionByName(inputs._customer_records(spark, sf_dir))
-    texts = spread_small_input(both)
-    g = hybrid_guard(texts, injection_responses(spark, sf_dir))
+    g = hybrid_guard(both, injection_responses(spark, sf_dir))
     reason = (
         F.when(F.col("prompt_injection.injection_detected"), F.lit("injection"))
         .when(F.col("blocked"), F.lit("pii"))
@@ -253,14 +300,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 + S4: pages -> headed, joined, capped document text."""
+    """S3: pages -> headed, joined, whole document text."""
     docs = assemble_documents(_pages(spark, sf_dir))
     return docs.select("doc_id", "text", F.length("text").alias("n_chars"))
 
 
-def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per assembled document score, blocked, match count, top-20 entities, preview."""
-    r = build_document_report(assemble_documents(_pages(spark, sf_dir)))
+def document_assembly_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S4: the same under the opt-in cap of 10,000 characters."""
+    docs = assemble_documents(_pages(spark, sf_dir), max_length=DOC_MAX_LENGTH)
+    return docs.select("doc_id", "text", F.length("text").alias("n_chars"))
+
+
+def _report_columns(r: DataFrame) -> DataFrame:
     return r.select(
         "doc_id",
         "pii_score",
@@ -272,6 +323,16 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per whole document score, blocked, match count, top-20 entities, preview (detected page by page)."""
+    return _report_columns(page_report(_pages(spark, sf_dir)))
+
+
+def document_report_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 over documents under the opt-in cap of 10,000 characters."""
+    return _report_columns(build_document_report(assemble_documents(_pages(spark, sf_dir), max_length=DOC_MAX_LENGTH)))
+
+
 def top_entities_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct entities per text in first-seen order, at most 20."""
     d = detect(inputs.all_texts(spark, sf_dir))
@@ -370,8 +431,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "llm_pii_parse": llm_pii_parse,
     "llm_hybrid_merge": llm_hybrid_merge,
     "injection_verdicts": injection_verdicts,
+    "hybrid_guard": hybrid_guard_rows,
+    "hybrid_scrub": hybrid_scrub_rows,
+    "guard_response": guard_responses,
+    "scrub_response": scrub_responses,
     "document_assembly": document_assembly,
+    "document_assembly_capped": document_assembly_capped,
     "document_report": document_report,
+    "document_report_capped": document_report_capped,
+    "qa_results": qa_results,
     "top_entities": top_entities_query,
     "whitelist_impact": whitelist_impact,
     "qa_summary": qa_summary_query,

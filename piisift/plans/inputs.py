@@ -15,7 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piisift.sources.texts import spread_small_input
+from piisift.sources.texts import spread
+
+
+def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Dealt out to ``spark.piisift.inputPartitions`` tasks if that is set (single-file inputs), else as the scan gives it."""
+    wanted = spark.conf.get("spark.piisift.inputPartitions", None)
+    return spread(df, int(wanted) if wanted else None)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,34 +122,34 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return spread_small_input(out)
+    return _spread(spark, out)
 
 
-# Each table on its own, spread over the cores when small (see spread_small_input).
+# Each table on its own.
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(_corpus(spark, sf_dir))
+    return _spread(spark, _corpus(spark, sf_dir))
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
-    return spread_small_input(_conversation_turns(spark, sf_dir, role))
+    return _spread(spark, _conversation_turns(spark, sf_dir, role))
 
 
 def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(_customer_records(spark, sf_dir))
+    return _spread(spark, _customer_records(spark, sf_dir))
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(_order_notes(spark, sf_dir))
+    return _spread(spark, _order_notes(spark, sf_dir))
 
 
 def supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(_supplier_contacts(spark, sf_dir))
+    return _spread(spark, _supplier_contacts(spark, sf_dir))
 
 
 def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(_part_addresses(spark, sf_dir))
+    return _spread(spark, _part_addresses(spark, sf_dir))
 
 
 def extended_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,64 +358,112 @@ FROM {src} s JOIN {sc} sc USING (doc_id) JOIN {mk} mk USING (doc_id) {vjoin}""",
         word = "regexp_extract(text, '[A-Za-z]{4,}', 0)"
         start = f"CAST(strpos(text, {word}) - 1 AS VARCHAR)"
         end = f"CAST(strpos(text, {word}) - 1 + length({word}) AS VARCHAR)"
-        full = (
-            f"""'{{"pii_detected": [{{"type": "name", "value": "' || {word} || '", "start": ' || {start} || ', "end": ' || {end} || """
-            f"""', "confidence": 0.8}}, {{"type": "email", "value": "x", "confidence": 0.2}}]}}'"""
-        )
-        partial = f"""'{{"pii_detected": [{{"type": "id_number", "value": "' || {word} || '", "start": ' || {start} || '}}]}}'"""
-        body = f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 4
-  WHEN 0 THEN {full}
-  WHEN 1 THEN '```json' || chr(10) || {full} || chr(10) || '```'
-  WHEN 2 THEN '```' || chr(10) || {partial} || chr(10) || '```'
-  ELSE 'Sorry, no JSON here' END AS response FROM documents"""
+
+        def item(kind: str, first: str, last: str, more: str) -> str:
+            return f"""('{{"type": "{kind}", "value": "' || {word} || '", "start": ' || {first} || ', "end": ' || {last} || '{more}}}')"""
+
+        def answer(*items: str) -> str:
+            return """('{"pii_detected": [' || """ + " || ', ' || ".join(items) + " || ']}')"
+
+        good = item("name", start, end, ', "confidence": 0.8')
+        full = answer(good, """'{"type": "email", "value": "x", "confidence": 0.2}'""")
+        partial = f"""('{{"pii_detected": [{{"type": "id_number", "value": "' || {word} || '", "start": ' || {start} || '}}]}}')"""
+        shapes = [
+            full,
+            f"'```json' || chr(10) || {full} || chr(10) || '```'",
+            f"'```' || chr(10) || {partial} || chr(10) || '```'",
+            "'Sorry, no JSON here'",
+            f"replace({full}, chr(34), chr(39))",
+            f"{full} || ' Hope this helps.'",
+            answer(item("name", f"{start} || '.0'", f"{end} || '.0'", ', "confidence": 0.8')),
+            answer(item("name", f"chr(34) || {start} || chr(34)", end, ""), item("phone", start, end, "")),
+            answer(item("name", start, end, ', "confidence": null'), item("address", start, end, ', "confidence": 0.7')),
+            answer("""'"oops"'""", good),
+            answer(item("account", start, end, ', "confidence": "high"'), good),
+            answer(item("card", start, end, ', "confidence": 1')),
+        ]
+        cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes))
+        key = "'doc-' || CAST(doc_id AS VARCHAR) AS doc_id"
+        body = f"""SELECT {key}, 1 AS answer_no, CASE doc_id % {len(shapes)} {cases} END AS response FROM documents
+UNION ALL SELECT {key}, 2, {partial} FROM documents WHERE doc_id % 5 = 0"""
         return self.add("pii_resp", body)
 
     def llm_found(self) -> str:
-        """Normalised model findings ``(doc_id, i, ...)``; ``i`` is the 0-based item index."""
+        """Normalised model findings ``(doc_id, i, ...)``; ``i`` numbers a text's findings in answer order."""
         resp = self.pii_responses()
         corpus = self.corpus()
-        schema = '[{"type":"VARCHAR","value":"VARCHAR","start":"BIGINT","end":"BIGINT","confidence":"DOUBLE"}]'
         items = self.add(
             "llm_items",
-            f"""SELECT c.doc_id, c.text, CASE WHEN json_valid(x.clean) THEN from_json(json_extract(x.clean, '$.pii_detected'), '{schema}') END AS items
-FROM {corpus} c JOIN (SELECT doc_id, {self._clean('response')} AS clean FROM {resp}) x USING (doc_id)""",
+            f"""SELECT doc_id, answer_no, CASE WHEN json_valid(clean) THEN CASE WHEN json_type(clean) = 'OBJECT' AND json_type(clean, '$.pii_detected') = 'ARRAY'
+  THEN json_extract(clean, '$.pii_detected[*]') END END AS items
+FROM (SELECT doc_id, answer_no, {self._clean('response')} AS clean FROM {resp})""",
         )
         norm = self.add(
             "llm_norm",
-            f"""SELECT doc_id, text, CAST(i - 1 AS INTEGER) AS i, upper(coalesce(it.type, '')) AS ptype, coalesce(it.value, '') AS value,
-  coalesce(it.start, 0) AS s, coalesce(it."end", length(coalesce(it.value, ''))) AS e, coalesce(it.confidence, {LLM_DEFAULT_CONFIDENCE}) AS confidence
-FROM {items} l, unnest(l.items) WITH ORDINALITY AS t(it, i)""",
+            f"""SELECT doc_id, answer_no, i, upper(coalesce(json_extract_string(it, '$.type'), '')) AS ptype, coalesce(json_extract_string(it, '$.value'), '') AS value,
+  coalesce(TRY_CAST(json_extract_string(it, '$.start') AS BIGINT), 0) AS s,
+  coalesce(TRY_CAST(json_extract_string(it, '$.end') AS BIGINT), length(coalesce(json_extract_string(it, '$.value'), ''))) AS e,
+  coalesce(TRY_CAST(json_extract_string(it, '$.confidence') AS DOUBLE), {LLM_DEFAULT_CONFIDENCE}) AS confidence
+FROM {items} l, unnest(l.items) WITH ORDINALITY AS t(it, i)
+WHERE len(list_filter(l.items, lambda x: json_type(x) <> 'OBJECT')) = 0
+  AND coalesce(json_type(it, '$.type'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(it, '$.value'), 'VARCHAR') = 'VARCHAR'
+  AND coalesce(json_type(it, '$.start'), 'BIGINT') IN ('UBIGINT', 'BIGINT') AND coalesce(json_type(it, '$.end'), 'BIGINT') IN ('UBIGINT', 'BIGINT')
+  AND coalesce(json_type(it, '$.confidence'), 'DOUBLE') IN ('UBIGINT', 'BIGINT', 'DOUBLE')""",
         )
         return self.add(
             "llm_found",
-            f"""SELECT doc_id, i, ptype, value, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, CAST(confidence AS DOUBLE) AS confidence
-FROM {norm} WHERE ptype <> '' AND value <> '' AND confidence > {LLM_MIN_CONFIDENCE} AND s >= 0 AND s < e AND e <= length(text)""",
+            f"""SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY answer_no, i) - 1 AS INTEGER) AS i, ptype, value,
+  CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, CAST(confidence AS DOUBLE) AS confidence
+FROM {norm} n JOIN {corpus} c ON c.doc_id = n.doc_id
+WHERE ptype <> '' AND value <> '' AND confidence > {LLM_MIN_CONFIDENCE} AND s >= 0 AND s < e AND e <= length(c.text)""",
         )
 
     def injection_responses(self) -> str:
         flagged = "CAST(length(text) % 3 = 0 AS VARCHAR)"
-        body = f"""SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id, CASE (conv_id + turn) % 3
-  WHEN 0 THEN '{{"injection_detected": ' || {flagged} || ', "attack_types": ["JAILBREAK", "ROLE_MANIPULATION"], "confidence": 0.9, "details": "pattern"}}'
-  WHEN 1 THEN '```json' || chr(10) || '{{"injection_detected": false, "attack_types": [], "confidence": 0.1, "details": "clean"}}' || chr(10) || '```'
-  ELSE 'model error {{' END AS response FROM conversations WHERE role = 'user'"""
+        plain = f"""('{{"injection_detected": ' || {flagged} || ', "attack_types": ["JAILBREAK", "ROLE_MANIPULATION"], "confidence": 0.9, "details": "pattern"}}')"""
+        shapes = [
+            plain,
+            """'```json' || chr(10) || '{"injection_detected": false, "attack_types": [], "confidence": 0.1, "details": "clean"}' || chr(10) || '```'""",
+            "'model error {'",
+            f"replace({plain}, chr(34), chr(39))",
+            f"{plain} || ' That is all.'",
+            """'{"injection_detected": "true", "confidence": "0.9", "details": 7}'""",
+            """'{"injection_detected": 1, "confidence": 1}'""",
+            """'{"injection_detected": null, "confidence": null}'""",
+        ]
+        cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes))
+        key = "'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id"
+        body = f"""SELECT {key}, 1 AS answer_no, CASE (conv_id + turn) % {len(shapes)} {cases} END AS response FROM conversations WHERE role = 'user'
+UNION ALL SELECT {key}, 2, '~clean' FROM conversations WHERE role = 'user' AND conv_id % 4 = 0"""
         return self.add("inj_resp", body)
 
     def verdicts(self) -> str:
         r = self.injection_responses()
-        ok = f"json_valid(clean) AND starts_with(trim(clean, {WS_CHARS}), '{{')"
+        each = self.add(
+            "verdict_each",
+            f"""SELECT doc_id, answer_no, CASE WHEN json_valid(clean) THEN CASE WHEN json_type(clean) = 'OBJECT' THEN clean END END AS j
+FROM (SELECT doc_id, answer_no, {self._clean('response')} AS clean FROM {r})""",
+        )
+        flag = "json_extract_string(j, '$.injection_detected')"
+        parsed = self.add(
+            "verdict_parsed",
+            f"""SELECT doc_id, answer_no, j IS NULL AS broken,
+  coalesce(CASE json_type(j, '$.injection_detected') WHEN 'BOOLEAN' THEN {flag} = 'true' WHEN 'VARCHAR' THEN {flag} <> '' WHEN 'NULL' THEN false
+    WHEN 'ARRAY' THEN {flag} <> '[]' WHEN 'OBJECT' THEN {flag} <> '{{}}' ELSE TRY_CAST({flag} AS DOUBLE) <> 0 END, false) AS injection_detected,
+  CASE WHEN json_type(j, '$.attack_types') = 'ARRAY' THEN array_to_string(from_json(json_extract(j, '$.attack_types'), '["VARCHAR"]'), ',') ELSE '' END AS attack_types,
+  CASE WHEN json_type(j, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) ELSE 0.0 END AS confidence,
+  CASE WHEN j IS NULL THEN {q(VERDICT_PARSE_ERROR_DETAILS)} WHEN json_type(j, '$.details') = 'VARCHAR' THEN json_extract_string(j, '$.details') ELSE '' END AS details
+FROM {each}""",
+        )
         return self.add(
             "verdicts",
-            f"""SELECT doc_id,
-  CASE WHEN {ok} THEN coalesce(TRY_CAST(json_extract_string(clean, '$.injection_detected') AS BOOLEAN), false) ELSE false END AS injection_detected,
-  CASE WHEN {ok} THEN coalesce(array_to_string(from_json(json_extract(clean, '$.attack_types'), '["VARCHAR"]'), ','), '') ELSE '' END AS attack_types,
-  CASE WHEN {ok} THEN coalesce(TRY_CAST(json_extract_string(clean, '$.confidence') AS DOUBLE), 0.0) ELSE 0.0 END AS confidence,
-  CASE WHEN {ok} THEN coalesce(json_extract_string(clean, '$.details'), '') ELSE {q(VERDICT_PARSE_ERROR_DETAILS)} END AS details
-FROM (SELECT doc_id, {self._clean('response')} AS clean FROM {r})""",
+            f"""SELECT doc_id, injection_detected, attack_types, confidence, details FROM {parsed}
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN injection_detected THEN 0 WHEN broken THEN 2 ELSE 1 END, answer_no) = 1""",
         )
 
     # -- documents from pages ---------------------------------------------------
 
-    def assembled(self) -> str:
+    def assembled(self, cap: int | None = None) -> str:
         corpus = self.corpus()
         pages = self.add(
             "pages_t",
@@ -424,7 +472,7 @@ FROM (SELECT doc_id, {self._clean('response')} AS clean FROM {r})""",
         notice = q(DOC_CAP_NOTICE)
         return self.add(
             "assembled",
-            f"""SELECT doc_id, CASE WHEN length(j) > {DOC_MAX_LENGTH} THEN substring(j, 1, {DOC_MAX_LENGTH}) || {notice} ELSE j END AS text
+            f"""SELECT doc_id, {f"CASE WHEN length(j) > {cap} THEN substring(j, 1, {cap}) || {notice} ELSE j END" if cap else "j"} AS text
 FROM (SELECT doc_id, string_agg({q('[페이지 ')} || CAST(page_no AS VARCHAR) || ']' || chr(10) || text || chr(10), chr(10) ORDER BY page_no) AS j
       FROM {pages} WHERE text IS NOT NULL AND text <> '' GROUP BY doc_id)""",
         )
@@ -524,8 +572,7 @@ def _scrub_allowlisted_sql() -> str:
 
 def _guard_sql() -> str:
     s = Sql()
-    src = s.add("guard_in", f"SELECT doc_id, text FROM {s.turns('assistant')} UNION ALL SELECT doc_id, text FROM {s.customers()}")
-    g = s.guarded(src, "g")
+    g = s.guarded(s.all_texts(), "g")
     return s.render(f"SELECT doc_id, answer, pii_score, blocked, n_matches, injection_detected, details FROM {g}")
 
 
@@ -550,22 +597,40 @@ def _llm_parse_sql() -> str:
     s = Sql()
     f = s.llm_found()
     return s.render(
-        f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, ptype, value, span_start, span_end, confidence FROM {f}"
+        f"SELECT doc_id, i AS idx, ptype, value, span_start, span_end, confidence FROM {f}"
     )
 
 
-def _llm_hybrid_sql() -> str:
-    s = Sql()
-    src = s.add("corpus_t", f"SELECT doc_id, text FROM {s.corpus()}")
+def _hybrid_candidates(s: Sql, src: str) -> str:
     c = s.candidates(src, "d")
     f = s.llm_found()
-    both = s.add(
+    return s.add(
         "hybrid_cands",
         f"SELECT doc_id, ord, ptype, value, span_start, span_end, confidence, source FROM {c} "
         f"UNION ALL SELECT doc_id, CAST(1000 + i AS INTEGER), ptype, value, span_start, span_end, confidence, 'llm' FROM {f}",
     )
-    m = s.merged(both, "h")
-    return s.render(MATCH_SELECT.format(m=m))
+
+
+def _llm_hybrid_sql() -> str:
+    s = Sql()
+    src = s.add("corpus_t", f"SELECT doc_id, text FROM {s.corpus()}")
+    return s.render(MATCH_SELECT.format(m=s.merged(_hybrid_candidates(s, src), "h")))
+
+
+def _hybrid_scrub_sql() -> str:
+    s = Sql()
+    src = s.add("corpus_t", f"SELECT doc_id, text FROM {s.corpus()}")
+    m = s.merged(_hybrid_candidates(s, src), "h")
+    mk = s.masked(src, m, "h")
+    sc = s.scores(src, m, "h")
+    return s.render(f"SELECT mk.doc_id, mk.masked AS scrubbed, sc.n_matches FROM {mk} mk JOIN {sc} sc USING (doc_id)")
+
+
+def _hybrid_guard_sql() -> str:
+    s = Sql()
+    src = s.add("hybrid_in", f"SELECT doc_id, text FROM {s.corpus()} UNION ALL SELECT doc_id, text FROM {s.turns()}")
+    g = s.guarded(src, "g", verdicts=s.verdicts(), cands=_hybrid_candidates(s, src))
+    return s.render(f"SELECT doc_id, answer, pii_score, blocked, n_matches, injection_detected, details FROM {g}")
 
 
 def _verdicts_sql() -> str:
@@ -579,15 +644,15 @@ FROM {t} t LEFT JOIN {v} v USING (doc_id)"""
     )
 
 
-def _assembly_sql() -> str:
+def _assembly_sql(cap: int | None = None) -> str:
     s = Sql()
-    a = s.assembled()
+    a = s.assembled(cap)
     return s.render(f"SELECT doc_id, text, CAST(length(text) AS INTEGER) AS n_chars FROM {a}")
 
 
-def _report_sql() -> str:
+def _report_sql(cap: int | None = None) -> str:
     s = Sql()
-    a = s.assembled()
+    a = s.assembled(cap)
     m = s.merged(s.candidates(a, "r"), "r")
     g = s.guarded(a, "r")
     e = s.entities(m, "r")
@@ -708,8 +773,12 @@ ORACLE: dict[str, callable] = {
     "llm_pii_parse": _llm_parse_sql,
     "llm_hybrid_merge": _llm_hybrid_sql,
     "injection_verdicts": _verdicts_sql,
+    "hybrid_guard": _hybrid_guard_sql,
+    "hybrid_scrub": _hybrid_scrub_sql,
     "document_assembly": _assembly_sql,
+    "document_assembly_capped": lambda: _assembly_sql(DOC_MAX_LENGTH),
     "document_report": _report_sql,
+    "document_report_capped": lambda: _report_sql(DOC_MAX_LENGTH),
     "top_entities": _top_entities_sql,
     "whitelist_impact": _impact_sql,
     "qa_summary": _qa_sql,

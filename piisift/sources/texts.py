@@ -10,7 +10,6 @@ from piisift.config import (
     ALLOWLIST_KINDS,
     DEFAULT_ALLOWLIST,
     DOC_CAP_NOTICE,
-    DOC_MAX_LENGTH,
     PAGE_HEADER,
     PAGE_SEPARATOR,
 )
@@ -25,41 +24,14 @@ LLM_RESPONSE_SCHEMA = T.StructType(
 )
 
 
-def _bytes(conf_value: str, default: int) -> int:
-    """A Spark size setting ("134217728b", "128m", "1g", "64MB") in bytes."""
-    text = str(conf_value).strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    try:
-        if text and text[-1] in units:
-            return int(float(text[:-1]) * units[text[-1]])
-        return int(text)
-    except ValueError:
-        return default
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give CPU-bound detection all cores when the input is small.
-
-    Detection is map-only, so its parallelism is the scan's: a file with one row
-    group is read by one task however many splits it has.  When Catalyst's size
-    estimate shows fewer bytes than one split per core, a round-robin
-    repartition over the cores is cheap and removes that bottleneck.  Larger
-    inputs keep their natural splits and stay shuffle-free.  Without a size
-    estimate (e.g. outside a classic, JVM-backed session) the plan is left
-    unchanged.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt out to ``partitions`` tasks; by default as it is.
+
+    Detection is map-only, so its parallelism is the scan's.  A table that
+    comes in too few splits (one row group) can be dealt out first; how many
+    tasks that takes is the caller's decision, never read from a size estimate.
     """
-    if df.isStreaming:
-        return df
-    try:
-        spark = df.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"), 128 << 20)
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate available: leave the plan alone
-        return df
-    if size < split * cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(partitions) if partitions and not df.isStreaming else df
 
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,15 +74,24 @@ def read_llm_responses(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return spark.read.format(fmt).schema(LLM_RESPONSE_SCHEMA).load(path)
 
 
+def page_parts(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """``doc_id, page_no, part``: each non-empty page with its header and line end."""
+    hl, hr = PAGE_HEADER.split("{n}")
+    header = F.concat(F.lit(hl), F.col(page_col).cast("string"), F.lit(hr))
+    return pages.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
+        F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"), F.concat(header, F.col(text_col), F.lit("\n")).alias("part")
+    )
+
+
 def assemble_documents(
     pages: DataFrame,
-    max_length: int | None = DOC_MAX_LENGTH,
+    max_length: int | None = None,
     doc_col: str = "doc_id",
     page_col: str = "page_no",
     text_col: str = "text",
     salt_buckets: int = 64,
 ) -> DataFrame:
-    """S3 + S4: pages -> one text per document, capped.
+    """S3 + S4: pages -> one text per document, whole unless ``max_length`` is given.
 
     Each non-empty page becomes ``"[페이지 n]\n{text}\n"`` (``n`` is the page
     number, so numbering survives skipped pages); parts are joined with
@@ -127,12 +108,7 @@ def assemble_documents(
     starting inside the cap are collected (at most the cap plus one page).
     """
     hl, hr = PAGE_HEADER.split("{n}")
-    header = F.concat(F.lit(hl), F.col(page_col).cast("string"), F.lit(hr))
-    parts = pages.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
-        F.col(doc_col).alias("doc_id"),
-        F.col(page_col).alias("page_no"),
-        F.concat(header, F.col(text_col), F.lit("\n")).alias("part"),
-    )
+    parts = page_parts(pages, doc_col, page_col, text_col)
     sep = len(PAGE_SEPARATOR)
     if max_length is None:
         # Whole documents: the output row is the document itself.
@@ -142,14 +118,14 @@ def assemble_documents(
     min_part = len(hl) + 1 + len(hr) + 1 + 1 + sep  # header with one digit, one text char, newline, separator
     keep = max_length // min_part + 1
     plen = F.length("part") + sep
-    salted = parts.withColumn("_plen", plen).withColumn("_salt", F.pmod(F.xxhash64("page_no"), F.lit(salt_buckets)))
+    # No part contributes more than the cap, so no exchange moves more of it.
+    cut = parts.withColumn("_plen", plen).withColumn("part", F.substring("part", 1, max_length + 1))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("page_no"), F.lit(salt_buckets)))
     w1 = Window.partitionBy("doc_id", "_salt").orderBy("page_no")
     stage1 = (
         salted.withColumn("_rn1", F.row_number().over(w1))
         .withColumn("_salt_total", F.sum("_plen").over(w1.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .filter(F.col("_rn1") <= keep)
-        # No part contributes more than the cap; later stages move at most that much text.
-        .withColumn("part", F.substring("part", 1, max_length + 1))
     )
     w2 = Window.partitionBy("doc_id").orderBy("page_no")
     stage2 = (

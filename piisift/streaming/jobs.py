@@ -32,8 +32,8 @@ def document_stream(
     return s.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
 
 
-def start_sink(df: DataFrame, out_dir: str, name: str, available_now: bool = True):
-    """File sink with its own checkpoint; ``availableNow`` drains what exists and stops."""
+def start_sink(df: DataFrame, out_dir: str, name: str, available_now: bool = True, trigger: str = "10 seconds"):
+    """File sink with its own checkpoint; ``availableNow`` drains what exists and stops, else ``trigger`` paces the batches."""
     writer = (
         df.writeStream.format("parquet")
         .option("path", f"{out_dir}/data")
@@ -41,7 +41,7 @@ def start_sink(df: DataFrame, out_dir: str, name: str, available_now: bool = Tru
         .queryName(name)
         .outputMode("append")
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
 
 

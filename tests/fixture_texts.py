@@ -1,5 +1,7 @@
 """Fixture texts and expected results (FIXTURES.md)."""
 
+# PUBLISHED VALUES: inputs and results that must match, in their published order.
+
 SAMPLE = (
     "고객 정보\n\n고객명: 김철수\n전화번호: 010-1234-5678\n이메일: kim@company.com\n주소: 서울시 강남구 테헤란로 123\n"
     "생년월일: 1980년 5월 15일\n\n상담 내용:\n고객께서 계좌번호 123-45-678901에서 다른 계좌로 이체 문제로 문의하셨습니다.\n"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from fixture_texts import CASES, SAMPLE
 from piisift.config import NAME_RULES, RULES, DetectorConfig
+from piisift.functions.spans import match_spans, safe_text
 from piisift.operators.detect import with_candidates
 
 TRICKY = [
@@ -118,3 +119,26 @@ def test_long_text_scrub_matches_python(spark):
             pos = m.span_end
         assert r.scrubbed == "".join(rebuilt) + t[pos:], d
     assert len(out["d1"].matches) > 1000
+
+
+def test_email_runs_are_linear_and_equal_to_python(spark):
+    """A leading run is taken whole: same spans as ``re``, also back to back, and no stall on one long run."""
+    import random
+    import re
+    import time
+
+    from piisift.config import RULES
+    from piisift.operators.guard import scrub
+
+    pattern = next(p for t, p, _, _ in RULES if t == "EMAIL")
+    rnd = random.Random(3)
+    texts = ["a@b.co1@c.de", "x.y@z.com@w.org a@b.cc", "@@a@b.cd", "a@b", "a%b+c@d-e.fg.hi!"]
+    texts += ["".join(rnd.choice("ab1.@-_ é") for _ in range(rnd.randrange(4, 60))) + rnd.choice(["", "@a.bc", "@a.bc@d.ef"]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = df.select("doc_id", match_spans(safe_text(F.col("text")), pattern).alias("m")).collect()
+    for r in found:
+        assert [(s["s"], s["e"]) for s in r["m"]] == [m.span() for m in re.finditer(pattern, texts[r["doc_id"]])], texts[r["doc_id"]]
+    long = spark.createDataFrame([(1, "a" * 1_000_000 + " @ x@y.com")], "doc_id int, text string")
+    began = time.time()
+    assert scrub(long).first()["scrubbed"].endswith(" @ <EMAIL>")
+    assert time.time() - began < 60

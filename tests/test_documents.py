@@ -1,6 +1,6 @@
 """Page assembly, length cap, document report."""
 
-from piisift.config import DOC_CAP_NOTICE
+from piisift.config import DOC_CAP_NOTICE, DOC_MAX_LENGTH
 from piisift.operators.reports import document_report
 from piisift.sources.texts import assemble_documents
 
@@ -24,9 +24,12 @@ def test_assembly_and_cap(spark):
     rows = [(d, n, t) for d, ps in docs.items() for n, t in ps]
     pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
     for buckets in (1, 3, 64):
-        got = {r.doc_id: r.text for r in assemble_documents(pages, salt_buckets=buckets).collect()}
+        got = {r.doc_id: r.text for r in assemble_documents(pages, max_length=DOC_MAX_LENGTH, salt_buckets=buckets).collect()}
         for d, ps in docs.items():
             assert got[d] == _assemble_py(ps), (d, buckets)
+    whole = {r.doc_id: r.text for r in assemble_documents(pages).collect()}  # the cap is opt-in
+    for d, ps in docs.items():
+        assert whole[d] == _assemble_py(ps, cap=10**9), d
     assert got["plain"] == "[페이지 1]\na\n\n[페이지 3]\nb\n"
     assert len(got["exact"]) == 10000
 

@@ -1,4 +1,6 @@
-"""The merge fold against a literal model of the ordered merge, and the islands form."""
+"""The merge fold against a model built from the merge's properties, and the islands form."""
+
+from functools import reduce
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,28 +11,17 @@ from piisift.operators.longform import merge_long
 
 
 def model_merge(matches):
-    """Quadratic model: visit by (start, end) with ties in emission order; a same-span
-    match replaces the kept one only if strictly more confident; otherwise the first
-    overlapping kept match is replaced only if strictly less confident; else keep."""
-    order = sorted(range(len(matches)), key=lambda i: (matches[i][0], matches[i][1], i))
-    kept, seen = [], set()
-    for i in order:
-        s, e, conf = matches[i]
-        if (s, e) in seen:
-            for j, k in enumerate(kept):
-                if (matches[k][0], matches[k][1]) == (s, e) and conf > matches[k][2]:
-                    kept[j] = i
-                    break
-            continue
-        hit = next((k for k in kept if not (e <= matches[k][0] or matches[k][1] <= s)), None)
-        if hit is None:
-            kept.append(i)
-            seen.add((s, e))
-        elif conf > matches[hit][2]:
-            kept.remove(hit)
-            kept.append(i)
-            seen.add((s, e))
-    return sorted(kept, key=lambda k: (matches[k][0], matches[k][1], k))
+    """The merge by its properties: matches in order of (start, end, emission); a result is
+    disjoint and sorted, so a match can only meet the last one taken.  It follows it if they
+    are apart, takes its place if strictly more confident, and goes otherwise."""
+
+    def take(taken, i):
+        start, _, confidence = matches[i]
+        if not taken or start >= matches[taken[-1]][1]:
+            return [*taken, i]
+        return [*taken[:-1], i] if confidence > matches[taken[-1]][2] else taken
+
+    return reduce(take, sorted(range(len(matches)), key=lambda i: (matches[i][0], matches[i][1], i)), [])
 
 
 span = st.tuples(st.integers(0, 40), st.integers(1, 12), st.sampled_from([0.5, 0.6, 0.8, 0.85, 0.9, 0.95, 0.98]))

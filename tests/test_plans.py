@@ -27,5 +27,5 @@ def test_detection_is_map_only_and_pruned(spark):
 def test_filters_reach_the_scans(spark):
     plan = entry_mod.queries()["whitelist_filter"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "LessThan(s_acctbal,0.0)" in plan
-    plan = entry_mod.queries()["guard_documents"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = entry_mod.queries()["guard_response"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,assistant)" in plan
