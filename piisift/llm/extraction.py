@@ -65,7 +65,7 @@ class Page:
         self.stack: list[tuple[str, bool, bool]] = []  # element, skipped, labelled as main part
         self.open: Counter = Counter()  # elements on the stack by name
         self.kinds, self.around = [], []  # block elements and numbers of containers on the stack
-        self.skips = self.mains = 0
+        self.skips = self.mains = self.muted = 0  # muted: skipped elements inside a block, whose words are no part of it
         self.text: list[str] = []
         self.link_chars = self.chars = self.tags = self.elements = 0
         self.labelled = False
@@ -90,7 +90,7 @@ class Page:
         self._end_block()
 
     def _words(self, text: str) -> None:
-        if text:
+        if text and not self.muted:
             self.text.append(text)
             self.link_chars += len(text) if self.open["a"] else 0
             self.chars += len(text)
@@ -107,6 +107,7 @@ class Page:
         self.stack.append((name, skipped, main))
         self.open[name] += 1
         self.skips += skipped
+        self.muted += skipped and name not in BLOCKS
         self.mains += main
         self.elements += 1
         if name in BLOCKS:
@@ -118,6 +119,7 @@ class Page:
         name, skipped, main = self.stack.pop()
         self.open[name] -= 1
         self.skips -= skipped
+        self.muted -= skipped and name not in BLOCKS
         self.mains -= main
         if name in BLOCKS:
             self.kinds.pop()

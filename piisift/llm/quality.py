@@ -53,17 +53,18 @@ class QualityModel:
         data, count = halves(texts)
         per_half = HALF // STRIDE
         tops = np.empty((int(count.sum()), len(self.shift)), dtype=np.float32)
+        last = np.zeros(len(tops), dtype=bool)
+        last[np.cumsum(count) - 1] = True
         for k in range(0, len(tops), 4096):
             n = min(4096, len(tops) - k)
             at = np.arange(n * per_half) * STRIDE + k * HALF
             response = self.tables[0][data[at]]
             for j in range(1, WIDTH):
                 response += self.tables[j][data[at + j]]
-            tops[k : k + n] = response.reshape(n, per_half, -1).max(axis=1)
+            response = response.reshape(n, per_half, -1)
+            response[last[k : k + n], -1] = -np.inf  # it would reach into the next text; the one before ends with this one's last byte
+            tops[k : k + n] = response.max(axis=1)
         tops = np.maximum(tops + self.shift, 0)
-        begin = np.cumsum(count) - count
-        last = np.zeros(len(tops), dtype=bool)
-        last[begin + count - 1] = True
         chunk = tops.copy()  # a chunk is a half and the next one of the same text
         chunk[:-1] = np.where(last[:-1, None], tops[:-1], np.maximum(tops[:-1], tops[1:]))
         use = ~last | np.repeat(count == 1, count)
@@ -89,11 +90,11 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Qualit
         "out": rng.normal(0, 0.1, 2 * FILTERS),
         "bias": np.zeros(1),
     }
-    if not len(y) or y.min() == y.max():
+    fit = np.arange(len(y)) % 5 != 0
+    if not fit.any() or y[fit].min() == y[fit].max():
         model = QualityModel(params["embed"], params["filters"], params["shift"], 0 * params["out"], 0.0)
         model.offset = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return model
-    fit = np.arange(len(y)) % 5 != 0
     data, count = halves(texts.filter(pa.array(fit)))
     begin, fit_y = (np.cumsum(count) - count) * HALF, y[fit]
     ones, zeros = np.flatnonzero(fit_y == 1), np.flatnonzero(fit_y == 0)

@@ -111,9 +111,9 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Toxici
     """The jointly trained model; a fifth of the sample is kept back for the calibration."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(size), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fit = np.arange(len(y)) % 5 != 0
+    if not fit.any() or y[fit].min() == y[fit].max():
+        return ToxicityModel(np.zeros(size), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fit_texts, fit_y = texts.filter(pa.array(fit)), y[fit]
     counts, codes, words = coded_words(fit_texts)
     bucket, owner = subwords(words)
