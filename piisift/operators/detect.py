@@ -14,6 +14,7 @@ more than once, so each regex runs once per row (checked with ``explain``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -158,11 +159,29 @@ def with_gates(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({f"_g_{name}": fn(F.col("_safe")) for name, fn in GATE_COLUMNS.items()})
 
 
-#: Candidate columns of the running application only (a new application clears it).
+#: Unresolved columns of the running application (a new application clears them).
 _COLUMN_CACHE: dict[tuple, Column] = {}
 _CACHE_OWNER: list[str] = []
 
 
+def cached_column(key: tuple, build: Callable[[], Column]) -> Column:
+    """The column that ``build`` gives, built once per application.
+
+    Building one of the large expressions takes hundreds of calls to the JVM;
+    they refer to columns by name only, so one instance serves every DataFrame.
+    """
+    from pyspark import SparkContext
+
+    active = SparkContext._active_spark_context
+    owner = active.applicationId if active is not None else ""
+    if _CACHE_OWNER != [owner]:
+        _COLUMN_CACHE.clear()
+        _CACHE_OWNER[:] = [owner]
+    if key not in _COLUMN_CACHE:
+        _COLUMN_CACHE[key] = build()
+    return _COLUMN_CACHE[key]
+
+
 def candidates_column(
     text_col: str = "text",
     config: DetectorConfig = DEFAULT_CONFIG,
@@ -175,22 +194,11 @@ def candidates_column(
     The expression is unresolved (columns by name), so one instance serves every
     DataFrame; it is built once per configuration and session.
     """
-    from pyspark import SparkContext
-
     # The expression depends on the rules, validation and gating only (the
     # allow-list is applied afterwards, in :func:`with_candidates`).
     use_gates = config.gates if gates is None else gates
-    active = SparkContext._active_spark_context
-    owner = active.applicationId if active is not None else ""
-    if _CACHE_OWNER != [owner]:
-        _COLUMN_CACHE.clear()
-        _CACHE_OWNER[:] = [owner]
-    key = (text_col, tuple(config.rules()), tuple(sorted(types or [])), types is None, validate, use_gates)
-    col = _COLUMN_CACHE.get(key)
-    if col is None:
-        col = _build_candidates_column(text_col, config, types, validate, use_gates)
-        _COLUMN_CACHE[key] = col
-    return col
+    key = ("candidates", text_col, tuple(config.rules()), tuple(sorted(types or [])), types is None, validate, use_gates)
+    return cached_column(key, lambda: _build_candidates_column(text_col, config, types, validate, use_gates))
 
 
 def _build_candidates_column(text_col: str, config: DetectorConfig, types: set[str] | None, validate: bool, use_gates: bool) -> Column:
@@ -262,12 +270,15 @@ def detect(
             config = replace(config, allowlist=merged)
     if out is None:
         out = with_candidates(df, text_col, config)
-    cands = F.col("_cands")
-    if extra_matches_col:
-        cands = F.concat(cands, F.coalesce(F.col(extra_matches_col), empty_matches()))
-    out = out.withColumn("matches", merge_matches(cands)).drop("_cands")
+    def merged() -> Column:
+        cands = F.col("_cands")
+        if extra_matches_col:
+            cands = F.concat(cands, F.coalesce(F.col(extra_matches_col), empty_matches()))
+        return merge_matches(cands)
+
+    out = out.withColumn("matches", cached_column(("merged", extra_matches_col), merged)).drop("_cands")
     if not internal:
-        out = out.withColumn("matches", public_matches(F.col("matches")))
+        out = out.withColumn("matches", cached_column(("public",), lambda: public_matches(F.col("matches"))))
     return out
 
 

@@ -6,13 +6,24 @@ answers to their texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piisift.config import MSG_INJECTION, MSG_PII, VERDICT_PARSE_ERROR_DETAILS, DetectorConfig
 from piisift.functions.llm import default_verdict, findings_to_matches, llm_findings, parse_verdict
 from piisift.functions.matches import empty_matches, mask_text, public_matches, risk_value, score_from_risk
-from piisift.operators.detect import DEFAULT_CONFIG, detect
+from piisift.operators.detect import DEFAULT_CONFIG, cached_column, detect
+
+
+def masked_column(text_col: str) -> Column:
+    """The text with its merged ``matches`` replaced by ``<TYPE>``."""
+    return cached_column(("masked", text_col), lambda: mask_text(F.col(text_col), F.col("matches")))
+
+
+def score_column(config: DetectorConfig) -> Column:
+    """The 0-100 score of the merged ``matches``."""
+    key = ("score", tuple(config.weights.items()), config.default_weight)
+    return cached_column(key, lambda: score_from_risk(risk_value(F.col("matches"), config.weights, config.default_weight)))
 
 
 def scrub(
@@ -26,8 +37,8 @@ def scrub(
     d = detect(df, text_col, config, extra_matches_col=extra_matches_col, internal=True, allowlist_table=allowlist_table)
     return d.select(
         *[c for c in df.columns if c != extra_matches_col],
-        mask_text(F.col(text_col), F.col("matches")).alias("scrubbed"),
-        public_matches(F.col("matches")).alias("matches"),
+        masked_column(text_col).alias("scrubbed"),
+        cached_column(("public",), lambda: public_matches(F.col("matches"))).alias("matches"),
     )
 
 
@@ -51,7 +62,7 @@ def guard(
     scored = d.select(
         *keep,
         "matches",
-        score_from_risk(risk_value(F.col("matches"), config.weights, config.default_weight)).alias("pii_score"),
+        score_column(config).alias("pii_score"),
         verdict.alias("prompt_injection"),
     )
     injected = F.col("prompt_injection.injection_detected")
@@ -60,9 +71,9 @@ def guard(
         F.when(F.col(text_col).isNull(), F.lit(None).cast("string"))
         .when(injected, F.lit(MSG_INJECTION))
         .when(blocked, F.lit(MSG_PII))
-        .otherwise(mask_text(F.col(text_col), F.col("matches")))
+        .otherwise(masked_column(text_col))
     )
-    matches = public_matches(F.col("matches"))
+    matches = cached_column(("public",), lambda: public_matches(F.col("matches")))
     if config.redact_values:
         matches = F.when(blocked, F.transform(matches, lambda m: m.withField("value", F.lit(None).cast("string")))).otherwise(matches)
     return scored.select(
