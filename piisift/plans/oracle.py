@@ -576,6 +576,42 @@ def _guard_sql() -> str:
     return s.render(f"SELECT doc_id, answer, pii_score, blocked, n_matches, injection_detected, details FROM {g}")
 
 
+def _wire_matches(s: Sql, m: str, tag: str) -> str:
+    """Per text the JSON list of its matches in the response's shape."""
+    one = "{'type': ptype, 'value': value, 'span': [span_start, span_end], 'confidence': confidence, 'source': source}"
+    return s.add(f"{tag}_wire", f"SELECT doc_id, '[' || string_agg(CAST(to_json({one}) AS VARCHAR), ',' ORDER BY pos) || ']' AS ms FROM {m} GROUP BY doc_id")
+
+
+def _response_input(s: Sql) -> str:
+    return s.add("resp_in", f"SELECT doc_id, text FROM {s.turns('assistant')} UNION ALL SELECT doc_id, text FROM {s.customers()}")
+
+
+def _guard_response_sql() -> str:
+    s = Sql()
+    src = _response_input(s)
+    c = s.candidates(src, "g")
+    w = _wire_matches(s, s.merged(c, "w"), "w")
+    g = s.guarded(src, "g", cands=c)
+    verdict = f"""'{{"injection_detected":false,"attack_types":[],"confidence":0.0,"details":"' || {q(VERDICT_NO_LLM_DETAILS)} || '"}}'"""
+    return s.render(
+        f"""SELECT g.doc_id, '{{"answer":' || CAST(to_json(g.answer) AS VARCHAR) || ',"pii_score":' || CAST(g.pii_score AS VARCHAR) || ',"blocked":' || CAST(g.blocked AS VARCHAR)
+  || ',"matches":' || coalesce(w.ms, '[]') || ',"prompt_injection":' || {verdict} || '}}' AS response
+FROM {g} g LEFT JOIN {w} w USING (doc_id)"""
+    )
+
+
+def _scrub_response_sql() -> str:
+    s = Sql()
+    src = _response_input(s)
+    m = s.merged(s.candidates(src, "d"), "d")
+    w = _wire_matches(s, m, "w")
+    mk = s.masked(src, m, "d")
+    return s.render(
+        f"""SELECT mk.doc_id, '{{"scrubbed":' || CAST(to_json(mk.masked) AS VARCHAR) || ',"matches":' || coalesce(w.ms, '[]') || '}}' AS response
+FROM {mk} mk LEFT JOIN {w} w USING (doc_id)"""
+    )
+
+
 def _stream_guard_sql() -> str:
     s = Sql()
     src = s.add("corpus_t", f"SELECT doc_id, text FROM {s.corpus()}")
@@ -694,7 +730,7 @@ def _impact_sql() -> str:
     return s.render(f"SELECT * FROM {i}")
 
 
-def _qa_sql() -> str:
+def _qa_sql(rows: bool = False) -> str:
     s = Sql()
     cust = s.customers()
     gc = s.guarded(cust, "qc")
@@ -705,26 +741,28 @@ def _qa_sql() -> str:
     )
     mk = s.masked(cust, mc, "qc")
     t1 = (
-        f"SELECT 'guard_contacts' AS suite, CASE WHEN g.pii_score > 0 AND coalesce(t.has_email, false) AND coalesce(t.has_account, false) "
+        f"SELECT 'guard_contacts' AS suite, doc_id, CASE WHEN g.pii_score > 0 AND coalesce(t.has_email, false) AND coalesce(t.has_account, false) "
         f"AND (g.blocked OR contains(g.answer, '<EMAIL>')) THEN 'PASS' ELSE 'FAIL' END AS status FROM {gc} g LEFT JOIN {types_c} t USING (doc_id)"
     )
     t2 = (
-        f"SELECT 'scrub_accounts', CASE WHEN coalesce(t.has_account, false) AND contains(k.masked, '<ACCOUNT>') THEN 'PASS' ELSE 'FAIL' END "
+        f"SELECT 'scrub_accounts', doc_id, CASE WHEN coalesce(t.has_account, false) AND contains(k.masked, '<ACCOUNT>') THEN 'PASS' ELSE 'FAIL' END "
         f"FROM {mk} k LEFT JOIN {types_c} t USING (doc_id)"
     )
     safe = s.guarded(s.turns("assistant"), "qs")
-    t4 = f"SELECT 'guard_safe', CASE WHEN pii_score = 0 AND n_matches = 0 THEN 'PASS' ELSE 'FAIL' END FROM {safe}"
+    t4 = f"SELECT 'guard_safe', doc_id, CASE WHEN pii_score = 0 AND n_matches = 0 THEN 'PASS' ELSE 'FAIL' END FROM {safe}"
     orders = s.orders()
     mo = s.merged(s.candidates(orders, "qo"), "qo")
     t5 = (
-        f"SELECT 'guard_rrn', CASE WHEN r.doc_id IS NULL THEN 'PASS' ELSE 'FAIL' END FROM {orders} o "
+        f"SELECT 'guard_rrn', doc_id, CASE WHEN r.doc_id IS NULL THEN 'PASS' ELSE 'FAIL' END FROM {orders} o "
         f"LEFT JOIN (SELECT DISTINCT doc_id FROM {mo} WHERE ptype = 'RRN') r USING (doc_id)"
     )
     go = s.guarded(orders, "qo")
-    t5b = f"SELECT 'guard_rrn_low_score', CASE WHEN pii_score <= 10 THEN 'PASS' ELSE 'FAIL' END FROM {go}"
+    t5b = f"SELECT 'guard_rrn_low_score', doc_id, CASE WHEN pii_score <= 10 THEN 'PASS' ELSE 'FAIL' END FROM {go}"
     imp = _impact_body(s, s.suppliers(), "qw")
-    t6 = f"SELECT 'whitelist_after', CASE WHEN delta <= 0 THEN 'PASS' ELSE 'FAIL' END FROM {imp}"
+    t6 = f"SELECT 'whitelist_after', doc_id, CASE WHEN delta <= 0 THEN 'PASS' ELSE 'FAIL' END FROM {imp}"
     res = s.add("qa_results", "\nUNION ALL\n".join([t1, t2, t4, t5, t5b, t6]))
+    if rows:
+        return s.render(f"SELECT suite, doc_id, status FROM {res}")
     return s.render(
         f"""SELECT suite, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS passed,
   CAST(count(*) - sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
@@ -773,6 +811,9 @@ ORACLE: dict[str, callable] = {
     "llm_pii_parse": _llm_parse_sql,
     "llm_hybrid_merge": _llm_hybrid_sql,
     "injection_verdicts": _verdicts_sql,
+    "guard_response": _guard_response_sql,
+    "scrub_response": _scrub_response_sql,
+    "qa_results": lambda: _qa_sql(rows=True),
     "hybrid_guard": _hybrid_guard_sql,
     "hybrid_scrub": _hybrid_scrub_sql,
     "document_assembly": _assembly_sql,

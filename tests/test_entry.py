@@ -5,6 +5,8 @@ import duckdb
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry_mod
+from piisift.plans.catalog import QUERIES as CATALOG
+from piisift.plans.oracle import oracle_sql as catalog_sql
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,8 +22,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_matches_oracle(spark):
-    qs, sqls = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(qs) == set(sqls)
+    qs, sqls = CATALOG, catalog_sql()
+    assert set(qs) == set(sqls) and set(qs) <= set(entry_mod.queries()) and set(sqls) <= set(entry_mod.oracle_sql())
+    assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
