@@ -29,10 +29,33 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     below = [g - 1 for g in range(len(groups))]
     above = [g + 1 for g in range(len(groups))]
     settled, jump, smaller, falling = bytearray(n), [-1] * n, [-1] * n, []
+
+    def rise(under: int, risen: list[int]) -> int:
+        """A new group just above ``under``; the old lists keep their former members, told by `group_of`."""
+        new, upper = len(groups), above[under]
+        groups.append(risen)
+        below.append(under)
+        above.append(upper)
+        below[upper] = above[under] = new
+        for p in risen:
+            group_of[p] = new
+        return new
+
     current = len(groups) - 1
     while current >= 0:
         groups[current] = members = [i for i in groups[current] if group_of[i] == current]
         falling.append(current)
+        if len(members) == 1:  # its own case only to be quick: one member, at most one suffix that rises
+            i = p = members[0]
+            p -= 1
+            while p >= 0 and settled[p]:
+                p = jump[p]
+            jump[i] = smaller[i] = p
+            settled[i] = 1
+            if p >= 0:
+                rise(group_of[p], [p])
+            current = below[current]
+            continue
         times: dict[int, int] = {}
         for i in members:
             p = i - 1
@@ -50,17 +73,9 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         for p, k in times.items():
             rising.setdefault(group_of[p], {}).setdefault(k, []).append(p)
         for old, by_times in rising.items():
-            last = old  # what does not rise stays; the old list keeps its former members, told by `group_of`
+            last = old
             for k in sorted(by_times):
-                new = len(groups)
-                groups.append(sorted(by_times[k]))
-                below.append(last)
-                above.append(above[last])
-                below[above[last]] = new
-                above[last] = new
-                for p in groups[new]:
-                    group_of[p] = new
-                last = new
+                last = rise(last, sorted(by_times[k]))
         current = below[current]
     start, at = [0] * len(groups), n
     for g in falling:

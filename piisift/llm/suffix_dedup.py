@@ -142,8 +142,11 @@ def _contexts(length: int):
     return task
 
 
-def _branches(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(places where any two strings diverge, with 0; class of each string by its bytes up to the end of each piece)."""
+def _branches(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places where any two strings diverge, with 0; class of each string by its bytes up to the end of each piece; pieces to use).
+
+    A string is of use up to the first piece that no other shares.
+    """
     size = max(map(len, strings))
     order = sorted(range(len(strings)), key=strings.__getitem__)
     shared = np.empty(len(strings) - 1, dtype=np.int64)
@@ -157,7 +160,14 @@ def _branches(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     end = np.append(begin[1:], size)
     classes = np.zeros((len(end), len(strings)), dtype=np.int64)
     classes[:, order[1:]] = np.cumsum(shared[None, :] < end[:, None], axis=1)
-    return begin, classes
+    # in the order, a string is alone if it diverges from both neighbours before the piece ends
+    apart = np.ones((len(end), len(strings) + 1), dtype=bool)
+    apart[:, 1:-1] = shared[None, :] < end[:, None]
+    alone = np.zeros((len(end) + 1, len(strings)), dtype=bool)
+    alone[:-1, order] = apart[:, 1:] & apart[:, :-1]
+    alone[-1] = True
+    own = np.searchsorted(begin, [len(x) for x in strings], side="left")
+    return begin, classes, np.minimum(own, alone.argmax(axis=0) + 1)
 
 
 def repeated_windows(groups: list[list[tuple]], length: int) -> list[list[np.ndarray]]:
@@ -169,21 +179,19 @@ def repeated_windows(groups: list[list[tuple]], length: int) -> list[list[np.nda
     text: list[int] = []
     kernels, cuts, symbol, mark = [], [], 1, -1
     for runs in groups:
-        lefts, left_class = _branches([r[3] for r in runs])
-        rights, right_class = _branches([r[4] for r in runs])
+        lefts, left_class, left_use = _branches([r[3] for r in runs])
+        rights, right_class, right_use = _branches([r[4] for r in runs])
         n = len(runs)
         left_symbol = (left_class + (np.arange(len(lefts)) * n)[:, None] + symbol + 1).T.tolist()
         right_symbol = (right_class + ((np.arange(len(rights)) + len(lefts)) * n)[:, None] + symbol + 1).T.tolist()
-        for r, ls, rs in zip(runs, left_symbol, right_symbol, strict=True):
-            own_left = int(np.searchsorted(lefts, len(r[3]), side="left"))
-            own_right = int(np.searchsorted(rights, len(r[4]), side="left"))
-            text += ls[:own_left][::-1]
+        for ls, rs, i, k in zip(left_symbol, right_symbol, left_use.tolist(), right_use.tolist(), strict=True):
+            text += ls[:i][::-1]
             kernels.append(len(text))
             text.append(symbol)
-            text += rs[:own_right]
+            text += rs[:k]
             text.append(mark)
             mark -= 1
-        cuts.append((lefts, rights))
+        cuts.append((lefts, rights, left_use))
         symbol += 1 + (len(lefts) + len(rights)) * n
     order = suffix_array(text)
     prefix = np.array(common_prefixes(text, order), dtype=np.int64)
@@ -191,13 +199,14 @@ def repeated_windows(groups: list[list[tuple]], length: int) -> list[list[np.nda
     reach = prefix.copy()
     reach[order_[:-1]] = np.maximum(reach[order_[:-1]], prefix[order_[1:]])
     out, at = [], iter(kernels)
-    for runs, (lefts, rights) in zip(groups, cuts, strict=True):
+    for runs, (lefts, rights, left_use) in zip(groups, cuts, strict=True):
         found = []
-        for p0, p1, a, _, _ in runs:
+        for (p0, p1, a, _, _), use in zip(runs, left_use.tolist(), strict=True):
             j = np.arange(a - p1, a - p0 + 1)
             before = np.searchsorted(lefts, j, side="left")
             after = np.searchsorted(rights, behind - j, side="left")
-            found.append(j[reach[next(at) - before] >= before + 1 + after])
+            equal = reach[next(at) - np.minimum(before, use)] >= before + 1 + after
+            found.append(j[equal & (before <= use)])
         out.append(found)
     return out
 
