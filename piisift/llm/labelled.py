@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,26 +16,37 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray, float]:
-    """(texts, labels 0/1, share of label 1 among all usable labels) of about ``per_class`` documents a class.
+def fit_on_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, per_class: int, train: Callable, id_col: str = "doc_id", text_col: str = "text"
+) -> dict:
+    """The state of a model fitted by ``train(texts, labels, share of label 1)`` on about ``per_class`` documents a class.
 
     ``usable`` is a condition on ``doc_id`` of the labels.  The sample is chosen
     on the thin label table by a hash of the id, so its size is ``per_class``
-    on average at any input size, and only its texts leave the executors.
-    Ids with contradictory or null labels are not learnt from; of documents
-    that repeat an id one is used.
+    on average at any input size; it is fitted in one task, in the order of the
+    hash, and only the fitted arrays reach the driver.  Ids with contradictory
+    or null labels are not learnt from; of documents that repeat an id one is
+    used.
     """
     votes = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y1"))
     votes = votes.where((F.col("y") == F.col("y1")) & usable)
     totals = {int(r["y"]): r["n"] for r in votes.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), 0.0
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
     limit = F.when(F.col("y") == 1, F.lit(_cut(per_class, totals.get(1, 0)))).otherwise(F.lit(_cut(per_class, totals.get(0, 0))))
     chosen = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select(F.col("doc_id").alias("_i"), "y")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_i"))
-    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    found = rows.select(F.xxhash64("doc_id").alias("h"), "text", "y").toArrow().sort_by("h")
-    return pa.concat_arrays([c.cast(pa.large_string()) for c in found["text"].chunks] or [pa.array([], pa.large_string())]), found["y"].to_numpy().astype(np.int64), totals.get(1, 0) / sum(totals.values())
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("h"), "text", F.col("y").cast("long").alias("y"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.int64()), ("text", pa.large_string()), ("y", pa.int64())])
+        parts = [pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, schema.types, strict=True)], schema=schema) for b in batches]
+        sample = pa.Table.from_batches(parts, schema=schema).sort_by("h").combine_chunks()
+        del parts
+        texts = pa.concat_arrays([*sample["text"].chunks, pa.array([], pa.large_string())])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(texts, sample["y"].to_numpy(), share)))], pa.binary())], names=["state"])
+
+    fitted = rows.repartition(1).mapInArrow(task, "state binary").collect()
+    return pickle.loads(fitted[0]["state"]) if fitted else vars(train(pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), share))
 
 
 def _cut(wanted: int, total: int) -> int:

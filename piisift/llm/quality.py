@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piisift.llm.common import spans_of, text_array, text_slices
-from piisift.llm.labelled import fit_line, labelled_sample, logistic
+from piisift.llm.labelled import fit_line, fit_on_sample, logistic
 
 WIDTH, STRIDE, CHUNK, FILTERS, EMBED = 8, 4, 512, 24, 8
 HALF = CHUNK // 2
@@ -148,7 +148,9 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Qualit
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, **columns) -> QualityModel:
-    return train(*labelled_sample(docs, labels, "quality", usable, per_class, **columns))
+    model = QualityModel.__new__(QualityModel)
+    vars(model).update(fit_on_sample(docs, labels, "quality", usable, per_class, train, **columns))
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

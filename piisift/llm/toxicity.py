@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piisift.llm.common import mix64, split_words, text_array, text_slices
-from piisift.llm.labelled import fit_line, labelled_sample, logistic
+from piisift.llm.labelled import fit_line, fit_on_sample, logistic
 
 BUCKET_BITS, DIM, SPAN, STEP = 17, 8, 16, 8
 #: Documents of each label that the model is fitted on (on average, chosen by hash).
@@ -57,7 +57,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(whole, owner[~line], (values * powers[place])[~line])
         buckets.append(mix64(whole))
         owners.append(np.arange(len(words)))
-    return (np.concatenate(buckets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(owners)
+    return np.concatenate([(b >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for b in buckets]), np.concatenate(owners).astype(np.int32)
 
 
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -175,7 +175,9 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Toxici
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, **columns) -> ToxicityModel:
-    return train(*labelled_sample(docs, labels, "toxic", usable, per_class, **columns))
+    model = ToxicityModel.__new__(ToxicityModel)
+    vars(model).update(fit_on_sample(docs, labels, "toxic", usable, per_class, train, **columns))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
