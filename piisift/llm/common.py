@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,15 @@ def word_count(text: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([count_words(text_array(part)) for part in text_slices(batch)] or [np.zeros(0, dtype=np.int64)]), pa.int64())
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; the workers that ran a task stay for later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive slices of about ``limit`` text bytes each, so memory is bounded by bytes, not rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import BASE, cut, mix64, split_words, text_array, text_slices, word_hashes
+from piisift.llm.common import BASE, cut, give_back, mix64, split_words, text_array, text_slices, word_hashes
 from piisift.llm.components import connected_components
 
 GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 512, 12 << 20
@@ -159,6 +159,7 @@ def _fingerprints(k: int, num: int, den: int):
                 sig, per = signatures(hashes, sizes, bands)
                 columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), _lists(sig.view(np.int64), per)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "cls", "sigs"])
+        give_back()
 
     return task
 

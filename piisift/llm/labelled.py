@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from piisift.llm.common import give_back
+
 
 def remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
@@ -42,8 +44,12 @@ def fit_on_sample(
         parts = [pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, schema.types, strict=True)], schema=schema) for b in batches]
         sample = pa.Table.from_batches(parts, schema=schema).sort_by("h").combine_chunks()
         del parts
-        texts = pa.concat_arrays([*sample["text"].chunks, pa.array([], pa.large_string())])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(texts, sample["y"].to_numpy(), share)))], pa.binary())], names=["state"])
+        texts, y = pa.concat_arrays([*sample["text"].chunks, pa.array([], pa.large_string())]), sample["y"].to_numpy()
+        del sample
+        state = pickle.dumps(vars(train(texts, y, share)))
+        del texts
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], names=["state"])
 
     fitted = rows.repartition(1).mapInArrow(task, "state binary").collect()
     return pickle.loads(fitted[0]["state"]) if fitted else vars(train(pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), share))

@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import spans_of, text_array, text_slices
+from piisift.llm.common import give_back, spans_of, text_array, text_slices
 
-WINDOW, END_ID, POOL_TOKENS, MIN_FILL, CACHE_WORDS, SLICE = 2048, 1, 4 << 20, 0.97, 600_000, 32 << 20
+WINDOW, END_ID, POOL_TOKENS, MIN_FILL, CACHE_WORDS, SLICE = 2048, 1, 2 << 20, 0.97, 300_000, 12 << 20
 
 
 def default_tokenizer() -> str:
@@ -336,6 +336,8 @@ def pack_documents(
         out.extend(packer.finish())
         for i in range(0, len(out), 4096):
             yield rows(out[i : i + 4096])
+        del words, packer, out
+        give_back()
 
     ddl = f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return source.mapInArrow(task, ddl)

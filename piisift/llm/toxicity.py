@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import mix64, split_words, text_array, text_slices
+from piisift.llm.common import give_back, mix64, split_words, text_array, text_slices
 from piisift.llm.labelled import fit_line, fit_on_sample, logistic
 
-BUCKET_BITS, DIM, SPAN, STEP = 17, 8, 16, 8
+BUCKET_BITS, DIM, SPAN, STEP, CHUNK_WORDS = 17, 8, 16, 8, 20_000
 #: Documents of each label that the model is fitted on (on average, chosen by hash).
 PER_CLASS = 4000
 EPOCHS, WARM, BATCH, RATE = 14, 3, 256, 0.05
@@ -92,8 +92,10 @@ class ToxicityModel:
         out, at = np.full(len(counts), self.bias), np.full(len(counts), -1)
         if not len(codes):
             return out, at, codes, codes
-        bucket, owner = subwords(words)
-        score = np.bincount(owner, weights=self.weights[bucket]) / np.bincount(owner)
+        score = np.empty(len(words))
+        for k in range(0, len(words), CHUNK_WORDS):
+            bucket, owner = subwords(words[k : k + CHUNK_WORDS])
+            score[k : k + CHUNK_WORDS] = np.bincount(owner, weights=self.weights[bucket]) / np.bincount(owner)
         total = np.concatenate([[0.0], np.cumsum(score[codes])])
         first, end, text = span_starts(counts)
         value = (total[end] - total[first]) / (end - first) + self.bias
@@ -116,10 +118,13 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Toxici
         return ToxicityModel(np.zeros(size), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fit_texts, fit_y = texts.filter(pa.array(fit)), y[fit]
     counts, codes, words = coded_words(fit_texts)
-    bucket, owner = subwords(words)
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    per_word = np.bincount(owner, minlength=len(words))
+    buckets, sizes = [], []
+    for k in range(0, len(words), CHUNK_WORDS):
+        bucket, owner = subwords(words[k : k + CHUNK_WORDS])
+        buckets.append(bucket[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner))
+    bucket, per_word = np.concatenate(buckets), np.concatenate(sizes)
+    del buckets, words
     word_start = np.cumsum(per_word) - per_word
     first, end, text = span_starts(counts)
     embed = rng.normal(0, 0.1, (size, DIM))
@@ -159,7 +164,7 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Toxici
         if epoch < WARM:
             chosen = rng.permutation(len(first))[: 4 * len(fit_y)]
         else:
-            weights = embed @ (soft[:, 1] - soft[:, 0])
+            weights = (embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
             score = np.add.reduceat(weights[bucket], word_start) / per_word
             total = np.concatenate([[0.0], np.cumsum(score[codes])])
             value = (total[end] - total[first]) / (end - first)
@@ -192,6 +197,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches:
             for part in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.probability(text_array(part)), pa.float64())], names=["doc_id", "score"])
+        give_back()
 
     return source.mapInArrow(task, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
