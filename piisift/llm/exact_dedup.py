@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from piisift.llm.common import cut
 
+#: Repeated texts (about 100 bytes each) up to which their list is broadcast; beyond, the joins exchange both sides.
+BROADCAST_ROWS = 200_000
 CLASS = ["text_sha256", "_bytes", "_check"]
 
 
@@ -97,7 +99,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lit(0).alias("_row"),
         F.spark_partition_id().alias("_lane"),
     )
-    kept = merge_runs(thin, keep).select(*[F.col(c).alias(f"k{n}") for c, n in zip(CLASS, names, strict=False)], F.col("best.id").alias(f"k{names[3]}"))
+    kept = merge_runs(thin, keep).where("group_size > 1")
+    kept = cut(kept.select(*[F.col(c).alias(f"k{n}") for c, n in zip(CLASS, names, strict=False)], F.col("best.id").alias(f"k{names[3]}")))
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)  # then only the rows that stay of repeated texts are exchanged
     same = [F.col(n).eqNullSafe(F.col(f"k{n}")) for n in names]
-    joined = marked.join(kept, same[0] & same[1] & same[2] & same[3], "left_semi")
-    return joined.dropDuplicates(names).select(*docs.columns)
+    text = same[0] & same[1] & same[2]
+    alone = marked.join(kept, text, "left_anti")
+    stay = marked.join(kept, text & same[3], "left_semi").dropDuplicates(names)
+    return alone.union(stay).select(*docs.columns)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from piisift.llm.common import BASE, cut, give_back, mix64, split_words, text_array, text_slices, word_hashes
 from piisift.llm.components import connected_components
 
+#: Ids to drop up to which their list is broadcast; beyond, the join exchanges both sides.
+BROADCAST_ROWS = 1_000_000
 GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 512, 12 << 20
 
 
@@ -342,5 +344,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the near copies: of each component the rows with its smallest id stay, all columns kept."""
-    kept = similar_groups(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = similar_groups(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_gone")).agg(stays.alias("_stays"))
+    gone = cut(groups.where(~F.col("_stays")).select("_gone"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)  # then the texts are not exchanged
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
