@@ -320,8 +320,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     num, den = threshold
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    prints = cut(source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, cls long, sigs array<long>"))
-    thin = prints.select("doc_id", "text_hash", "n", "cls")
+    prints = source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, cls long, sigs array<long>")
+    thin = cut(prints.select("doc_id", "text_hash", "n", "cls"))  # signatures are many: made again below rather than kept on disk
     classes = thin.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("d"))
 
     met = prints.select(F.explode("sigs").alias("sig"), "cls")
