@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from tests.llm.conftest import ROWS, words_of
+from odd_rows import ROWS, docs, no_docs, words_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from piisift.llm.exact_dedup import drop_copies, exact_groups

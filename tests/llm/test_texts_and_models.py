@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.conftest import ROWS, words_of
+from odd_rows import ROWS, docs, no_docs, words_of  # noqa: F401
 
 from piisift.llm import packing, quality, toxicity
 from piisift.llm.extraction import Page, Scores, best_region, extract_text, main_text
