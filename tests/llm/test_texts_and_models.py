@@ -212,3 +212,24 @@ def test_pipeline_stages(spark):
     assert {d for d, _ in before["mix"]} <= {d for d, _ in before["near_dedup"]}
     pieces = pipeline.pack(spark, docs, SMALL).collect()
     assert {r["doc_id"] for r in pieces} == {d for d, _ in before["mix"]}
+
+
+def _ordered_texts(n, seed):
+    """Texts of 400 words in which one of two words follows each word: a text is too short to show it by itself."""
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        at, words = int(rng.integers(400)), []
+        for _ in range(30):
+            words.append(f"w{at}")
+            at = (at * 7 + 3 + 11 * int(rng.integers(2))) % 400
+        yield " ".join(words)
+
+
+def test_lm_scores_use_word_order(spark):
+    texts = [*_ordered_texts(1500, 1), *_ordered_texts(50, 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = [r for r in score_texts(df, F.col("doc_id") < 1500).collect() if r["doc_id"] >= 1500]
+    tokens = sum(r["n_tokens"] for r in held)
+    # a word costs one bit (0.3) after its predecessor and 2.6 by itself
+    assert sum(r["base_score"] for r in held) / tokens < -2.4
+    assert sum(r["score"] for r in held) / tokens > -1.0
