@@ -14,7 +14,7 @@ from piisift.llm import packing, quality, toxicity
 from piisift.llm.extraction import Page, Scores, best_region, extract_text, main_text
 from piisift.llm.labelled import remainder
 from piisift.llm.mixing import mix_sources, mixed_documents, share_out, weights_by_rank
-from piisift.llm.mixlm import follow, score_texts
+from piisift.llm.mixlm import MixModel, follow, score_texts, train_model
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -215,7 +215,7 @@ def test_pipeline_stages(spark):
 
 
 def _ordered_texts(n, seed):
-    """Texts of 400 words in which one of two words follows each word: a text is too short to show it by itself."""
+    """Texts over 400 words in which one of two words follows each word: a text is too short to show it by itself."""
     rng = np.random.default_rng(seed)
     for _ in range(n):
         at, words = int(rng.integers(400)), []
@@ -233,3 +233,14 @@ def test_lm_scores_use_word_order(spark):
     # a word costs one bit (0.3) after its predecessor and 2.6 by itself
     assert sum(r["base_score"] for r in held) / tokens < -2.4
     assert sum(r["score"] for r in held) / tokens > -1.0
+
+
+def test_lm_weights_learn_from_words_of_any_count(spark):
+    words = spark.createDataFrame([(f"{a}{b}tion", 2) for a in "abcdefgh" for b in "klmnoprst"], "word string, c long")
+    learnt, start = train_model(words), MixModel.__new__(MixModel)
+    start.start()
+    assert (learnt.weights != start.weights).any() and all((x != y).any() for x, y in zip(learnt.refined, start.refined, strict=True))
+    fresh = pa.array(["zation", "eztion"])
+    table = MixModel.__new__(MixModel)
+    vars(table).update(vars(learnt) | {"weights": start.weights, "refined": start.refined})
+    assert learnt.cost(fresh).sum() > table.cost(fresh).sum()
