@@ -6,8 +6,11 @@ region, found by one linear scan.  What kind of word or tag scores how much is
 learnt from labelled pages, those whose markup names its main part (``main`` or
 ``article``): a token kind's weight is its log odds of lying inside that part.
 Elements that never hold the article (scripts, styles, forms, navigation,
-headers, footers, sidebars, notices, adverts, comments of readers) are left out
-of the text wherever they are, and their words count against the region.
+headers, footers, asides, by element or role) are left out of the text wherever
+they are, and their words count against the region.  Classes and ids that name
+a sidebar, notice, advert or comments of readers only make a kind of their own
+of the blocks inside: they are left out if its weight, learnt like the others,
+is negative.
 """
 
 from __future__ import annotations
@@ -37,12 +40,29 @@ RAW_TEXT = set("script style textarea title noscript iframe noembed noframes xmp
 SKIPPED = set("head script style noscript template iframe object svg math canvas form button select textarea nav header footer aside menu dialog audio video map search".split())
 CONTAINERS = set("article blockquote body center div main section table td".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "optgroup", "noscript", "template", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-#: An element of a class, id or role with one of these words never holds the article.
+#: What a page puts around its main part: entering main ends the skip, entering article that of a form.
+AROUND_MAIN = set("form nav header footer aside search".split())
+SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Whole class or id tokens (all their parts) that speak against an element.
 BOILERPLATE = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|rail|widget\w*"
+    r"(?:(?:^|[-_])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|rail|widgets?"
     r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|toolbar|skip"
-    r"|aside|copyright|complementary|contentinfo|search|alert|alertdialog|dialog)(?![a-z])"
+    r"|aside|copyright|complementary|contentinfo|search|alert|alertdialog|dialog))+"
 )
+#: An element with more than this share of the page's words is a wrapper, whatever its class says.
+WRAPPER = 0.75
+HEADINGS = set("h1 h2 h3 h4 h5 h6 p".split())
+MAIN = set("form nav header footer aside search".split())
+SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Whole class or id tokens (all their parts) that speak against an element.
+BOILERPLATE = re.compile(
+    r"(?:(?:^|[-_])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|rail|widgets?"
+    r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|toolbar|skip"
+    r"|aside|copyright|complementary|contentinfo|search|alert|alertdialog|dialog))+"
+)
+#: An element with more than this share of the page's words is a wrapper, whatever its class says.
+WRAPPER = 0.75
+HEADINGS = set("h1 h2 h3 h4 h5 h6 p".split())
 OWN_HEADER = re.compile(r"(?:entry|post|article|story|content|page)[-_]*header")
 MAIN = re.compile(r"(?<![a-z])(?:main|articlebody)(?![a-z])")
 TOKEN = re.compile(
@@ -57,15 +77,19 @@ SPACE = re.compile(r"\s+")
 class Page:
     """The blocks of a page in order: ``(text, kind, tags before it, inside a skipped element, inside the labelled part, containers)``.
 
-    A block ends at every block element's tag; inline tags do not end it.
+    A block ends at every block element's tag; inline tags do not end it.  Its
+    kind ends in ``+hint`` inside an element of a boilerplate class or id.
     """
 
     def __init__(self, source: str):
         self.blocks: list[tuple] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # element, skipped, labelled as main part
+        self.stack: list[tuple] = []  # element, skipped, labelled as main part, hinted, what was skipped and hinted around it
+        self.skipping: list[str] = []  # skipped elements on the stack ("": not shown at all)
+        self.hints: list[int] = []  # numbers of hinted elements on the stack
+        self.hinted: list[tuple[int, ...]] = []  # those of each block
         self.open: Counter = Counter()  # elements on the stack by name
         self.kinds, self.around = [], []  # block elements and numbers of containers on the stack
-        self.skips = self.mains = self.muted = 0  # muted: skipped elements inside a block, whose words are no part of it
+        self.mains = self.muted = 0  # muted: skipped elements inside a block, whose words are no part of it
         self.text: list[str] = []
         self.link_chars = self.chars = self.tags = self.elements = 0
         self.labelled = False
@@ -88,6 +112,15 @@ class Page:
                     at = end.start()
         self._words(source[at:].partition("<!--")[0])
         self._end_block()
+        if any(self.hinted):
+            within, total = Counter(), 0
+            for (text, _, _, skipped, *_), hints in zip(self.blocks, self.hinted, strict=True):
+                if not skipped:
+                    within.update(dict.fromkeys(hints, text.count(" ") + 1))
+                    total += text.count(" ") + 1
+            for i, hints in enumerate(self.hinted):
+                if any(within[h] <= WRAPPER * total for h in hints):
+                    self.blocks[i] = (self.blocks[i][0], self.blocks[i][1] + "+hint", *self.blocks[i][2:])
 
     def _words(self, text: str) -> None:
         if text and not self.muted:
@@ -99,28 +132,42 @@ class Page:
         text = SPACE.sub(" ", html.unescape("".join(self.text))).strip()
         if text:
             kind = (self.kinds[-1] if self.kinds else "") + ("+link" if 2 * self.link_chars > self.chars else "")
-            self.blocks.append((text, kind, self.tags, self.skips > 0, self.mains > 0, tuple(self.around)))
+            self.blocks.append((text, kind, self.tags, bool(self.skipping), self.mains > 0, tuple(self.around)))
+            self.hinted.append(tuple(self.hints))
             self.tags = 0
         self.text, self.link_chars, self.chars = [], 0, 0
 
-    def _push(self, name: str, skipped: bool, main: bool) -> None:
-        self.stack.append((name, skipped, main))
+    def _push(self, name: str, skipped: bool, main: bool, hinted: bool, shown: bool) -> None:
+        around = None
+        if main and not self.mains:
+            around = self.skipping, self.hints
+            ends = {"form"} if name == "article" else AROUND_MAIN
+            self.skipping, self.hints = [x for x in self.skipping if x not in ends], []
+        self.stack.append((name, skipped, main, hinted, around))
         self.open[name] += 1
-        self.skips += skipped
         self.muted += skipped and name not in BLOCKS
         self.mains += main
         self.elements += 1
+        if skipped:
+            self.skipping.append(name if shown else "")
+        if hinted:
+            self.hints.append(self.elements)
         if name in BLOCKS:
             self.kinds.append(name)
         if name in CONTAINERS:
             self.around.append(self.elements)
 
     def _drop(self) -> str:
-        name, skipped, main = self.stack.pop()
+        name, skipped, main, hinted, around = self.stack.pop()
         self.open[name] -= 1
-        self.skips -= skipped
         self.muted -= skipped and name not in BLOCKS
         self.mains -= main
+        if skipped:
+            self.skipping.pop()
+        if hinted:
+            self.hints.pop()
+        if around:
+            self.skipping, self.hints = around
         if name in BLOCKS:
             self.kinds.pop()
         if name in CONTAINERS:
@@ -139,16 +186,21 @@ class Page:
             return
         inside = self.mains > 0  # an article's own header is part of it
         skipped, main = name in SKIPPED and not (name == "header" and inside), name in ("main", "article")
+        shown, hinted = True, False
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
-            if key in ("class", "id", "role", "aria-label"):
-                hints = BOILERPLATE.finditer(OWN_HEADER.sub("", value))
-                skipped |= any(w[0] != "header" or not inside for w in hints) and name not in ("body", "html", "main", "article")
+            if key == "class" or (key == "id" and name not in HEADINGS):
+                hinted |= any(BOILERPLATE.fullmatch(w) and not (inside and w == "header") for w in value.split())
+            if key == "role":
+                skipped |= any(w in SKIPPED_ROLES and not (inside and w == "banner") for w in value.split())
             if key in ("role", "itemprop"):
                 main |= bool(MAIN.search(value))
-            skipped |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
+            shown &= not (key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")))
+        if main and name not in SKIPPED:
+            skipped = False
+        hinted &= name in BLOCKS and not main and name not in ("body", "html")
         self.labelled |= main
-        self._push(name, skipped, main)
+        self._push(name, skipped or not shown, main, hinted, shown)
 
     def _close(self, name: str) -> None:
         if name in BLOCKS:
@@ -175,7 +227,8 @@ class Scores:
 
     ``words``: per kind, words inside and outside the main part (skipped
     elements not counted); ``tags``: tags inside and outside.  Few counts stay
-    near the weights of an unknown kind: 0.5, and -0.5 if it is mostly links.
+    near the weights of an unknown kind: 0.5, and -0.5 if it is mostly links or of a
+    boilerplate class.
     """
 
     def __init__(self, words: dict[str, tuple[int, int]], tags: tuple[int, int], prior: float = 50.0):
@@ -190,7 +243,11 @@ class Scores:
         self.tag = -max(0.5, min(2.0, 0.5 / dense * self.default))
 
     def word(self, kind: str) -> float:
-        return self.words.get(kind, -0.5 if kind.endswith("+link") else self.default)
+        return self.words.get(kind, -0.5 if "+" in kind else self.default)
+
+    def left_out(self, block: tuple) -> bool:
+        """Whether the block is no part of the text wherever it is."""
+        return block[3] or (block[1].endswith("+hint") and self.word(block[1]) <= 0)
 
     def block(self, block: tuple) -> float:
         text, kind, tags, skipped, *_ = block
@@ -213,24 +270,25 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(source: str | None, scores: Scores) -> str:
-    """The blocks of the best region that lie in no skipped element, joined by blank lines."""
+    """The blocks of the best region that are not left out, joined by blank lines."""
     blocks = Page(source or "").blocks
+    left = [scores.left_out(b) for b in blocks]
     first, end = best_region([scores.block(b) for b in blocks])
     if first == end:  # a page of very short blocks: words alone decide
-        first, end = best_region([0.0 if b[3] else scores.word(b[1]) * (b[0].count(" ") + 1) for b in blocks])
-    paths = [b[5] for b in blocks[first:end] if not b[3]]
+        first, end = best_region([0.0 if x else scores.word(b[1]) * (b[0].count(" ") + 1) for b, x in zip(blocks, left, strict=True)])
+    paths = [b[5] for b, x in zip(blocks[first:end], left[first:end], strict=True) if not x]
     if paths:
         # short blocks at the edges cost more in tags than they gain in words: take those of the region's own container
         common = next((paths[0][:n] for n in range(len(paths[0]), 0, -1) if all(p[:n] == paths[0][:n] for p in paths)), ())
 
-        def belongs(b: tuple) -> bool:
-            return b[5][: len(common)] == common and (b[3] or scores.word(b[1]) > 0)
+        def belongs(i: int) -> bool:
+            return blocks[i][5][: len(common)] == common and (left[i] or scores.word(blocks[i][1]) > 0)
 
-        while first > 0 and (belongs(blocks[first - 1]) or (blocks[first - 1][1] in ("h1", "h2") and blocks[first - 1][5][: len(common) - 1] == common[:-1])):
+        while first > 0 and (belongs(first - 1) or (blocks[first - 1][1] in ("h1", "h2") and blocks[first - 1][5][: len(common) - 1] == common[:-1])):
             first -= 1
-        while end < len(blocks) and belongs(blocks[end]):
+        while end < len(blocks) and belongs(end):
             end += 1
-    return "\n\n".join(b[0] for b in blocks[first:end] if not b[3])
+    return "\n\n".join(b[0] for b, x in zip(blocks[first:end], left[first:end], strict=True) if not x)
 
 
 def learn_scores(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Scores:

@@ -244,3 +244,21 @@ def test_lm_weights_learn_from_words_of_any_count(spark):
     table = MixModel.__new__(MixModel)
     vars(table).update(vars(learnt) | {"weights": start.weights, "refined": start.refined})
     assert learnt.cost(fresh).sum() > table.cost(fresh).sum()
+
+
+def test_main_text_in_wrappers_of_boilerplate_classes():
+    scores = Scores({"p": (10_000, 10), "h1": (500, 5)}, (600, 20))
+    body = "<h2 id=related-work>Related work</h2><p>Some words of the first paragraph <span class=share>shared</span> here<p>and of the second one, to its end"
+    text = "Related work\n\nSome words of the first paragraph shared here\n\nand of the second one, to its end"
+    for start, end in (
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"),
+        ('<div class="widget Blog">', "</div>"),
+        ('<div class="post has-sidebar">', "</div>"),
+        ('<section class="no-comments">', "</section>"),
+        ('<div class="sidebar"><article>', "</article></div>"),
+        ("<form action=x><main>", "</main></form>"),
+    ):
+        assert main_text(f"<body>{start}{body}{end}</body>", scores) == text
+    inner = "<main><p>Some words of the first paragraph here</p><div class=related>Read this</div><form>send</form><p>and of the second one, to its end</p></main>"
+    assert main_text(f"<body><form>{inner}</form></body>", scores) == "Some words of the first paragraph here\n\nand of the second one, to its end"
+    assert main_text("<main hidden>Some words not shown</main><aside><article>A teaser</article></aside>", scores) == ""
