@@ -7,7 +7,8 @@ learnt from labelled pages, those whose markup names its main part (``main`` or
 ``article``): a token kind's weight is its log odds of lying inside that part.
 Elements that never hold the article (scripts, styles, forms, navigation,
 headers, footers, asides, by element or role) are left out of the text wherever
-they are, and their words count against the region.  Classes and ids that name
+they are, and their words count against the region unless they lie inside the
+part that the markup names.  Classes and ids that name
 a sidebar, notice, advert or comments of readers only make a kind of their own
 of the blocks inside: they are left out if its weight, learnt like the others,
 is negative.
@@ -252,6 +253,8 @@ class Scores:
     def block(self, block: tuple) -> float:
         text, kind, tags, skipped, *_ = block
         words = text.count(" ") + 1
+        if self.left_out(block) and block[4]:
+            return 0.0
         if skipped:
             return self.tag * (tags + words)
         return self.tag * min(tags, 4) + self.word(kind) * words
@@ -269,6 +272,27 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def _with_siblings(blocks: list[tuple], left: list[bool], scores: Scores, parent: tuple, at: int, step: int) -> int:
+    """From block ``at``, in direction ``step``, past the children of ``parent`` whose blocks score positive; left-out blocks between them do not count."""
+    depth, edge = len(parent), at
+
+    def under(i: int, path: tuple) -> bool:
+        return 0 <= i < len(blocks) and blocks[i][5][: len(path)] == path
+
+    while True:
+        while under(at, parent) and left[at]:
+            at += step
+        if not under(at, parent):
+            return edge
+        child, total = blocks[at][5][: depth + 1], 0.0
+        while under(at, child) and (len(child) > depth or len(blocks[at][5]) == depth):
+            total += 0.0 if left[at] else scores.block(blocks[at])
+            at += step
+        if total <= 0:
+            return edge
+        edge = at
+
+
 def main_text(source: str | None, scores: Scores) -> str:
     """The blocks of the best region that are not left out, joined by blank lines."""
     blocks = Page(source or "").blocks
@@ -288,6 +312,9 @@ def main_text(source: str | None, scores: Scores) -> str:
             first -= 1
         while end < len(blocks) and belongs(end):
             end += 1
+        if len(common) > 2 or (len(common) > 1 and any(b[4] for b in blocks[first:end])):  # the container has siblings in more than the body
+            end = _with_siblings(blocks, left, scores, common[:-1], end, 1)
+            first = _with_siblings(blocks, left, scores, common[:-1], first - 1, -1) + 1
     return "\n\n".join(b[0] for b, x in zip(blocks[first:end], left[first:end], strict=True) if not x)
 
 

@@ -262,3 +262,14 @@ def test_main_text_in_wrappers_of_boilerplate_classes():
     inner = "<main><p>Some words of the first paragraph here</p><div class=related>Read this</div><form>send</form><p>and of the second one, to its end</p></main>"
     assert main_text(f"<body><form>{inner}</form></body>", scores) == "Some words of the first paragraph here\n\nand of the second one, to its end"
     assert main_text("<main hidden>Some words not shown</main><aside><article>A teaser</article></aside>", scores) == ""
+
+
+def test_main_text_goes_on_after_a_long_aside():
+    scores = Scores({"p": (10_000, 10), "h1": (500, 5)}, (600, 20))
+    first, second = "first half of the article " * 8, "second half of the article " * 9
+    links = "".join(f"<li><a href=x>more of link {i}</a>" for i in range(60))
+    text = f"{first.strip()}\n\n{second.strip()}"
+    for left_out in (f"<aside><ul>{links}</ul></aside>", f"<div class=ad><p>{'buy now ' * 100}</div>", f"<form>{'send it ' * 200}</form>"):
+        for start, end in (("<article>", "</article>"), ("<div><div>", "</div></div>")):
+            page = f"<body><p>Menu{start}<section><p>{first}</section>{left_out}<section><p>{second}</section>{end}<div><p>Imprint</div></body>"
+            assert main_text(page, scores) == text
