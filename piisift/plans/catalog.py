@@ -155,6 +155,16 @@ def scrub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub_response(scrub(both))
 
 
+def guard_responses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the JSON response of the guard for every text."""
+    return guard_response(guard(inputs.all_texts(spark, sf_dir)))
+
+
+def scrub_responses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the JSON response of scrub for every text."""
+    return scrub_response(scrub(inputs.all_texts(spark, sf_dir)))
+
+
 # -- model answers (stand-in raw responses composed from the tables) ---------
 
 
@@ -435,6 +445,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_scrub": hybrid_scrub_rows,
     "guard_response": guard_responses,
     "scrub_response": scrub_responses,
+    "guard_response_all": guard_responses_all,
+    "scrub_response_all": scrub_responses_all,
     "document_assembly": document_assembly,
     "document_assembly_capped": document_assembly_capped,
     "document_report": document_report,

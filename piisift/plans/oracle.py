@@ -586,9 +586,9 @@ def _response_input(s: Sql) -> str:
     return s.add("resp_in", f"SELECT doc_id, text FROM {s.turns('assistant')} UNION ALL SELECT doc_id, text FROM {s.customers()}")
 
 
-def _guard_response_sql() -> str:
+def _guard_response_sql(every: bool = False) -> str:
     s = Sql()
-    src = _response_input(s)
+    src = s.all_texts() if every else _response_input(s)
     c = s.candidates(src, "g")
     w = _wire_matches(s, s.merged(c, "w"), "w")
     g = s.guarded(src, "g", cands=c)
@@ -600,9 +600,9 @@ FROM {g} g LEFT JOIN {w} w USING (doc_id)"""
     )
 
 
-def _scrub_response_sql() -> str:
+def _scrub_response_sql(every: bool = False) -> str:
     s = Sql()
-    src = _response_input(s)
+    src = s.all_texts() if every else _response_input(s)
     m = s.merged(s.candidates(src, "d"), "d")
     w = _wire_matches(s, m, "w")
     mk = s.masked(src, m, "d")
@@ -813,6 +813,8 @@ ORACLE: dict[str, callable] = {
     "injection_verdicts": _verdicts_sql,
     "guard_response": _guard_response_sql,
     "scrub_response": _scrub_response_sql,
+    "guard_response_all": lambda: _guard_response_sql(every=True),
+    "scrub_response_all": lambda: _scrub_response_sql(every=True),
     "qa_results": lambda: _qa_sql(rows=True),
     "hybrid_guard": _hybrid_guard_sql,
     "hybrid_scrub": _hybrid_scrub_sql,

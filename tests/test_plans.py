@@ -3,6 +3,7 @@
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry_mod
+from piisift.plans import inputs
 from piisift.plans.catalog import QUERIES as CATALOG
 from tools.plan_report import facts
 
@@ -30,3 +31,11 @@ def test_filters_reach_the_scans(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "LessThan(s_acctbal,0.0)" in plan
     plan = entry_mod.queries()["guard_response"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,assistant)" in plan
+
+
+def test_responses_for_every_text(spark):
+    queries = entry_mod.queries()
+    kinds = {r["doc_id"].split("-")[0] for r in inputs.all_texts(spark, SF_SMALL).select("doc_id").collect()}
+    assert len(kinds) == 7
+    for name in ("guard_response_all", "scrub_response_all"):
+        assert {r["doc_id"].split("-")[0] for r in queries[name](spark, SF_SMALL).select("doc_id").collect()} == kinds
