@@ -9,7 +9,7 @@
 service's shape; ``report`` reads pages ``(doc_id, page_no, text)`` and writes
 one document report per document, over whole documents.  ``--responses`` takes
 a table of model answers ``(doc_id, task, response[, answer_no])``, merged by
-``scrub`` and ``guard``.  ``--allowlist`` takes a parquet/JSON table ``(kind,
+all three.  ``--allowlist`` takes a parquet/JSON table ``(kind,
 value)``; ``scrub`` and ``guard`` inline or join it by its size, ``report``
 takes up to 100k entries.
 """
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--id-col", default="doc_id")
     ap.add_argument("--text-col", default="text")
     ap.add_argument("--allowlist", help="table (kind, value); default: the shipped list")
-    ap.add_argument("--responses", help="model answers (doc_id, task, response[, answer_no]) for scrub and guard")
+    ap.add_argument("--responses", help="model answers (doc_id, task, response[, answer_no])")
     ap.add_argument("--names", action="store_true", help="also detect NAME candidates (off = parity)")
     args = ap.parse_args(argv)
 
@@ -58,7 +58,8 @@ def main(argv: list[str] | None = None) -> int:
             config = DetectorConfig(allowlist={k: DEFAULT_ALLOWLIST.get(k, []) + v for k, v in extra.items()}, name_candidates=args.names)
         pages = spark.read.format(args.input_format).load(args.input)
         entities = F.transform("entities", lambda e: F.struct(e["ptype"].alias("type"), e["value"].alias("value")))
-        out = page_report(pages, config, doc_col=args.id_col, text_col=args.text_col).select(
+        answers = _read(spark, args.responses) if args.responses else None
+        out = page_report(pages, config, doc_col=args.id_col, text_col=args.text_col, answers=answers).select(
             "doc_id",
             F.to_json(F.struct("pii_score", "blocked", "total_matches", entities.alias("entities"), "preview")).alias("response"),
         )

@@ -25,10 +25,10 @@ from piisift.operators.detect import (
     explode_matches,
     with_candidates,
 )
-from piisift.operators.guard import guard
+from piisift.operators.guard import guard, hybrid_guard
 from piisift.operators.longform import fits_broadcast, merge_long
 from piisift.session import checkpoint_dir
-from piisift.sources.texts import collect_allowlist, page_parts
+from piisift.sources.texts import assemble_documents, collect_allowlist, page_parts
 
 
 def top_entities(matches: Column, cap: int = REPORT_MAX_ENTITIES) -> Column:
@@ -52,10 +52,12 @@ def preview(answer: Column, n: int = REPORT_PREVIEW_CHARS) -> Column:
     return F.when(F.length(answer) > n, F.concat(F.substring(answer, 1, n), F.lit(REPORT_PREVIEW_ELLIPSIS))).otherwise(answer)
 
 
-def document_report(docs: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG) -> DataFrame:
+def document_report(docs: DataFrame, text_col: str = "text", config: DetectorConfig = DEFAULT_CONFIG, answers: DataFrame | None = None) -> DataFrame:
     """Guard each assembled document; score, blocked, match count, top
-    entities (``array<struct<ptype,value>>``) and a 400-character preview."""
-    g = guard(docs, text_col, config)
+    entities (``array<struct<ptype,value>>``) and a 400-character preview.
+    With ``answers`` (raw model answers by ``doc_id``) their findings and
+    injection verdict count as in the hybrid guard."""
+    g = guard(docs, text_col, config) if answers is None else hybrid_guard(docs, answers, text_col, config)
     ents = top_entities(F.col("matches"))
     return g.select(
         "doc_id",
@@ -67,7 +69,7 @@ def document_report(docs: DataFrame, text_col: str = "text", config: DetectorCon
     )
 
 
-def page_report(pages: DataFrame, config: DetectorConfig = DEFAULT_CONFIG, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+def page_report(pages: DataFrame, config: DetectorConfig = DEFAULT_CONFIG, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text", answers: DataFrame | None = None) -> DataFrame:
     """J5 over whole documents given as pages, without assembling them.
 
     No rule matches across a page header's brackets, so the findings of a
@@ -77,7 +79,17 @@ def page_report(pages: DataFrame, config: DetectorConfig = DEFAULT_CONFIG, doc_c
     characters of the masked page.  The latter is needed for the few pages that
     can reach into the preview only, which the rank limit keeps before the
     exchange, so a document of very many pages stays spread out.
+
+    With ``answers`` the documents that have any are assembled: a model's spans
+    are those of the whole document, may reach over pages and are merged with
+    the regex findings there.  All others go by page.
     """
+    if answers is not None:
+        named = answers.where(F.col("response").isNotNull()).select(F.col("doc_id").alias("_a")).distinct()
+        same = F.col(doc_col) == F.col("_a")
+        texts = assemble_documents(pages.join(named, same, "left_semi"), None, doc_col, page_col, text_col)
+        others = page_report(pages.join(named, same, "left_anti"), config, doc_col, page_col, text_col)
+        return others.unionByName(document_report(texts, config=config, answers=answers))
     parts = page_parts(pages, doc_col, page_col, text_col)
     d = detect(parts.withColumnRenamed("part", "text"), "text", config, internal=True)
     tenths = F.aggregate("matches", F.lit(0).cast("long"), lambda acc, m: acc + F.round(weight_of(m["ptype"], config.weights, config.default_weight) * 10).cast("long"))

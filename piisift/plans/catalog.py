@@ -338,6 +338,20 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(page_report(_pages(spark, sf_dir)))
 
 
+def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PII answers of every document that is no multiple of 4, and an injection answer for every third document."""
+    pii = pii_responses(spark, sf_dir).where(F.substring_index("doc_id", "-", -1).cast("long") % 4 != 0)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") % 3 == 0)
+    verdict = F.when(F.col("doc_id") % 2 == 0, F.lit('{"injection_detected": true, "details": "pattern"}')).otherwise(F.lit('{"injection_detected": false}'))
+    doc_id = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id")
+    return pii.unionByName(d.select(doc_id, F.lit("injection").alias("task"), F.lit(1).alias("answer_no"), verdict.alias("response")))
+
+
+def document_report_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 with model answers: their findings are merged, and an injection verdict blocks the document."""
+    return _report_columns(page_report(_pages(spark, sf_dir), answers=document_answers(spark, sf_dir)))
+
+
 def document_report_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 over documents under the opt-in cap of 10,000 characters."""
     return _report_columns(build_document_report(assemble_documents(_pages(spark, sf_dir), max_length=DOC_MAX_LENGTH)))
@@ -450,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_assembly": document_assembly,
     "document_assembly_capped": document_assembly_capped,
     "document_report": document_report,
+    "document_report_answers": document_report_answers,
     "document_report_capped": document_report_capped,
     "qa_results": qa_results,
     "top_entities": top_entities_query,

@@ -388,10 +388,12 @@ FROM {src} s JOIN {sc} sc USING (doc_id) JOIN {mk} mk USING (doc_id) {vjoin}""",
 UNION ALL SELECT {key}, 2, {partial} FROM documents WHERE doc_id % 5 = 0"""
         return self.add("pii_resp", body)
 
-    def llm_found(self) -> str:
+    def llm_found(self, texts: str | None = None, where: str | None = None) -> str:
         """Normalised model findings ``(doc_id, i, ...)``; ``i`` numbers a text's findings in answer order."""
         resp = self.pii_responses()
-        corpus = self.corpus()
+        if where:
+            resp = self.add("pii_some", f"SELECT * FROM {resp} WHERE {where}")
+        corpus = texts or self.corpus()
         items = self.add(
             "llm_items",
             f"""SELECT doc_id, answer_no, CASE WHEN json_valid(clean) THEN CASE WHEN json_type(clean) = 'OBJECT' AND json_type(clean, '$.pii_detected') = 'ARRAY'
@@ -637,9 +639,9 @@ def _llm_parse_sql() -> str:
     )
 
 
-def _hybrid_candidates(s: Sql, src: str) -> str:
+def _hybrid_candidates(s: Sql, src: str, found: str | None = None) -> str:
     c = s.candidates(src, "d")
-    f = s.llm_found()
+    f = found or s.llm_found()
     return s.add(
         "hybrid_cands",
         f"SELECT doc_id, ord, ptype, value, span_start, span_end, confidence, source FROM {c} "
@@ -686,11 +688,18 @@ def _assembly_sql(cap: int | None = None) -> str:
     return s.render(f"SELECT doc_id, text, CAST(length(text) AS INTEGER) AS n_chars FROM {a}")
 
 
-def _report_sql(cap: int | None = None) -> str:
+def _report_sql(cap: int | None = None, answers: bool = False) -> str:
     s = Sql()
     a = s.assembled(cap)
-    m = s.merged(s.candidates(a, "r"), "r")
-    g = s.guarded(a, "r")
+    if answers:
+        c = _hybrid_candidates(s, a, s.llm_found(a, "CAST(split_part(doc_id, '-', 2) AS BIGINT) % 4 <> 0"))
+        key, hit = "'doc-' || CAST(doc_id AS VARCHAR) AS doc_id", "doc_id % 2 = 0"
+        v = s.add("doc_verdicts", f"SELECT {key}, {hit} AS injection_detected, CASE WHEN {hit} THEN 'pattern' ELSE '' END AS details FROM documents WHERE doc_id % 3 = 0")
+        m = s.merged(c, "m")
+        g = s.guarded(a, "r", verdicts=v, cands=c)
+    else:
+        m = s.merged(s.candidates(a, "r"), "r")
+        g = s.guarded(a, "r")
     e = s.entities(m, "r")
     prev = f"CASE WHEN length(g.answer) > {REPORT_PREVIEW_CHARS} THEN substring(g.answer, 1, {REPORT_PREVIEW_CHARS}) || '...' ELSE g.answer END"
     return s.render(
@@ -821,6 +830,7 @@ ORACLE: dict[str, callable] = {
     "document_assembly": _assembly_sql,
     "document_assembly_capped": lambda: _assembly_sql(DOC_MAX_LENGTH),
     "document_report": _report_sql,
+    "document_report_answers": lambda: _report_sql(answers=True),
     "document_report_capped": lambda: _report_sql(DOC_MAX_LENGTH),
     "top_entities": _top_entities_sql,
     "whitelist_impact": _impact_sql,

@@ -77,3 +77,20 @@ def test_report_by_pages_equals_report_of_whole_documents(spark):
     assert by_page.keys() == whole.keys() and len(whole) > 5
     for d, r in whole.items():
         assert by_page[d].asDict(True) == r.asDict(True)
+
+
+def test_page_report_takes_answers(spark):
+    pages = spark.createDataFrame([("a", 1, "abc def"), ("a", 2, "ghi"), ("b", 1, "plain"), ("c", 1, "call 010-1234-5678"), ("d", 1, "x y")], "doc_id string, page_no int, text string")
+    text = {r["doc_id"]: r["text"] for r in assemble_documents(pages).collect()}
+    at, end = text["a"].index("def"), text["a"].index("ghi") + 3
+    rows = [
+        ("a", "pii", f'{{"pii_detected": [{{"type": "name", "value": "def ghi", "start": {at}, "end": {end}, "confidence": 0.9}}]}}'),
+        ("b", "injection", '{"injection_detected": true, "details": "x"}'),
+        ("d", "pii", None),
+    ]
+    answers = spark.createDataFrame(rows, "doc_id string, task string, response string")
+    got = {r["doc_id"]: r for r in page_report(pages, answers=answers).collect()}
+    plain = {r["doc_id"]: r for r in page_report(pages).collect()}
+    assert got.keys() == plain.keys() and (got["c"], got["d"]) == (plain["c"], plain["d"])
+    assert got["a"]["total_matches"] == 1 and got["a"]["entities"][0]["ptype"] == "NAME" and "<NAME>" in got["a"]["preview"] and "ghi" not in got["a"]["preview"]
+    assert got["b"]["blocked"] and not plain["b"]["blocked"] and "plain" not in got["b"]["preview"]
