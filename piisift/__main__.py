@@ -10,8 +10,7 @@ service's shape; ``report`` reads pages ``(doc_id, page_no, text)`` and writes
 one document report per document, over whole documents.  ``--responses`` takes
 a table of model answers ``(doc_id, task, response[, answer_no])``, merged by
 all three.  ``--allowlist`` takes a parquet/JSON table ``(kind,
-value)``; ``scrub`` and ``guard`` inline or join it by its size, ``report``
-takes up to 100k entries.
+value)`` of any size, on top of the shipped list.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from piisift.config import DEFAULT_ALLOWLIST, DetectorConfig
 from piisift.operators.guard import guard, hybrid_guard, hybrid_scrub, scrub
 from piisift.operators.reports import page_report
 from piisift.session import get_spark
-from piisift.sources.texts import collect_allowlist, guard_response, read_texts, scrub_response
+from piisift.sources.texts import guard_response, read_texts, scrub_response
 
 
 def _read(spark, path: str):
@@ -53,13 +52,10 @@ def main(argv: list[str] | None = None) -> int:
     config = DetectorConfig(allowlist=DEFAULT_ALLOWLIST, name_candidates=args.names)
 
     if args.command == "report":
-        if table is not None:  # reports are per document: inline only (bounded check)
-            extra = collect_allowlist(table)
-            config = DetectorConfig(allowlist={k: DEFAULT_ALLOWLIST.get(k, []) + v for k, v in extra.items()}, name_candidates=args.names)
         pages = spark.read.format(args.input_format).load(args.input)
         entities = F.transform("entities", lambda e: F.struct(e["ptype"].alias("type"), e["value"].alias("value")))
         answers = _read(spark, args.responses) if args.responses else None
-        out = page_report(pages, config, doc_col=args.id_col, text_col=args.text_col, answers=answers).select(
+        out = page_report(pages, config, doc_col=args.id_col, text_col=args.text_col, answers=answers, allowlist_table=table).select(
             "doc_id",
             F.to_json(F.struct("pii_score", "blocked", "total_matches", entities.alias("entities"), "preview")).alias("response"),
         )

@@ -32,6 +32,9 @@ def _class_body(chars: str) -> str:
 
 WS_BODY = _class_body(PY_WHITESPACE)
 
+#: Heads, an optional character, white space, a body run, tails: ``(?:a|b)[c]?\\s*[body]+(?:x|y)``.
+HEAD_BODY_TAIL = re.compile(r"\(\?:([^()]+)\)(\[[^\]]+\])\?\\s\*(\[[^\]]+\])\+\(\?:([^()]+)\)")
+
 
 def _next_atom(pattern: str, i: int) -> str | None:
     """The class ``[...]`` or escape at ``pattern[i:]`` if it must match one
@@ -95,6 +98,28 @@ def to_java(pattern: str) -> str:
     return "(?U)" + "".join(out)
 
 
+@lru_cache(maxsize=None)
+def run_form(pattern: str) -> tuple[str, str] | None:
+    """A linear-time Java form of a rule with heads, a body run and tails: (what precedes the match, the match), both under ``(?U)``.
+
+    If everything such a rule takes is of the body's class, a match lies in one
+    maximal run of that class.  It begins at the run's first head and ends at
+    the run's last tail (with a character between), and what follows holds no
+    tail; so a run has at most one match and each run needs one attempt, from
+    its start.  The rule as written would scan the run again from every head.
+    None for any other rule.
+    """
+    parts = HEAD_BODY_TAIL.fullmatch(pattern)
+    if not parts:
+        return None
+    heads, option, body, tails = parts.groups()
+    taken = [*heads.replace("|", ""), *option[1:-1], *tails.replace("|", ""), *PY_WHITESPACE]
+    if not all(re.fullmatch(body, c) for c in taken):
+        return None
+    one = _translate_atom(body)
+    return f"(?<!{one})(?:(?!{heads}){one})*+", f"(?:{heads}){one}+(?:{tails})"
+
+
 def _translate_atom(atom: str) -> str:
     return to_java(atom).removeprefix("(?U)")
 

@@ -17,6 +17,7 @@ from piisift.config import (
     VERDICT_NO_LLM_DETAILS,
     VERDICT_PARSE_ERROR_DETAILS,
 )
+from piisift.functions.arrays import let
 from piisift.functions.matches import MATCHES_TYPE, make_match
 from piisift.functions.validators import py_strip
 
@@ -86,18 +87,20 @@ def llm_findings(response: Column) -> Column:
     the confidence is above 0.3.
     """
 
+    names = ("type", "value", "start", "end", "confidence")
+
     def norm(item: Column) -> Column:
-        def field(name: str) -> Column:
-            return F.try_variant_get(item, f"$.{name}", "variant")
+        kinds = F.struct(*[_kind(F.try_variant_get(item, f"$.{n}", "variant")).alias(n) for n in names])
+        return let(F.struct(kinds.alias("k"), item.alias("i")), typed)
 
-        kinds = {n: _kind(field(n)) for n in ("type", "value", "start", "end", "confidence")}
-        missing = {n: kinds[n] == "MISSING" for n in kinds}
+    def typed(x: Column) -> Column:
+        kinds, item = {n: x["k"][n] for n in names}, x["i"]
         good = F.lit(True)
         for n in ("type", "value"):
-            good = good & (missing[n] | (kinds[n] == "STRING"))
+            good = good & kinds[n].isin("MISSING", "STRING")
         for n in ("start", "end"):
-            good = good & (missing[n] | (kinds[n] == "BIGINT"))
-        good = good & (missing["confidence"] | _is_number(kinds["confidence"]))
+            good = good & kinds[n].isin("MISSING", "BIGINT")
+        good = good & ((kinds["confidence"] == "MISSING") | _is_number(kinds["confidence"]))
         value = F.coalesce(F.try_variant_get(item, "$.value", "string"), F.lit(""))
         return F.struct(
             F.upper(F.coalesce(F.try_variant_get(item, "$.type", "string"), F.lit(""))).alias("ptype"),

@@ -7,6 +7,7 @@ rule), so the natural struct order is "by (start, end), ties by emission order".
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -169,8 +170,12 @@ def _chunked_slice(chunks: Column, start: Column, length: Column) -> Column:
     return F.when(length <= 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, last), part), ""))
 
 
-def mask_text(text: Column, matches: Column) -> Column:
-    """Replace every merged span by ``<TYPE>``.
+def type_token(m: Column) -> Column:
+    return F.concat(F.lit("<"), m["ptype"], F.lit(">"))
+
+
+def mask_text(text: Column, matches: Column, token: Callable[[Column], Column] = type_token) -> Column:
+    """Replace every merged span by ``<TYPE>`` (or what ``token`` makes of the match).
 
     The merged spans are disjoint and sorted, so one left-to-right pass equals
     the right-to-left slicing of the reference.  Each piece is the gap since the
@@ -189,7 +194,7 @@ def mask_text(text: Column, matches: Column) -> Column:
             F.zip_with(
                 matches,
                 prev_ends,
-                lambda m, pe: F.concat(slice_gap(pe, m["span_start"] - pe), F.lit("<"), m["ptype"], F.lit(">")),
+                lambda m, pe: F.concat(slice_gap(pe, m["span_start"] - pe), token(m)),
             ),
             "",
         )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piisift.functions.arrays import inclusive_scan, let
-from piisift.functions.dialect import split_group, to_java
+from piisift.functions.dialect import run_form, split_group, to_java
 
 MARK_OPEN = "\ue000"
 MARK_CLOSE = "\ue001"
@@ -54,7 +54,10 @@ def safe_text(text: Column, marker: Column | None = None) -> Column:
 
 
 def _marked(safe: Column, pattern: str, group: int) -> Column:
-    if group:
+    run = None if group else run_form(pattern)
+    if run:
+        java, replacement = f"(?U)({run[0]})({run[1]})", "$1" + MARK_OPEN + "$2" + MARK_CLOSE
+    elif group:
         before, grp, after = split_group(pattern)
         java = to_java(f"({before})({grp})({after})")
         replacement = "$1" + MARK_OPEN + "$2" + MARK_CLOSE + "$3"
@@ -118,4 +121,5 @@ def match_spans(safe: Column, pattern: str, group: int = 0) -> Column:
 
 def has_match(safe: Column, pattern: str) -> Column:
     """Cheap find-only test with the same dialect (no copy of the text)."""
-    return safe.rlike(to_java(pattern))
+    run = run_form(pattern)
+    return safe.rlike(f"(?U){run[0]}{run[1]}" if run else to_java(pattern))

@@ -15,7 +15,6 @@ more than once, so each regex runs once per row (checked with ``explain``).
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from piisift.functions.matches import (
 )
 from piisift.functions.spans import has_marker, has_match, match_spans, safe_text
 from piisift.functions.validators import enough_account_digits, luhn_valid, py_strip, rrn_valid
+from piisift.operators.allowlist import membership
 
 DEFAULT_CONFIG = DetectorConfig()
 
@@ -245,31 +245,20 @@ def detect(
     extra_matches_col: str | None = None,
     internal: bool = False,
     allowlist_table: DataFrame | None = None,
-    max_inline: int = 100_000,
 ) -> DataFrame:
     """Add ``matches`` (merged, disjoint, sorted by start).
 
     ``extra_matches_col`` holds model findings (internal match structs, already
     normalised); they are appended after the regex matches and merged with them
     (the allow-list does not apply to them).  ``allowlist_table`` ``(kind,
-    value)`` is applied on top of ``config.allowlist``: inlined after a bounded
-    check up to ``max_inline`` entries, else through a join (see
-    :func:`_drop_listed_by_join`).  With ``internal=True`` the matches keep
-    their ordinal field.
+    value)``, of any size, applies on top of ``config.allowlist`` (see
+    :func:`with_listed_dropped`).  With ``internal=True`` the matches keep their
+    ordinal field.
     """
-    out = None
+    out = with_candidates(df, text_col, config)
     if allowlist_table is not None:
-        from piisift.sources.texts import collect_allowlist
-
-        try:
-            extra = collect_allowlist(allowlist_table, max_inline)
-        except ValueError:
-            out = _drop_listed_by_join(df, text_col, config, allowlist_table)
-        else:
-            merged = {k: list(config.allowlist.get(k, []) or []) + v for k, v in extra.items()}
-            config = replace(config, allowlist=merged)
-    if out is None:
-        out = with_candidates(df, text_col, config)
+        out = with_listed_dropped(out, listed_keys(df, text_col, config), allowlist_table)
+
     def merged() -> Column:
         cands = F.col("_cands")
         if extra_matches_col:
@@ -282,28 +271,27 @@ def detect(
     return out
 
 
-def _drop_listed_by_join(df: DataFrame, text_col: str, config: DetectorConfig, allow: DataFrame) -> DataFrame:
-    """V4 for an allow-list too large to inline, keeping the row form.
+LISTED_TYPES = set(ALLOWLIST_KINDS.values())
+
+
+def listed_keys(df: DataFrame, text_col: str, config: DetectorConfig) -> DataFrame:
+    """``(ptype, value)`` of every candidate that an allow-list can drop (only these rules run)."""
+    if df.isStreaming:
+        raise ValueError("an allow-list table needs the whole input: apply it to static rows, or give DetectorConfig.allowlist")
+    only = with_candidates(df.select(text_col), text_col, config, types=LISTED_TYPES)
+    return explode_matches(only, [], "_cands").select("ptype", "value")
+
+
+def with_listed_dropped(cands: DataFrame, keys: DataFrame, allow: DataFrame, array_col: str = "_cands") -> DataFrame:
+    """V4 with a table: candidates that it lists leave the array; no text is exchanged.
 
-    Candidates are found once and materialised in the shared checkpoint folder
-    (they are read twice), keyed by a row id.  The exploded candidates are
-    semi-joined with the list (broadcast only under a checked size) to find the
-    allow-listed positions of each row, which are joined back and filtered out.
+    The list's filters are part of the row expression; ``keys`` are the
+    candidates they must be exact for (see :mod:`piisift.operators.allowlist`).
     """
-    from piisift.operators.longform import fits_broadcast, typed_allowlist
-    from piisift.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    base = df.withColumn("_row", F.monotonically_increasing_id())
-    c = with_candidates(base, text_col, config).checkpoint(eager=True)
-    listed = typed_allowlist(allow)
-    if fits_broadcast(listed, ["ptype", "value"]):
-        listed = F.broadcast(listed)
-    long = explode_matches(c.select("_row", "_cands"), ["_row"], "_cands").select("_row", "pos", "ptype", "value")
-    drops = long.join(listed, ["ptype", "value"], "left_semi").groupBy("_row").agg(F.collect_list("pos").alias("_drop"))
-    none = F.array().cast("array<int>")
-    kept = F.filter("_cands", lambda m, i: ~F.array_contains(F.coalesce(F.col("_drop"), none), i))
-    return c.join(drops, "_row", "left").withColumn("_cands", kept).drop("_drop", "_row")
+    listed = membership(keys, allow)
+    types = sorted(LISTED_TYPES)
+    kept = listed(lambda test: F.filter(array_col, lambda m: ~(m["ptype"].isin(*types) & test(m["ptype"], m["value"]))))
+    return cands.withColumn(array_col, kept)
 
 
 def explode_matches(df: DataFrame, keys: list[str], matches_col: str = "matches") -> DataFrame:

@@ -1,8 +1,8 @@
-"""Long-form (one row per match) operators for large inputs.
+"""Long-form (one row per match) operators: allow-list anti-join and the merge of match rows.
 
 Row form keeps a text's matches in one array and needs no shuffle; these are
-the paths for when an input does not fit that shape: allow-lists too large to
-inline, and merging matches that arrive as rows (e.g. from a joined table).
+for matches that come as rows, from a joined table or from texts that are
+stored in pieces.
 """
 
 from __future__ import annotations
@@ -10,60 +10,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from piisift.config import ALLOWLIST_KINDS
 from piisift.functions.matches import MATCH_FIELDS, merge_matches
+from piisift.operators.allowlist import typed_allowlist
 
-#: Broadcast an allow-list side only up to this many bytes of values (checked
-#: with one aggregate job before the join).
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Characters of a text whose match rows are put in order by one task.
+PART_CHARS = 1 << 16
 
 
-def fits_broadcast(table, value_cols: list[str], max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Proven size bound for a broadcast: total UTF-8 bytes of the value columns
-    plus a per-row overhead, computed by one aggregate."""
-    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in value_cols), F.lit(32)))
-    total = table.agg(size.alias("b")).collect()[0]["b"] or 0
-    return total <= max_bytes
+def filter_allowlisted(long_df: DataFrame, allow: DataFrame) -> DataFrame:
+    """V4 as an anti-join on ``(ptype, value)``; how it runs (broadcast, sort-merge, skewed
+    partitions split) is the adaptive planner's choice."""
+    return long_df.join(typed_allowlist(allow), on=["ptype", "value"], how="left_anti")
 
 
-def typed_allowlist(allow: DataFrame) -> DataFrame:
-    """``(kind, value)`` -> distinct ``(ptype, value)`` of the kinds that apply."""
-    kinds = F.create_map(*[x for k, t in ALLOWLIST_KINDS.items() for x in (F.lit(k), F.lit(t))])
-    return (
-        allow.select(F.try_element_at(kinds, F.col("kind")).alias("ptype"), F.col("value"))
-        .where(F.col("ptype").isNotNull() & F.col("value").isNotNull())
-        .distinct()
-    )
+def with_islands(long_df: DataFrame, keys: list[str], part_chars: int = PART_CHARS) -> DataFrame:
+    """Match rows with ``_island``: the start of the island they belong to.
 
-
-def filter_allowlisted(long_df: DataFrame, allow: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """V4 as an anti-join on ``(ptype, value)``.
-
-    The allow-list side is broadcast only after its size is checked; beyond
-    the bound the join is a shuffled (sort-merge) anti-join, where AQE splits
-    a skewed partition of the candidate side.
+    A row that starts at or after every earlier end of its text (by start, end,
+    ordinal) opens an island; islands never interact.  Rows are dealt by ranges
+    of ``part_chars`` positions, so one text's rows spread over many tasks.  In
+    a part, rows are ordered by a window; of each part one thin row goes on,
+    with its greatest end and its last opening.  The running maximum of the
+    ends tells a part how far earlier matches reach, and rows before that point
+    belong to the last island opened before.
     """
-    right = typed_allowlist(allow)
-    if fits_broadcast(right, ["ptype", "value"], max_broadcast_bytes):
-        right = F.broadcast(right)
-    return long_df.join(right, on=["ptype", "value"], how="left_anti")
-
-
-def merge_long(long_df: DataFrame, keys: list[str]) -> DataFrame:
-    """M1-M3 over match rows, exact, without collecting a whole text's matches.
-
-    Rows are ordered by (start, end, ord) within a text; a match whose start is
-    at or after every earlier end opens a new *island*.  Islands never interact,
-    so the ordered fold runs per (text, island).  The window and the grouping
-    share one hash partitioning on ``keys`` (one shuffle).
+    part = [*keys, "_part"]
+    rows = long_df.withColumn("_part", F.floor(F.col("span_start") / part_chars))
+    order = Window.partitionBy(*part).orderBy("span_start", "span_end", "ord")
+    before = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_open", F.when(before.isNull() | (F.col("span_start") >= before), F.col("span_start")))
+    rows = rows.withColumn("_local", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*part).agg(F.max("span_end").alias("_end"), F.max("_local").alias("_last"))
+    parts = parts.withColumn("_reach", F.max("_end").over(earlier))
+    opened = F.when(F.col("_reach").isNull() | (F.col("_last") >= F.col("_reach")), F.col("_last"))
+    parts = parts.withColumn("_opened", opened).withColumn("_carried", F.max("_opened").over(earlier))
+    parts = parts.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], "_reach", "_carried")
+    same = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)]
+    island = F.when(F.col("_local") < F.col("_reach"), F.col("_carried")).otherwise(F.col("_local"))
+    return rows.join(parts, same).select(*long_df.columns, island.alias("_island"))
+
+
+def merge_long(long_df: DataFrame, keys: list[str], part_chars: int = PART_CHARS) -> DataFrame:
+    """M1-M3 over match rows, exact: the ordered fold runs per (text, island).
+
+    Neither a text's rows nor its islands meet in one task; an island's do
+    (matches that overlap each other in a chain).
     """
     fields = [f.name for f in MATCH_FIELDS]
-    w = Window.partitionBy(*keys).orderBy("span_start", "span_end", "ord")
-    prev_end = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(prev_end.isNull() | (F.col("span_start") >= prev_end), 1).otherwise(0)
-    with_island = long_df.withColumn("_opens", opens).withColumn(
-        "_island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    grouped = with_island.groupBy(*keys, "_island").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
-    merged = grouped.select(*keys, "_island", F.explode(merge_matches(F.col("_ms"))).alias("m"))
+    grouped = with_islands(long_df, keys, part_chars).groupBy(*keys, "_island").agg(F.collect_list(F.struct(*fields)).alias("_ms"))
+    merged = grouped.select(*keys, F.explode(merge_matches(F.col("_ms"))).alias("m"))
     return merged.select(*keys, *[F.col(f"m.{f}").alias(f) for f in fields])

@@ -14,16 +14,28 @@ from pyspark.sql import functions as F
 
 from piisift.config import DEFAULT_ALLOWLIST, DOC_MAX_LENGTH, DetectorConfig
 from piisift.functions.llm import default_verdict
-from piisift.functions.matches import mask_text, risk_value, score_from_risk
+from piisift.functions.matches import MATCH_FIELDS, risk_value, score_from_risk
 from piisift.functions.validators import digits_only, luhn_valid
 from piisift.operators.detect import DEFAULT_CONFIG, detect, explode_matches, with_candidates
-from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, hybrid_scrub, scrub
-from piisift.operators.longform import filter_allowlisted
+from piisift.operators.expectations import checkable, evaluate
+from piisift.operators.guard import attach_model_answers, guard, hybrid_guard, hybrid_matches, hybrid_scrub, scrub
+from piisift.operators.longform import filter_allowlisted, merge_long
 from piisift.operators.reports import allowlist_impact_table, page_report, qa_summary, top_entities
 from piisift.operators.reports import document_report as build_document_report
 from piisift.plans import inputs
-from piisift.streaming.jobs import run_stream_guard, run_stream_scrub
-from piisift.sources.texts import allowlist_table, assemble_documents, guard_response, scrub_response
+from piisift.session import run_folder
+from piisift.sources.scrubbed import read_scrubbed, update_scrubbed
+from piisift.sources.texts import (
+    allowlist_table,
+    assemble_documents,
+    document_pieces,
+    guard_response,
+    piece_offsets,
+    read_llm_responses,
+    read_requests,
+    scrub_response,
+)
+from piisift.streaming.jobs import run_stream_guard, run_stream_guard_once, run_stream_hybrid_guard, run_stream_scrub
 
 CANDIDATE_COLS = ["doc_id", "rule", "ptype", "value", "span_start", "span_end", "confidence"]
 MATCH_COLS = ["doc_id", "pos", "ptype", "value", "span_start", "span_end", "confidence", "source"]
@@ -74,6 +86,21 @@ def whitelist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_allowlisted(c, _extended_allow(spark, sf_dir)).select(*CANDIDATE_COLS)
 
 
+def _large_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extended_allow(spark, sf_dir).unionByName(inputs.large_allowlist(spark, sf_dir))
+
+
+def scrub_large_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 with a list of several rows per order line (over 100,000 from sf0.01 on): every text scrubbed."""
+    s = scrub(inputs.all_texts(spark, sf_dir), allowlist_table=_large_allow(spark, sf_dir))
+    return s.select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
+
+
+def whitelist_impact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 with the same list: the plan of ``whitelist_impact``, whatever the list's size."""
+    return allowlist_impact_table(inputs.all_texts(spark, sf_dir), _large_allow(spark, sf_dir))
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(inputs.all_texts(spark, sf_dir))
 
@@ -83,6 +110,27 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_matches(_merged(spark, sf_dir), ["doc_id"]).select(*MATCH_COLS)
 
 
+#: Distance of the customers' sheets in one register; a sheet is longer, so neighbours' matches overlap.
+SHEET_STEP = 120
+
+
+def merge_spans_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M3 on match rows: one text, the register of all customers' sheets, holds more of them than any other.
+
+    The register is never put together: its rows are the sheets' candidates at
+    the sheets' positions; all other texts bring their own.
+    """
+    fields = [f.name for f in MATCH_FIELDS]
+    texts = inputs.all_texts(spark, sf_dir)
+    rows = explode_matches(with_candidates(texts), ["doc_id"], "_cands").select("doc_id", *fields)
+    sheet = F.col("doc_id").startswith("cust-")
+    move = F.when(sheet, F.substring_index("doc_id", "-", -1).cast("int") * SHEET_STEP).otherwise(0)
+    rows = rows.withColumns({c: F.col(c) + move for c in ("span_start", "span_end")})
+    rows = rows.withColumn("doc_id", F.when(sheet, F.lit("register")).otherwise(F.col("doc_id")))
+    merged = merge_long(rows, ["doc_id"])
+    return merged.select("doc_id", "span_start", "span_end", F.col("ord").alias("rule"), "ptype", "value", "confidence")
+
+
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged matches per type and the number of texts holding that type.
 
@@ -144,23 +192,11 @@ def guard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guard_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: the JSON response of the guard for model answers and customer sheets."""
-    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
-    return guard_response(guard(both))
-
-
-def scrub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: the JSON response of scrub for model answers and customer sheets."""
-    both = inputs._conversation_turns(spark, sf_dir, role="assistant").unionByName(inputs._customer_records(spark, sf_dir))
-    return scrub_response(scrub(both))
-
-
-def guard_responses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: the JSON response of the guard for every text."""
     return guard_response(guard(inputs.all_texts(spark, sf_dir)))
 
 
-def scrub_responses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scrub_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: the JSON response of scrub for every text."""
     return scrub_response(scrub(inputs.all_texts(spark, sf_dir)))
 
@@ -247,11 +283,19 @@ def llm_pii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def llm_answers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings from answers that were written as JSON and read as a table."""
+    path = f"{run_folder(spark, 'answers')}/answers"
+    pii_responses(spark, sf_dir).write.json(path)
+    found = attach_model_answers(inputs._corpus(spark, sf_dir).select("doc_id", "text"), read_llm_responses(spark, path, "json"))
+    return explode_matches(found.select("doc_id", "llm_matches"), ["doc_id"], "llm_matches").select(
+        "doc_id", F.col("pos").alias("idx"), "ptype", "value", "span_start", "span_end", "confidence"
+    )
+
+
 def llm_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regex and model findings merged together (regex first in emission order)."""
-    texts = inputs._corpus(spark, sf_dir).select("doc_id", "text")
-    withllm = attach_model_answers(texts, pii_responses(spark, sf_dir))
-    d = detect(withllm, extra_matches_col="llm_matches")
+    d = hybrid_matches(inputs.corpus(spark, sf_dir).select("doc_id", "text"), pii_responses(spark, sf_dir))
     return explode_matches(d, ["doc_id"]).select(*MATCH_COLS)
 
 
@@ -315,6 +359,13 @@ def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.length("text").alias("n_chars"))
 
 
+def document_pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 without assembly: a document's text as parts and where they begin."""
+    pieces = document_pieces(_pages(spark, sf_dir), piece_pages=4)
+    at = piece_offsets(pieces, F.length("part"), group=4)
+    return pieces.join(at, ["doc_id", "piece"]).select("doc_id", "piece", "offset", "part")
+
+
 def document_assembly_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 + S4: the same under the opt-in cap of 10,000 characters."""
     docs = assemble_documents(_pages(spark, sf_dir), max_length=DOC_MAX_LENGTH)
@@ -369,40 +420,58 @@ def whitelist_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowlist_impact_table(inputs.all_texts(spark, sf_dir), _extended_allow(spark, sf_dir))
 
 
-def _verdicts(df: DataFrame, checks: dict[str, "F.Column"]) -> DataFrame:
-    """One row per (check, text) from a single pass over ``df``."""
-    pairs = F.array(*[F.struct(F.lit(name).alias("suite"), F.when(cond, "PASS").otherwise("FAIL").alias("status")) for name, cond in checks.items()])
-    return df.select("doc_id", F.explode(pairs).alias("v")).select("v.suite", "doc_id", "v.status")
+#: The QA runner's expectations: (source of texts, suite, kind, argument).
+QA_CHECKS = [
+    ("contacts", "guard_contacts", "score_above", "0"),
+    ("contacts", "guard_contacts", "type_present", "EMAIL"),
+    ("contacts", "guard_contacts", "type_present", "ACCOUNT"),
+    ("contacts", "guard_contacts", "blocked_or_masked_contains", "<EMAIL>"),
+    ("contacts", "scrub_accounts", "type_present", "ACCOUNT"),
+    ("contacts", "scrub_accounts", "masked_contains", "<ACCOUNT>"),
+    ("answers", "guard_safe", "score_is", "0"),
+    ("answers", "guard_safe", "matches_are", "0"),
+    ("orders", "guard_rrn", "type_absent", "RRN"),
+    ("orders", "guard_rrn_low_score", "score_at_most", "10"),
+    ("suppliers", "whitelist_after", "delta_at_most", "0"),
+]
+
+
+def _checkable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' sheets, assistant turns, order notes and the allow-list's effect on suppliers' contacts, ready for checks."""
+    parts = [
+        checkable(inputs.customer_records(spark, sf_dir), "contacts"),
+        checkable(inputs.conversation_turns(spark, sf_dir, role="assistant"), "answers"),
+        checkable(inputs.order_notes(spark, sf_dir), "orders"),
+    ]
+    impact = allowlist_impact_table(inputs.supplier_contacts(spark, sf_dir), _extended_allow(spark, sf_dir))
+    types = {f.name: f.dataType for f in parts[0].schema.fields}
+    given = {"doc_id": F.col("doc_id"), "source": F.lit("suppliers"), "score": F.col("score_after"), "delta": F.col("delta")}
+    out = impact.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def qa_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expectation checks in the style of the QA runner, one row per check and text.
-
-    Each input is detected once; all checks on it read that one result.
-    """
-    types = F.transform("matches", lambda m: m["ptype"])
-    contacts = detect(inputs.customer_records(spark, sf_dir), internal=True).select(
-        "doc_id",
-        "matches",
-        score_from_risk(risk_value(F.col("matches"))).alias("score"),
-        mask_text(F.col("text"), F.col("matches")).alias("masked"),
-    )
-    blocked = F.col("score") >= DEFAULT_CONFIG.block_threshold
-    t12 = _verdicts(
-        contacts,
-        {
-            "guard_contacts": (F.col("score") > 0) & F.array_contains(types, "EMAIL") & F.array_contains(types, "ACCOUNT")
-            & (blocked | F.col("masked").contains("<EMAIL>")),
-            "scrub_accounts": F.array_contains(types, "ACCOUNT") & F.col("masked").contains("<ACCOUNT>"),
-        },
-    )
-    safe = guard(inputs.conversation_turns(spark, sf_dir, role="assistant"))
-    t4 = _verdicts(safe, {"guard_safe": (F.col("pii_score") == 0) & (F.size("matches") == 0)})
-    rrn = guard(inputs.order_notes(spark, sf_dir))
-    t5 = _verdicts(rrn, {"guard_rrn": ~F.array_contains(types, "RRN"), "guard_rrn_low_score": F.col("pii_score") <= 10})
-    impact = allowlist_impact_table(inputs.supplier_contacts(spark, sf_dir), _extended_allow(spark, sf_dir))
-    t6 = _verdicts(impact, {"whitelist_after": F.col("delta") <= 0})
-    return t12.unionByName(t4).unionByName(t5).unionByName(t6)
+    """The expectation table evaluated over every text of its sources, one row per suite and text."""
+    checks = spark.createDataFrame(QA_CHECKS, "source string, suite string, kind string, argument string")
+    return evaluate(_checkable(spark, sf_dir), checks, by="source")
+
+
+def qa_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 with expectations of single documents: what each customer's sheet and order note must show."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    doc_id = F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("doc_id")
+    mail = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
+    checks = c.select(doc_id, F.lit("mail_found").alias("suite"), F.lit("value_present").alias("kind"), mail.alias("argument"))
+    checks = checks.unionByName(c.select(doc_id, F.lit("mail_found").alias("suite"), F.lit("masked_lacks").alias("kind"), mail.alias("argument")))
+    high = F.when(F.col("c_nationkey") < 10, "true").otherwise("false")
+    checks = checks.unionByName(c.select(doc_id, F.lit("blocked_as_told").alias("suite"), F.lit("blocked_is").alias("kind"), high.alias("argument")))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    note = F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("doc_id")
+    kind = F.when(F.col("o_custkey") % 2 == 0, "type_absent").otherwise("type_present")
+    checks = checks.unionByName(o.select(note, F.lit("rrn_as_told").alias("suite"), kind.alias("kind"), F.lit("RRN").alias("argument")))
+    return evaluate(_checkable(spark, sf_dir), checks, by="doc_id")
 
 
 def qa_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,6 +492,41 @@ def risk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scrub_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: a scrubbed corpus brought up to date: rows were changed, added and removed since it was made."""
+    path = f"{run_folder(spark, 'corpus')}/scrubbed"
+    docs = inputs.corpus(spark, sf_dir).select("doc_id", "text")
+    number = F.substring_index("doc_id", "-", -1).cast("long")
+    before = docs.where(number % 11 != 3).withColumn("text", F.when(number % 17 == 0, F.concat(F.lit("010-1234-5678 "), F.col("text"))).otherwise(F.col("text")))
+    before = before.unionByName(docs.where(number % 13 == 0).withColumn("doc_id", F.concat(F.lit("old-"), number.cast("string"))))
+    update_scrubbed(before, path, buckets=16)
+    update_scrubbed(docs, path, buckets=16)
+    return read_scrubbed(spark, path).select("doc_id", "scrubbed", F.size("matches").alias("n_matches"))
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies made of the documents, one JSON line each; six of ten are as they should be."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    good = F.to_json(F.struct(key.alias("doc_id"), "text"))
+    shapes = [
+        F.concat(F.lit('{"doc_id": "'), key, F.lit('", "text": ')),
+        F.concat(F.lit('{"doc_id": "'), key, F.lit('", "body": "x"}')),
+        F.concat(F.lit('{"doc_id": "'), key, F.lit('", "text": null}')),
+        F.concat(F.lit('{"doc_id": "'), key, F.lit('", "text": '), F.col("doc_id").cast("string"), F.lit("}")),
+        F.concat(F.lit('["'), key, F.lit('"]')),
+    ]
+    line = F.get(F.array(*shapes), (F.col("doc_id") % 10).cast("int"))
+    return d.select(F.when((F.col("doc_id") % 10 >= len(shapes)) & F.col("text").isNotNull(), good).otherwise(F.coalesce(line, shapes[2])).alias("value"))
+
+
+def requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies read from JSON lines, with the reason where one is not taken."""
+    path = f"{run_folder(spark, 'requests')}/lines"
+    request_bodies(spark, sf_dir).write.text(path)
+    return read_requests(spark, path)
+
+
 def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guard as a Structured Streaming query over the document files."""
     return run_stream_guard(spark, sf_dir)
@@ -433,6 +537,16 @@ def stream_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream_scrub(spark, sf_dir)
 
 
+def stream_guard_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 over requests that are sent again, in two runs of the stream: each document once."""
+    return run_stream_guard_once(spark, inputs.corpus(spark, sf_dir))
+
+
+def stream_hybrid_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + J10: texts and model answers as two streams; the answers come later, some texts get none."""
+    return run_stream_hybrid_guard(spark, inputs.corpus(spark, sf_dir), document_answers(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_phone": _detect_type("PHONE"),
     "detect_email": _detect_type("EMAIL"),
@@ -445,32 +559,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "luhn_filter": luhn_filter,
     "whitelist_filter": whitelist_filter,
     "merge_spans": merge_spans,
+    "merge_spans_long": merge_spans_long,
     "type_counts": type_counts,
     "risk_score": risk_score,
     "mask_documents": mask_documents,
     "scrub_documents": scrub_documents,
     "scrub_allowlisted": scrub_allowlisted,
+    "scrub_large_allowlist": scrub_large_allowlist,
+    "scrub_incremental": scrub_incremental,
+    "requests_read": requests_read,
     "guard_documents": guard_documents,
     "guard_block_reasons": guard_block_reasons,
     "llm_pii_parse": llm_pii_parse,
+    "llm_answers_table": llm_answers_table,
     "llm_hybrid_merge": llm_hybrid_merge,
     "injection_verdicts": injection_verdicts,
     "hybrid_guard": hybrid_guard_rows,
     "hybrid_scrub": hybrid_scrub_rows,
     "guard_response": guard_responses,
     "scrub_response": scrub_responses,
-    "guard_response_all": guard_responses_all,
-    "scrub_response_all": scrub_responses_all,
+    "guard_response_all": guard_responses,
+    "scrub_response_all": scrub_responses,
     "document_assembly": document_assembly,
     "document_assembly_capped": document_assembly_capped,
+    "document_pieces": document_pieces_query,
     "document_report": document_report,
     "document_report_answers": document_report_answers,
     "document_report_capped": document_report_capped,
     "qa_results": qa_results,
+    "qa_expectations": qa_expectations,
     "top_entities": top_entities_query,
     "whitelist_impact": whitelist_impact,
+    "whitelist_impact_large": whitelist_impact_large,
     "qa_summary": qa_summary_query,
     "risk_by_source": risk_by_source,
     "stream_guard": stream_guard,
     "stream_scrub": stream_scrub,
+    "stream_guard_once": stream_guard_once,
+    "stream_hybrid_guard": stream_hybrid_guard,
 }

@@ -173,3 +173,18 @@ def extended_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("010-"), _pad(ks % 10000, 4), F.lit("-"), _pad(ks * 7 % 10000, 4)).alias("value"),
     )
     return phones_c.unionByName(emails_c).unionByName(phones_s)
+
+
+def large_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow-list table with four entries per order line, most of them not in any text."""
+    li = _read(spark, sf_dir, "lineitem")
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    serial = o * 10 + n
+    entries = [
+        ("phones", F.concat(F.lit("010-"), _pad(o % 10000, 4), F.lit("-"), _pad(o * 7 % 10000, 4))),
+        ("phones", F.concat(F.lit("011-"), _pad(F.floor(serial / 10000) % 10000, 4), F.lit("-"), _pad(serial % 10000, 4))),
+        ("emails", F.concat(F.lit("customer."), _pad(serial, 9), F.lit("@example.com"))),
+        ("accounts", F.concat(_pad(o % 1000, 3), F.lit("-"), _pad(n, 2), F.lit("-"), _pad(o * 37 % 1000000, 6))),
+    ]
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in entries])
+    return li.select(F.explode(rows).alias("e")).select("e.kind", "e.value")

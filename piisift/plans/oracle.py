@@ -212,9 +212,18 @@ UNION ALL SELECT 'emails', lower(replace(c_name, '#', '.')) || '@example.com' FR
 UNION ALL SELECT 'phones', '010-' || {p('s_suppkey % 10000', 4)} || '-' || {p('s_suppkey * 7 % 10000', 4)} FROM supplier WHERE s_acctbal < 0"""
         return self.add("ext_allow", body)
 
-    def extended_allow_lists(self) -> str:
+    def large_allow(self) -> str:
+        p, serial = self._pad, "(l_orderkey * 10 + l_linenumber)"
+        body = f"""SELECT * FROM {self.extended_allow()}
+UNION ALL SELECT 'phones', '010-' || {p('l_orderkey % 10000', 4)} || '-' || {p('l_orderkey * 7 % 10000', 4)} FROM lineitem
+UNION ALL SELECT 'phones', '011-' || {p(f'{serial} // 10000 % 10000', 4)} || '-' || {p(f'{serial} % 10000', 4)} FROM lineitem
+UNION ALL SELECT 'emails', 'customer.' || {p(serial, 9)} || '@example.com' FROM lineitem
+UNION ALL SELECT 'accounts', {p('l_orderkey % 1000', 3)} || '-' || {p('l_linenumber', 2)} || '-' || {p('l_orderkey * 37 % 1000000', 6)} FROM lineitem"""
+        return self.add("large_allow", body)
+
+    def extended_allow_lists(self, large: bool = False) -> str:
         kinds = " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in ALLOWLIST_KINDS.items())
-        return self.add("ext_allow_typed", f"SELECT DISTINCT CASE kind {kinds} END AS ptype, value FROM {self.extended_allow()}")
+        return self.add("ext_allow_typed", f"SELECT DISTINCT CASE kind {kinds} END AS ptype, value FROM {self.large_allow() if large else self.extended_allow()}")
 
     # -- detection --------------------------------------------------------------
 
@@ -531,6 +540,19 @@ def _merge_sql() -> str:
     return s.render(MATCH_SELECT.format(m=m))
 
 
+def _merge_long_sql() -> str:
+    s = Sql()
+    c = s.candidates(s.all_texts(), "d")
+    move = "CAST(split_part(doc_id, '-', 2) AS INTEGER) * 120"
+    moved = s.add(
+        "moved",
+        f"""SELECT * FROM {c} WHERE NOT starts_with(doc_id, 'cust-')
+UNION ALL SELECT * REPLACE ('register' AS doc_id, span_start + {move} AS span_start, span_end + {move} AS span_end) FROM {c} WHERE starts_with(doc_id, 'cust-')""",
+    )
+    m = s.merged(moved, "l")
+    return s.render(f"SELECT doc_id, span_start, span_end, ord AS rule, ptype, value, confidence FROM {m}")
+
+
 def _type_counts_sql() -> str:
     s = Sql()
     m = s.merged(s.candidates(s.all_texts(), "d"), "d")
@@ -560,11 +582,11 @@ def _scrub_sql() -> str:
     return s.render(f"SELECT mk.doc_id, mk.masked AS scrubbed, sc.n_matches FROM {mk} mk JOIN {sc} sc USING (doc_id)")
 
 
-def _scrub_allowlisted_sql() -> str:
+def _scrub_allowlisted_sql(large: bool = False) -> str:
     s = Sql()
     src = s.all_texts()
     raw = s.candidates(src, "a", allowlist=None)
-    a = s.extended_allow_lists()
+    a = s.extended_allow_lists(large)
     kept = s.add("a_kept", f"SELECT * FROM {raw} c WHERE NOT EXISTS (SELECT 1 FROM {a} x WHERE x.ptype = c.ptype AND x.value = c.value)")
     m = s.merged(kept, "ak")
     mk = s.masked(src, m, "ak")
@@ -584,13 +606,9 @@ def _wire_matches(s: Sql, m: str, tag: str) -> str:
     return s.add(f"{tag}_wire", f"SELECT doc_id, '[' || string_agg(CAST(to_json({one}) AS VARCHAR), ',' ORDER BY pos) || ']' AS ms FROM {m} GROUP BY doc_id")
 
 
-def _response_input(s: Sql) -> str:
-    return s.add("resp_in", f"SELECT doc_id, text FROM {s.turns('assistant')} UNION ALL SELECT doc_id, text FROM {s.customers()}")
-
-
-def _guard_response_sql(every: bool = False) -> str:
+def _guard_response_sql() -> str:
     s = Sql()
-    src = s.all_texts() if every else _response_input(s)
+    src = s.all_texts()
     c = s.candidates(src, "g")
     w = _wire_matches(s, s.merged(c, "w"), "w")
     g = s.guarded(src, "g", cands=c)
@@ -602,9 +620,9 @@ FROM {g} g LEFT JOIN {w} w USING (doc_id)"""
     )
 
 
-def _scrub_response_sql(every: bool = False) -> str:
+def _scrub_response_sql() -> str:
     s = Sql()
-    src = s.all_texts() if every else _response_input(s)
+    src = s.all_texts()
     m = s.merged(s.candidates(src, "d"), "d")
     w = _wire_matches(s, m, "w")
     mk = s.masked(src, m, "d")
@@ -621,6 +639,16 @@ def _stream_guard_sql() -> str:
     return s.render(f"SELECT doc_id, answer, pii_score, blocked, n_matches FROM {g}")
 
 
+def _stream_hybrid_sql() -> str:
+    s = Sql()
+    src = s.add("corpus_t", f"SELECT doc_id, text FROM {s.corpus()}")
+    c = _hybrid_candidates(s, src, s.llm_found(src, "CAST(split_part(doc_id, '-', 2) AS BIGINT) % 4 <> 0"))
+    key, hit = "'doc-' || CAST(doc_id AS VARCHAR) AS doc_id", "doc_id % 2 = 0"
+    v = s.add("doc_verdicts", f"SELECT {key}, {hit} AS injection_detected, CASE WHEN {hit} THEN 'pattern' ELSE '' END AS details FROM documents WHERE doc_id % 3 = 0")
+    g = s.guarded(src, "g", verdicts=v, cands=c)
+    return s.render(f"SELECT doc_id, answer, pii_score, blocked, n_matches, details FROM {g}")
+
+
 def _block_reasons_sql() -> str:
     s = Sql()
     src = s.add("reasons_in", f"SELECT doc_id, text FROM {s.turns()} UNION ALL SELECT doc_id, text FROM {s.customers()}")
@@ -688,6 +716,16 @@ def _assembly_sql(cap: int | None = None) -> str:
     return s.render(f"SELECT doc_id, text, CAST(length(text) AS INTEGER) AS n_chars FROM {a}")
 
 
+def _pieces_sql() -> str:
+    s = Sql()
+    s.assembled()
+    part = f"{q('[페이지 ')} || CAST(page_no AS VARCHAR) || ']' || chr(10) || text || chr(10)"
+    return s.render(
+        f"""SELECT doc_id, piece, CAST(coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, part
+FROM (SELECT doc_id, CAST(page_no // 4 AS BIGINT) AS piece, string_agg({part}, chr(10) ORDER BY page_no) AS part FROM pages_t WHERE text <> '' GROUP BY ALL)"""
+    )
+
+
 def _report_sql(cap: int | None = None, answers: bool = False) -> str:
     s = Sql()
     a = s.assembled(cap)
@@ -716,9 +754,9 @@ def _top_entities_sql() -> str:
     return s.render(f"SELECT doc_id, rank, ptype, value FROM {e}")
 
 
-def _impact_body(s: Sql, src: str, tag: str) -> str:
+def _impact_body(s: Sql, src: str, tag: str, large: bool = False) -> str:
     raw = s.candidates(src, tag, allowlist=None)
-    a = s.extended_allow_lists()
+    a = s.extended_allow_lists(large)
     listed_after = f"EXISTS (SELECT 1 FROM {a} a WHERE a.ptype = c.ptype AND a.value = c.value)"
     before = s.add(f"{tag}_cb", f"SELECT * FROM {raw} WHERE {_not_listed(DEFAULT_ALLOWLIST)}")
     after = s.add(f"{tag}_ca", f"SELECT * FROM {raw} c WHERE NOT {listed_after}")
@@ -733,9 +771,9 @@ FROM {sb} b JOIN {sa} a USING (doc_id) LEFT JOIN {newly} n USING (doc_id)""",
     )
 
 
-def _impact_sql() -> str:
+def _impact_sql(large: bool = False) -> str:
     s = Sql()
-    i = _impact_body(s, s.all_texts(), "w")
+    i = _impact_body(s, s.all_texts(), "w", large)
     return s.render(f"SELECT * FROM {i}")
 
 
@@ -780,6 +818,36 @@ FROM {res} GROUP BY suite"""
     )
 
 
+def _expectations_sql() -> str:
+    s = Sql()
+    cust, orders = s.customers(), s.orders()
+    m = s.merged(s.candidates(cust, "qc"), "qc")
+    mk = s.masked(cust, m, "qc")
+    g = s.guarded(cust, "qc")
+    mo = s.merged(s.candidates(orders, "qo"), "qo")
+    mail = "lower(replace(c_name, '#', '.')) || '@example.com'"
+    told = s.add("told", f"SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS doc_id, {mail} AS mail, c_nationkey < 10 AS high FROM customer")
+    found = f"EXISTS (SELECT 1 FROM {m} x WHERE x.doc_id = t.doc_id AND x.value = t.mail)"
+    rrn = f"EXISTS (SELECT 1 FROM {mo} x WHERE x.doc_id = 'ord-' || CAST(o_orderkey AS VARCHAR) AND x.ptype = 'RRN')"
+    return s.render(
+        f"""SELECT 'mail_found' AS suite, t.doc_id, CASE WHEN {found} AND NOT contains(k.masked, t.mail) THEN 'PASS' ELSE 'FAIL' END AS status FROM {told} t JOIN {mk} k USING (doc_id)
+UNION ALL SELECT 'blocked_as_told', t.doc_id, CASE WHEN g.blocked = t.high THEN 'PASS' ELSE 'FAIL' END FROM {told} t JOIN {g} g USING (doc_id)
+UNION ALL SELECT 'rrn_as_told', 'ord-' || CAST(o_orderkey AS VARCHAR), CASE WHEN {rrn} = (o_custkey % 2 <> 0) THEN 'PASS' ELSE 'FAIL' END FROM orders"""
+    )
+
+
+def _requests_sql() -> str:
+    key = "'doc-' || CAST(doc_id AS VARCHAR)"
+    head = f"""'{{"doc_id": "' || {key} || '", """
+    return f"""
+        SELECT CASE WHEN k IN (0, 4) THEN NULL ELSE {key} END AS doc_id, CASE WHEN k > 4 THEN text END AS text,
+            CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'text_missing' WHEN 2 THEN 'text_not_a_string' WHEN 3 THEN 'text_not_a_string' WHEN 4 THEN 'not_an_object' END AS reject,
+            CASE k WHEN 0 THEN {head}"text": ' WHEN 1 THEN {head}"body": "x"}}' WHEN 2 THEN {head}"text": null}}'
+                WHEN 3 THEN {head}"text": ' || CAST(doc_id AS VARCHAR) || '}}' WHEN 4 THEN '["' || {key} || '"]' END AS body
+        FROM (SELECT doc_id, text, CASE WHEN doc_id % 10 > 4 AND text IS NULL THEN 2 ELSE doc_id % 10 END AS k FROM documents)
+    """
+
+
 def _risk_by_source_sql() -> str:
     s = Sql()
     corpus = s.corpus()
@@ -810,34 +878,44 @@ ORACLE: dict[str, callable] = {
     "luhn_filter": _luhn_sql,
     "whitelist_filter": _whitelist_filter_sql,
     "merge_spans": _merge_sql,
+    "merge_spans_long": _merge_long_sql,
     "type_counts": _type_counts_sql,
     "risk_score": _risk_sql,
     "mask_documents": _mask_sql,
     "scrub_documents": _scrub_sql,
     "scrub_allowlisted": _scrub_allowlisted_sql,
+    "scrub_large_allowlist": lambda: _scrub_allowlisted_sql(large=True),
+    "scrub_incremental": _scrub_sql,
+    "requests_read": _requests_sql,
     "guard_documents": _guard_sql,
     "guard_block_reasons": _block_reasons_sql,
     "llm_pii_parse": _llm_parse_sql,
+    "llm_answers_table": _llm_parse_sql,
     "llm_hybrid_merge": _llm_hybrid_sql,
     "injection_verdicts": _verdicts_sql,
     "guard_response": _guard_response_sql,
     "scrub_response": _scrub_response_sql,
-    "guard_response_all": lambda: _guard_response_sql(every=True),
-    "scrub_response_all": lambda: _scrub_response_sql(every=True),
+    "guard_response_all": _guard_response_sql,
+    "scrub_response_all": _scrub_response_sql,
     "qa_results": lambda: _qa_sql(rows=True),
+    "qa_expectations": _expectations_sql,
     "hybrid_guard": _hybrid_guard_sql,
     "hybrid_scrub": _hybrid_scrub_sql,
     "document_assembly": _assembly_sql,
     "document_assembly_capped": lambda: _assembly_sql(DOC_MAX_LENGTH),
+    "document_pieces": _pieces_sql,
     "document_report": _report_sql,
     "document_report_answers": lambda: _report_sql(answers=True),
     "document_report_capped": lambda: _report_sql(DOC_MAX_LENGTH),
     "top_entities": _top_entities_sql,
     "whitelist_impact": _impact_sql,
+    "whitelist_impact_large": lambda: _impact_sql(large=True),
     "qa_summary": _qa_sql,
     "risk_by_source": _risk_by_source_sql,
     "stream_guard": _stream_guard_sql,
     "stream_scrub": _stream_scrub_sql,
+    "stream_guard_once": _stream_guard_sql,
+    "stream_hybrid_guard": _stream_hybrid_sql,
 }
 
 

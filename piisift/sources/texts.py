@@ -20,6 +20,7 @@ LLM_RESPONSE_SCHEMA = T.StructType(
         T.StructField("doc_id", T.StringType()),
         T.StructField("task", T.StringType()),
         T.StructField("response", T.StringType()),
+        T.StructField("answer_no", T.IntegerType()),
     ]
 )
 
@@ -40,6 +41,45 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", id_col: str
     return df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Why a request body is not taken.
+REJECTS = ("not_json", "not_an_object", "text_missing", "text_not_a_string")
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Request bodies, one JSON object ``{"text": …}`` a line: ``doc_id, text, reject, body``.
+
+    ``reject`` says why a body is not taken (one of ``REJECTS``, then ``text``
+    is null and ``body`` holds the line), else it is null.  As in the service,
+    the text must be a JSON string (null, numbers, lists are not), other fields
+    are ignored, and an empty text is one.  ``doc_id`` is the body's, as text,
+    where it has one.  Blank lines are no bodies.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    # the parser stops after the first value: inside brackets anything behind it breaks the list or is a second element
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    alone = lines.select("value", listed.alias("l")).select("value", F.when(F.try_variant_get("l", "$[1]", "variant").isNull(), F.try_variant_get("l", "$[0]", "variant")).alias("v"))
+    kinds = alone.select(
+        "value",
+        "v",
+        F.schema_of_variant("v").alias("kind"),
+        F.schema_of_variant(F.try_variant_get("v", "$.text", "variant")).alias("text_kind"),
+    )
+    reject = (
+        F.when(F.col("v").isNull(), REJECTS[0])
+        .when(~F.col("kind").startswith("OBJECT"), REJECTS[1])
+        .when(F.col("text_kind").isNull(), REJECTS[2])
+        .when(F.col("text_kind") != "STRING", REJECTS[3])
+    )
+    rows = kinds.select("value", "v", reject.alias("reject"))
+    taken = F.col("reject").isNull()
+    return rows.select(
+        F.try_variant_get("v", "$.doc_id", "string").alias("doc_id"),
+        F.when(taken, F.try_variant_get("v", "$.text", "string")).alias("text"),
+        "reject",
+        F.when(~taken, F.col("value")).alias("body"),
+    )
+
+
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One document per file; the file path is the document id."""
     df = spark.read.text(path, wholetext=True)
@@ -53,24 +93,8 @@ def allowlist_table(spark: SparkSession, lists: dict[str, list[str]] | None = No
     return spark.createDataFrame(rows, ALLOWLIST_SCHEMA)
 
 
-def collect_allowlist(table: DataFrame, max_entries: int = 100_000) -> dict[str, list[str]]:
-    """Bring a size-checked allow-list to the driver for row-form filtering.
-
-    One bounded job: at most ``max_entries + 1`` raw rows are read (no
-    distinct over the whole table); more than ``max_entries`` rows raises, and
-    the caller uses the join path instead (exact either way)."""
-    rows = table.select("kind", "value").limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"allow-list has more than {max_entries} rows; use the join path")
-    out: dict[str, set[str]] = {k: set() for k in ALLOWLIST_KINDS}
-    for row in rows:
-        if row.kind in out and row.value is not None:
-            out[row.kind].add(row.value)
-    return {k: sorted(v) for k, v in out.items()}
-
-
 def read_llm_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw model answers ``(doc_id, task in {'pii','injection'}, response)``."""
+    """Raw model answers ``(doc_id, task in {'pii','injection'}, response[, answer_no])``."""
     return spark.read.format(fmt).schema(LLM_RESPONSE_SCHEMA).load(path)
 
 
@@ -83,6 +107,43 @@ def page_parts(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_
     )
 
 
+#: Pages of a document that are put together as one piece.
+PIECE_PAGES = 64
+
+
+def document_pieces(pages: DataFrame, piece_pages: int = PIECE_PAGES, doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
+    """S3 for documents of any size: ``doc_id, piece, part``, the document's text in consecutive parts.
+
+    A piece holds the non-empty pages whose numbers share ``floor(page_no /
+    piece_pages)``, put together as :func:`assemble_documents` does; joined
+    with the page separator in the order of ``piece`` they are the document.
+    No task sees more than a piece, and text is exchanged once.  Pages that
+    repeat a number come in the order of their texts; a null page number comes
+    first, a null ``doc_id`` is a document; no rows without non-empty pages.
+    """
+    parts = page_parts(pages, doc_col, page_col, text_col)
+    grouped = parts.groupBy("doc_id", F.floor(F.col("page_no") / piece_pages).alias("piece"))
+    ordered = grouped.agg(F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("_parts"))
+    return ordered.select("doc_id", "piece", F.array_join(F.transform("_parts", lambda p: p["part"]), PAGE_SEPARATOR).alias("part"))
+
+
+def piece_offsets(pieces: DataFrame, chars: Column, group: int = PIECE_PAGES) -> DataFrame:
+    """``doc_id, piece, offset, chars``: where each piece begins in its document's text (characters, from 0).
+
+    Prefix sums in two levels: within groups of ``group`` pieces and over the
+    groups, so a document's rows spread over its groups.  Only the sizes move.
+    """
+    rows = pieces.select("doc_id", "piece", chars.cast("long").alias("chars"), F.floor(F.col("piece") / group).alias("_group"))
+    step = F.sum(F.col("chars") + len(PAGE_SEPARATOR))
+    earlier = Window.partitionBy("doc_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("doc_id", "_group").agg(step.alias("_size")).withColumn("_base", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    groups = groups.select(F.col("doc_id").alias("_d"), F.col("_group").alias("_g"), "_base")
+    inside = Window.partitionBy("doc_id", "_group").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(step.over(inside), F.lit(0)))
+    rows = rows.join(groups, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_group").eqNullSafe(F.col("_g")))
+    return rows.select("doc_id", "piece", (F.col("_base") + F.col("_within")).alias("offset"), "chars")
+
+
 def assemble_documents(
     pages: DataFrame,
     max_length: int | None = None,

@@ -94,3 +94,44 @@ def test_page_report_takes_answers(spark):
     assert got.keys() == plain.keys() and (got["c"], got["d"]) == (plain["c"], plain["d"])
     assert got["a"]["total_matches"] == 1 and got["a"]["entities"][0]["ptype"] == "NAME" and "<NAME>" in got["a"]["preview"] and "ghi" not in got["a"]["preview"]
     assert got["b"]["blocked"] and not plain["b"]["blocked"] and "plain" not in got["b"]["preview"]
+
+
+def test_report_with_answers_by_pages_equals_whole_documents(spark):
+    """Findings inside pages, over page and piece borders, over all of a document, chained, and out of range."""
+    import json
+
+    rnd = random.Random(21)
+    bits = ["010-1234-5678", "a@b.co", "서울시 강남구 역삼동 12번지", "12345", "4111 1111 1111 1111", "plain words", "KR123456", "x" * 50]
+    rows = [(f"d{d}", p, " ".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 8)))) for d in range(30) for p in range(1, rnd.choice([2, 6, 150]))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
+    whole = assemble_documents(pages)
+    answers = []
+    for r in whole.collect():
+        n = len(r["text"])
+        if rnd.random() < 0.25:
+            continue
+        found = []
+        for _ in range(rnd.choice([0, 1, 3, 12])):
+            start = rnd.randrange(n)
+            end = rnd.choice([start + rnd.randrange(1, 40), start + rnd.randrange(1, 3000), n, n + 1])
+            found.append({"type": rnd.choice(["name", "card", "note"]), "value": f"v{rnd.randrange(9)}", "start": start, "end": end, "confidence": rnd.choice([0.4, 0.7, 0.85, 0.97])})
+        answers.append((r["doc_id"], "pii", 1, json.dumps({"pii_detected": found})))
+        if rnd.random() < 0.3:
+            answers.append((r["doc_id"], "pii", 2, json.dumps({"pii_detected": [{"type": "all", "value": "v", "start": 0, "end": n, "confidence": 0.6}]})))
+        if rnd.random() < 0.2:
+            answers.append((r["doc_id"], "injection", 1, '{"injection_detected": true}'))
+    given = spark.createDataFrame(answers, "doc_id string, task string, answer_no int, response string")
+    by_page = {r["doc_id"]: r.asDict(True) for r in page_report(pages, answers=given).collect()}
+    want = {r["doc_id"]: r.asDict(True) for r in document_report(whole, answers=given).collect()}
+    assert by_page.keys() == want.keys() and len(want) > 20
+    for d in want:
+        assert by_page[d] == want[d]
+    none = {r["doc_id"]: r.asDict(True) for r in page_report(pages, answers=given.limit(0)).collect()}
+    assert none == {r["doc_id"]: r.asDict(True) for r in page_report(pages).collect()}
+
+
+def test_report_takes_an_allowlist_table(spark):
+    pages = spark.createDataFrame([("a", 1, "010-1234-5678 and a@b.co"), ("a", 2, "c@d.ef")], "doc_id string, page_no int, text string")
+    allow = spark.createDataFrame([("phones", "010-1234-5678"), ("emails", "c@d.ef")], "kind string, value string")
+    r = page_report(pages, allowlist_table=allow).first()
+    assert r["total_matches"] == 1 and [e["value"] for e in r["entities"]] == ["a@b.co"]

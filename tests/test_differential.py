@@ -142,3 +142,25 @@ def test_email_runs_are_linear_and_equal_to_python(spark):
     began = time.time()
     assert scrub(long).first()["scrubbed"].endswith(" @ <EMAIL>")
     assert time.time() - began < 60
+
+
+def test_address_runs_are_linear_and_equal_to_python(spark):
+    """One attempt per run of body characters: same spans as ``re``, and no stall without a closing suffix."""
+    import random
+    import time
+
+    from piisift.operators.detect import detect
+
+    pattern = next(p for t, p, _, _ in RULES if t == "ADDRESS")
+    rnd = random.Random(4)
+    texts = ["서울동", "서울시동", "서울 동", "서울  동", "서울시 동 서울", "서울서울동x부산시 1-2번지가나x", "경기도로", "서울번지", "가서울나번지다호", "서울\u3000\x1c로 제주", "서울𝟏로 부산𝟏"]
+    pieces = ["서울", "부산", "제주", "시", "도", "동", "로", "가", "길", "번지", "번", "호", " ", "\n", "1", "٣", "-", "x", "é", "힣", "𝟏", "\x1c"]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 30))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in df.select("doc_id", match_spans(safe_text(F.col("text")), pattern).alias("m")).collect():
+        assert [(s["s"], s["e"]) for s in r["m"]] == [m.span() for m in re.finditer(pattern, texts[r["doc_id"]])], texts[r["doc_id"]]
+    long = spark.createDataFrame([(1, "서울 " * 330_000), (2, "서울 " * 330_000 + "1번지")], "doc_id int, text string").coalesce(1)
+    detect(long.limit(0)).collect()
+    began = time.time()
+    sizes = {r["doc_id"]: r["n"] for r in detect(long).select("doc_id", F.size("matches").alias("n")).collect()}
+    assert sizes == {1: 0, 2: 1} and time.time() - began < 20

@@ -43,51 +43,23 @@ def test_document_report(spark):
     assert r.preview.endswith("...") is False  # blocked answer is the short message
 
 
-def test_allowlist_impact_long_path_equals_inline(spark):
-    from conftest import SF_SMALL
-    from piisift.operators.reports import allowlist_impact_table
-    from piisift.plans import catalog, inputs
-
-    texts = inputs.all_texts(spark, SF_SMALL)
-    allow = catalog._extended_allow(spark, SF_SMALL)
-    inline = allowlist_impact_table(texts, allow)
-    longp = allowlist_impact_table(texts, allow, max_inline=0)
-    cols = sorted(inline.columns)
-    assert sorted(longp.columns) == cols
-    a = sorted(tuple(r[c] for c in cols) for r in inline.collect())
-    b = sorted(tuple(r[c] for c in cols) for r in longp.collect())
-    assert a == b and any(r[cols.index("delta")] != 0 for r in a)
-
-
-def test_allowlist_antijoin_broadcast_and_shuffled_agree(spark):
-    from conftest import SF_SMALL
-    from piisift.operators.longform import filter_allowlisted
-    from piisift.plans import catalog, inputs
-
-    c = catalog._candidates_long(inputs.all_texts(spark, SF_SMALL), {"PHONE", "EMAIL", "ACCOUNT"}, allowlist=False)
-    allow = catalog._extended_allow(spark, SF_SMALL)
-    small = filter_allowlisted(c, allow)
-    shuffled = filter_allowlisted(c, allow, max_broadcast_bytes=0)
-    assert "BroadcastExchange" not in shuffled._jdf.queryExecution().executedPlan().toString()
-    a = sorted(map(tuple, small.collect()))
-    assert a == sorted(map(tuple, shuffled.collect())) and len(a) < c.count()
-
-
-def test_detect_with_allowlist_table_inline_and_join_agree(spark):
-    from conftest import SF_SMALL
-    from piisift.operators.detect import detect
-    from piisift.operators.guard import guard
-    from piisift.plans import catalog, inputs
-
-    texts = inputs.all_texts(spark, SF_SMALL)
-    allow = catalog._extended_allow(spark, SF_SMALL)
-
-    def rows(df):
-        return sorted((r.doc_id, tuple((m.ptype, m.span_start, m.span_end) for m in r.matches)) for r in df.collect())
-
-    inline = rows(detect(texts, allowlist_table=allow))
-    joined = rows(detect(texts, allowlist_table=allow, max_inline=0))
-    plain = rows(detect(texts))
-    assert inline == joined and inline != plain
-    g = guard(texts, allowlist_table=allow).where("pii_score > 0").count()
-    assert g > 0
+def test_pieces_are_the_document(spark):
+    from piisift.sources.texts import document_pieces, piece_offsets
+    from pyspark.sql import functions as F
+
+    rows = [("hot", i, "" if i % 7 == 0 else "h" * (i % 9 + 1)) for i in range(1, 3000)]
+    rows += [("gaps", i * 13, "g" * (i % 5)) for i in range(1, 300)] + [("one", 1, "x"), ("none", 1, ""), ("null", 1, None), (None, 2, "b"), (None, 1, "a"), ("two", 1, "b"), ("two", 1, "a")]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string").repartition(5)
+    whole = {r.doc_id: r.text for r in assemble_documents(pages).collect()}
+    for size in (1, 4, 64):
+        pieces = document_pieces(pages, piece_pages=size)
+        got = {}
+        for r in sorted(pieces.collect(), key=lambda r: r.piece):
+            got.setdefault(r.doc_id, []).append((r.piece, r.part))
+        assert {d: "\n".join(p for _, p in ps) for d, ps in got.items()} == whole
+        at = {(r.doc_id, r.piece): (r.offset, r.chars) for r in piece_offsets(pieces, F.length("part"), group=3).collect()}
+        for d, ps in got.items():
+            for piece, part in ps:
+                offset, chars = at[d, piece]
+                assert whole[d][offset : offset + chars] == part
+    assert document_pieces(pages.limit(0)).count() == 0

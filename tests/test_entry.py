@@ -7,6 +7,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as entry_mod
 from piisift.plans.catalog import QUERIES as CATALOG
 from piisift.plans.oracle import oracle_sql as catalog_sql
+from tools.plan_report import facts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -29,8 +30,14 @@ def test_every_query_matches_oracle(spark):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     duck = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    seen = set()
     for name, fn in qs.items():
+        if fn in seen:  # a second name for the same query
+            continue
+        seen.add(fn)
         df = fn(spark, SF_SMALL)
+        if not name.startswith("stream_"):  # no regex work in filters or generators: it would run once more
+            assert facts(df._jdf.queryExecution().executedPlan().toString())["regex_in_filter"] == 0, name
         types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sqls[name]}").fetchall()}
         assert {c: duck.get(t, t) for c, t in df.dtypes} == types, name
         cols = sorted(df.columns)

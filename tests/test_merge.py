@@ -28,7 +28,7 @@ span = st.tuples(st.integers(0, 40), st.integers(1, 12), st.sampled_from([0.5, 0
 lists = st.lists(span, min_size=0, max_size=12)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(lists, min_size=1, max_size=20))
 def test_fold_equals_model_and_islands(spark, docs):
     rows = []
@@ -77,3 +77,23 @@ def test_long_lists_use_islands_and_match_model(spark):
     got = {r.doc: [m.ord for m in r.merged] for r in arr.select("doc", merge_matches(F.col("ms")).alias("merged")).collect()}
     for d, ms in enumerate(docs):
         assert got[d] == model_merge(ms), d
+
+
+def test_rows_of_one_text_over_many_parts_match_model(spark):
+    """Parts of a few positions: islands that cross one or many borders, and spans longer than a part."""
+    import random
+
+    rnd = random.Random(5)
+    docs = []
+    for d in range(30):
+        n, wide = rnd.choice([5, 60, 300]), rnd.choice([3, 12, 80])
+        ms = [(s, s + rnd.randint(1, wide), rnd.choice([0.5, 0.6, 0.8, 0.9, 0.95])) for s in (rnd.randint(0, n * rnd.choice([2, 6])) for _ in range(n))]
+        docs.append(ms)
+    rows = [(d if d else None, s, e, i, "T", "v", c, "regex") for d, ms in enumerate(docs) for i, (s, e, c) in enumerate(ms)]
+    long = spark.createDataFrame(rows, "doc long, span_start int, span_end int, ord int, ptype string, value string, confidence double, source string").repartition(4)
+    for chars in (1, 7, 50):
+        got = {}
+        for r in merge_long(long, ["doc"], part_chars=chars).orderBy("doc", "span_start").collect():
+            got.setdefault(r.doc or 0, []).append(r.ord)
+        assert got == {d: model_merge(ms) for d, ms in enumerate(docs)}
+    assert merge_long(long.limit(0), ["doc"]).count() == 0
