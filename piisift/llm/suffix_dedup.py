@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import BASE, byte_values, cut, mix64, spans_of, text_array, text_slices
+from piisift.llm.common import BASE, byte_values, cut, give_back, mix64, spans_of, text_array, text_slices
 from piisift.llm.grouping import common_prefixes, suffix_array
 
-#: Bytes of an anchor; bytes of text hashed at once; runs in one suffix array (larger groups are cut into parts); runs gathered per array.
-GRAM, SLICE, PART, GATHER = 24, 4 << 20, 4096, 8192
+#: Bytes of an anchor; bytes of text hashed at once (of a longer text: windows at once); runs in one suffix array (larger groups are cut into parts); runs gathered per array.
+GRAM, SLICE, PART, GATHER = 24, 1 << 20, 4096, 8192
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -93,6 +93,19 @@ def _runs(length: int):
     reach = length // 2
     names = ["cls", "check", "k", "d", "p0", "p1", "a"]
 
+    def runs(part: pa.RecordBatch, hasher: Hasher, data: np.ndarray, ends: np.ndarray, first: int) -> pa.RecordBatch:
+        hasher.load(data)
+        text, p0, p1, a = runs_of(hasher, data, ends, length)
+        kernel = hasher.ranges(a, a + (length - reach + 1))
+        whole = hasher.ranges(p0, p1 + length) + mix64(((a - p0) * length + (a - p1)).astype(np.uint64))
+        use, begin = np.unique(text, return_index=True)
+        offsets = pa.array(np.append(begin, len(text)), pa.int32())
+        base = ends[:-1][text] - first
+        columns = [part.column(0).take(pa.array(use)), part.column(1).take(pa.array(use))]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64), pa.int64())) for x in (kernel, whole)]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(x - base, pa.int32())) for x in (p0, p1, a)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(), set()
         for batch in batches:
@@ -105,19 +118,16 @@ def _runs(length: int):
                         fresh.append(i)
                 part = part.take(pa.array(fresh, pa.int64()))
                 data, ends = spans_of(text_array(part).cast(pa.large_binary()))
-                if len(data) < length:
+                if part.num_rows > 1 or len(data) < SLICE + length:
+                    if len(data) >= length:
+                        yield runs(part, hasher, data, ends, 0)
                     continue
-                hasher.load(data)
-                text, p0, p1, a = runs_of(hasher, data, ends, length)
-                kernel = hasher.ranges(a, a + (length - reach + 1))
-                whole = hasher.ranges(p0, p1 + length) + mix64(((a - p0) * length + (a - p1)).astype(np.uint64))
-                use, begin = np.unique(text, return_index=True)
-                offsets = pa.array(np.append(begin, len(text)), pa.int32())
-                base = ends[:-1][text]
-                columns = [part.column(0).take(pa.array(use)), part.column(1).take(pa.array(use))]
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64), pa.int64())) for x in (kernel, whole)]
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(x - base, pa.int32())) for x in (p0, p1, a)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                # a long text, ``SLICE`` windows at a time; a run that goes on in the next part is two runs, whose windows lie apart
+                for at in range(0, len(data) - length + 1, SLICE):
+                    piece = data[at : at + SLICE + length - 1]
+                    yield runs(part, hasher, piece, np.array([0, len(piece)]), at)
+        del hasher, seen
+        give_back()
 
     return task
 
@@ -138,6 +148,7 @@ def _contexts(length: int):
                     p0, p1, a = w["p0"], w["p1"], w["a"]
                     rows.append((w["k"], w["part"], w["parts"], cls, check, p0, p1, a, w["shared"], data[p0:a][::-1], data[a + kernel : p1 + length]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        give_back()
 
     return task
 
@@ -247,6 +258,8 @@ def _decide(length: int):
                 held[-1].append(row)
                 size += 1
         yield decided([g for g in held if len(g) > 1 or g[0]["parts"] > 1])
+        del held
+        give_back()
 
     return task
 
@@ -275,6 +288,7 @@ def _removed(length: int):
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        give_back()
 
     return task
 
@@ -285,7 +299,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     Texts are UTF-8 bytes; null is empty.  Matches never cross documents;
     repeats within a document count; overlaps count; all strings are judged on
     the input.  A repeated row is a copy of the other.  Null ids pass through.
-    Extra columns are not read; an empty table gives an empty result.
+    A very long text is read ``SLICE`` windows at a time.  Extra columns are not
+    read; an empty table gives an empty result.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit(""))
