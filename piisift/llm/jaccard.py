@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from piisift.functions.bloom import bloom_filter, passes
 from piisift.llm.common import BASE, cut, give_back, mix64, split_words, text_array, text_slices, word_hashes
 from piisift.llm.components import connected_components
 
@@ -45,7 +46,7 @@ def ngram_hashes(counts: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndar
     place = np.arange(len(words)) - np.repeat(ends - counts, counts)
     rolled = np.zeros(len(words), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(k):  # the last words of a document take what is left of it, used only where the document is short
+        for j in range(min(k, len(words))):  # the last words of a document take what is left of it, used only where the document is short
             rolled[: len(words) - j] = np.where(place[: len(words) - j] + j < counts[owner[: len(words) - j]], rolled[: len(words) - j] * BASE + words[j:], rolled[: len(words) - j])
         width = np.minimum(counts, k)[owner].astype(np.uint64)
         rolled = mix64(rolled + mix64(width))
@@ -154,11 +155,18 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _fingerprints(k: int, num: int, den: int):
+    """Set sizes, classes and signatures; of a class only the first document of the task brings its signatures."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part, hashes, sizes, cls in _documents(batch, k):
-                sig, per = signatures(hashes, sizes, bands)
+                _, first = np.unique(cls, return_index=True)
+                fresh = np.zeros(len(cls), dtype=bool)
+                fresh[first] = True
+                fresh &= ~np.isin(cls, seen)
+                seen = np.concatenate([seen, cls[fresh]])
+                sig, per = signatures(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), bands)
                 columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), _lists(sig.view(np.int64), per)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "cls", "sigs"])
         give_back()
@@ -326,12 +334,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     met = prints.select(F.explode("sigs").alias("sig"), "cls")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(partitions, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_meetings, "u long, v long")
+    met = cut(met.repartition(partitions, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_meetings, "u long, v long"))
 
     # one document per class of a cluster brings its whole set
     wanted = _clusters(met, classes)
-    wanted = wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("text", "cls", "root", "tiles")
+    wanted = cut(wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t")))
+    held = bloom_filter(wanted, ["i", "t"])  # most texts are in no cluster and stay where they are
+    texts = source.where(passes(held, 0, lambda test: test(F.col("doc_id"), F.col("text_hash")))).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("text", "cls", "root", "tiles")
     sets = texts.mapInArrow(_sets(k), "root long, tiles int, cls long, data binary")
     linked = connected_components(_links(sets, num, den))
 
