@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before them, so many that no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared checkpoint folder and reads it back (lineage ends there)."""
     checkpoint_dir(df.sparkSession)

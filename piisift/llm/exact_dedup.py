@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import cut
+from piisift.llm.common import cut, unused
 
 #: Repeated texts (about 100 bytes each) up to which their list is broadcast; beyond, the joins exchange both sides.
 BROADCAST_ROWS = 200_000
@@ -92,7 +92,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the ``largest`` (or ``smallest``) id stays; of
     rows that repeat that id and text one stays.  Null texts equal empty ones.
     """
-    names = [f"_{len(docs.columns)}_{c}" for c in ("sha", "bytes", "check", "id")]
+    names = unused(docs.columns, "sha", "bytes", "check", "id")
     marked = docs.select("*", *[c.alias(n) for c, n in zip(_class_columns(F.col(text_col)), names, strict=False)], F.col(id_col).alias(names[3]))
     thin = marked.select(
         *[F.col(n).alias(c) for n, c in zip(names, [*CLASS, "doc_id"], strict=True)],
@@ -100,10 +100,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.spark_partition_id().alias("_lane"),
     )
     kept = merge_runs(thin, keep).where("group_size > 1")
-    kept = cut(kept.select(*[F.col(c).alias(f"k{n}") for c, n in zip(CLASS, names, strict=False)], F.col("best.id").alias(f"k{names[3]}")))
+    others = unused([*docs.columns, *names], *[f"kept_{n}" for n in names])
+    kept = cut(kept.select(*[F.col(c).alias(n) for c, n in zip(CLASS, others, strict=False)], F.col("best.id").alias(others[3])))
     if kept.count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)  # then only the rows that stay of repeated texts are exchanged
-    same = [F.col(n).eqNullSafe(F.col(f"k{n}")) for n in names]
+    same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names, others, strict=True)]
     text = same[0] & same[1] & same[2]
     alone = marked.join(kept, text, "left_anti")
     stay = marked.join(kept, text & same[3], "left_semi").dropDuplicates(names)
