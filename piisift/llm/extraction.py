@@ -8,7 +8,8 @@ learnt from labelled pages, those whose markup names its main part (``main`` or
 Elements that never hold the article (scripts, styles, forms, navigation,
 headers, footers, asides, by element or role) are left out of the text wherever
 they are, and their words count against the region unless they lie inside the
-part that the markup names.  Classes and ids that name
+part that the markup names.  A form around most of the page's words is no form
+in this sense, and a button inside a paragraph is part of its sentence.  Classes and ids that name
 a sidebar, notice, advert or comments of readers only make a kind of their own
 of the blocks inside: they are left out if its weight, learnt like the others,
 is negative.
@@ -38,11 +39,11 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = set("script style textarea title noscript iframe noembed noframes xmp".split())
-SKIPPED = set("head script style noscript template iframe object svg math canvas form button select textarea nav header footer aside menu dialog audio video map search".split())
+SKIPPED = set("head script style noscript template iframe object svg canvas button select textarea nav header footer aside menu dialog audio video map search".split())
 CONTAINERS = set("article blockquote body center div main section table td".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "optgroup", "noscript", "template", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-#: What a page puts around its main part: entering main ends the skip, entering article that of a form.
-AROUND_MAIN = set("form nav header footer aside search".split())
+#: What a page puts around its main part: entering main ends the skip.
+AROUND_MAIN = set("nav header footer aside search".split())
 SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 #: Whole class or id tokens (all their parts) that speak against an element.
 BOILERPLATE = re.compile(
@@ -53,18 +54,6 @@ BOILERPLATE = re.compile(
 #: An element with more than this share of the page's words is a wrapper, whatever its class says.
 WRAPPER = 0.75
 HEADINGS = set("h1 h2 h3 h4 h5 h6 p".split())
-MAIN = set("form nav header footer aside search".split())
-SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-#: Whole class or id tokens (all their parts) that speak against an element.
-BOILERPLATE = re.compile(
-    r"(?:(?:^|[-_])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|rail|widgets?"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|toolbar|skip"
-    r"|aside|copyright|complementary|contentinfo|search|alert|alertdialog|dialog))+"
-)
-#: An element with more than this share of the page's words is a wrapper, whatever its class says.
-WRAPPER = 0.75
-HEADINGS = set("h1 h2 h3 h4 h5 h6 p".split())
-OWN_HEADER = re.compile(r"(?:entry|post|article|story|content|page)[-_]*header")
 MAIN = re.compile(r"(?<![a-z])(?:main|articlebody)(?![a-z])")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -88,6 +77,8 @@ class Page:
         self.skipping: list[str] = []  # skipped elements on the stack ("": not shown at all)
         self.hints: list[int] = []  # numbers of hinted elements on the stack
         self.hinted: list[tuple[int, ...]] = []  # those of each block
+        self.forms: list[int] = []  # numbers of forms on the stack
+        self.formed: list[tuple[int, ...]] = []  # those of each block
         self.open: Counter = Counter()  # elements on the stack by name
         self.kinds, self.around = [], []  # block elements and numbers of containers on the stack
         self.mains = self.muted = 0  # muted: skipped elements inside a block, whose words are no part of it
@@ -113,15 +104,22 @@ class Page:
                     at = end.start()
         self._words(source[at:].partition("<!--")[0])
         self._end_block()
-        if any(self.hinted):
-            within, total = Counter(), 0
-            for (text, _, _, skipped, *_), hints in zip(self.blocks, self.hinted, strict=True):
-                if not skipped:
-                    within.update(dict.fromkeys(hints, text.count(" ") + 1))
-                    total += text.count(" ") + 1
-            for i, hints in enumerate(self.hinted):
-                if any(within[h] <= WRAPPER * total for h in hints):
-                    self.blocks[i] = (self.blocks[i][0], self.blocks[i][1] + "+hint", *self.blocks[i][2:])
+        prose = [b[1] in HEADINGS for b in self.blocks]  # a form is around the page if it is around its paragraphs
+        for i in self._inside_small(self.formed, prose if any(prose) else [True] * len(prose)):
+            self.blocks[i] = (*self.blocks[i][:3], True, *self.blocks[i][4:])
+        for i in self._inside_small(self.hinted, [True] * len(prose)):
+            self.blocks[i] = (self.blocks[i][0], self.blocks[i][1] + "+hint", *self.blocks[i][2:])
+
+    def _inside_small(self, numbers: list[tuple[int, ...]], counted: list[bool]) -> list[int]:
+        """Blocks inside a numbered element that does not hold more than ``WRAPPER`` of the words shown in ``counted`` blocks."""
+        if not any(numbers):
+            return []
+        within, total = Counter(), 0
+        for (text, _, _, skipped, *_), around, counts in zip(self.blocks, numbers, counted, strict=True):
+            if counts and not skipped:
+                within.update(dict.fromkeys(around, text.count(" ") + 1))
+                total += text.count(" ") + 1
+        return [i for i, around in enumerate(numbers) if any(within[n] <= WRAPPER * total for n in around)]
 
     def _words(self, text: str) -> None:
         if text and not self.muted:
@@ -135,15 +133,16 @@ class Page:
             kind = (self.kinds[-1] if self.kinds else "") + ("+link" if 2 * self.link_chars > self.chars else "")
             self.blocks.append((text, kind, self.tags, bool(self.skipping), self.mains > 0, tuple(self.around)))
             self.hinted.append(tuple(self.hints))
+            self.formed.append(tuple(self.forms))
             self.tags = 0
         self.text, self.link_chars, self.chars = [], 0, 0
 
     def _push(self, name: str, skipped: bool, main: bool, hinted: bool, shown: bool) -> None:
         around = None
         if main and not self.mains:
-            around = self.skipping, self.hints
-            ends = {"form"} if name == "article" else AROUND_MAIN
-            self.skipping, self.hints = [x for x in self.skipping if x not in ends], []
+            around = self.skipping, self.hints, self.forms
+            ends = set() if name == "article" else AROUND_MAIN
+            self.skipping, self.hints, self.forms = [x for x in self.skipping if x not in ends], [], []
         self.stack.append((name, skipped, main, hinted, around))
         self.open[name] += 1
         self.muted += skipped and name not in BLOCKS
@@ -153,6 +152,8 @@ class Page:
             self.skipping.append(name if shown else "")
         if hinted:
             self.hints.append(self.elements)
+        if name == "form":
+            self.forms.append(self.elements)
         if name in BLOCKS:
             self.kinds.append(name)
         if name in CONTAINERS:
@@ -167,8 +168,10 @@ class Page:
             self.skipping.pop()
         if hinted:
             self.hints.pop()
+        if name == "form":
+            self.forms.pop()
         if around:
-            self.skipping, self.hints = around
+            self.skipping, self.hints, self.forms = around
         if name in BLOCKS:
             self.kinds.pop()
         if name in CONTAINERS:
@@ -186,7 +189,7 @@ class Page:
         if name in VOID:
             return
         inside = self.mains > 0  # an article's own header is part of it
-        skipped, main = name in SKIPPED and not (name == "header" and inside), name in ("main", "article")
+        skipped, main = name in SKIPPED and not (name == "header" and inside) and not (name == "button" and self.open["p"]), name in ("main", "article")
         shown, hinted = True, False
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
@@ -227,9 +230,10 @@ class Scores:
     """Weights of words by the kind of their block, and of a tag; learnt as log odds from labelled pages.
 
     ``words``: per kind, words inside and outside the main part (skipped
-    elements not counted); ``tags``: tags inside and outside.  Few counts stay
-    near the weights of an unknown kind: 0.5, and -0.5 if it is mostly links or of a
-    boilerplate class.
+    elements not counted); ``tags``: tags inside and outside; of the tags
+    before a block at most four count against it, since wrappers nest deeper
+    than that around any first block.  Few counts stay near the weights of an
+    unknown kind: 0.5, and -0.5 if it is mostly links or of a boilerplate class.
     """
 
     def __init__(self, words: dict[str, tuple[int, int]], tags: tuple[int, int], prior: float = 50.0):
