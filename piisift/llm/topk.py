@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key, vector = F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")
-    good = vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col)) & (F.size(vector_col) > 0))
+    good = vectors.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col)))
     asked = good.where(is_query).groupBy(key).agg(F.min(vector_col).alias("vector"))
     layout = "block long, dim int, n int, ids binary, floors binary, data binary, top binary, low binary"
     none = F.lit(NO_FLOOR).cast("long").alias("floor")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piisift.llm.common import give_back, mix64, split_words, text_array, text_slices
+from piisift.llm.common import count_words, give_back, mix64, split_words, text_array, text_slices
 from piisift.llm.labelled import fit_line, fit_on_sample, logistic
 
 BUCKET_BITS, DIM, SPAN, STEP, CHUNK_WORDS = 17, 8, 16, 8, 20_000
@@ -114,7 +114,8 @@ def train(texts: pa.Array, y: np.ndarray, share: float, seed: int = 7) -> Toxici
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     fit = np.arange(len(y)) % 5 != 0
-    if not fit.any() or y[fit].min() == y[fit].max():
+    worded = bool(count_words(texts.filter(pa.array(fit))).any()) if fit.any() else False
+    if not worded or y[fit].min() == y[fit].max():
         return ToxicityModel(np.zeros(size), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fit_texts, fit_y = texts.filter(pa.array(fit)), y[fit]
     counts, codes, words = coded_words(fit_texts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from piisift.llm.exact_dedup import drop_copies, exact_groups
 from piisift.llm.grouping import common_prefixes, suffix_array
-from piisift.llm.jaccard import Bands, one_of_each_group, signatures, similar_groups
+from piisift.llm.jaccard import Bands, ngram_hashes, one_of_each_group, signatures, similar_groups
 from piisift.llm.suffix_dedup import remove_repeats
 from piisift.llm.topk import top_k
 
@@ -31,6 +31,12 @@ def test_exact_groups(docs, keep):
     assert len(kept) == len(by_text) and all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+def test_drop_copies_with_clashing_columns(spark):
+    rows = [(1, "x", "a", 7, 8, 9), (2, "x", "b", 7, 8, 9), (3, "y", "c", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _4_sha int, __bytes int, kept__sha int")
+    assert sorted(map(tuple, drop_copies(df, keep="smallest").collect())) == [rows[0], rows[2]]
+
+
 def test_drop_copies_keeps_columns_and_one_row_a_text(docs, no_docs):
     out = drop_copies(docs, keep="smallest")
     assert out.columns == docs.columns
@@ -89,6 +95,26 @@ def test_similar_groups_on_edited_copies(spark, k, num):
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_few_words_in_all():
+    """Slices with fewer words than an n-gram, in one text or in several."""
+    for k in range(1, 7):
+        for total in range(2 * k + 1):
+            for counts in ([total], [0, total], [total // 2, 0, total - total // 2], [1] * total):
+                counts = np.array(counts, dtype=np.int64)
+                words = np.arange(1, int(counts.sum()) + 1, dtype=np.uint64)
+                hashes, sizes = ngram_hashes(counts, words, k)
+                assert sizes.tolist() == [0 if n == 0 else max(1, n - k + 1) for n in counts.tolist()] and len(hashes) == sizes.sum()
+
+
+@pytest.mark.parametrize("texts", [["a b c"], ["a b c", "A b c", None, "", "one", "x y", "x z"]])
+def test_tiny_tables(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    for k in (4, 5):
+        got = sorted((tuple(r) for r in similar_groups(df, k=k, threshold=(80, 100)).collect()), key=str)
+        assert got == brute_components(list(enumerate(texts)), k, 80, 100)
+    assert one_of_each_group(df).count() == len({(t or str(i)).lower() for i, t in enumerate(texts)})
+
+
 def test_similar_sets_share_a_signature():
     rng, bands = np.random.default_rng(2), Bands(85, 100)
     for _ in range(600):
@@ -136,15 +162,17 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("part", [4096, 3])
-def test_remove_repeats(spark, monkeypatch, part):
+@pytest.mark.parametrize("part,size", [(4096, 1 << 20), (3, 1 << 20), (4096, 150), (3, 500)])
+def test_remove_repeats(spark, monkeypatch, part, size):
+    """Also with suffix arrays of few runs, and with texts read a few windows at a time."""
     import piisift.llm.suffix_dedup as module
 
     monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(module, "SLICE", size)
     rng = random.Random(3)
     letters = "abcdeé "
     passages = ["".join(rng.choice(letters) for _ in range(n)) for n in (60, 80, 150, 400)]
-    texts = [None, "", "short", "x" * 300, "ab" * 120, passages[3], passages[3]]
+    texts = [None, "", "short", "x" * 300, "ab" * 120, passages[3], passages[3], "".join(rng.choice(letters) for _ in range(900)) + passages[2] + "".join(rng.choice(letters) for _ in range(700)) + passages[2]]
     for _ in range(60):
         t = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 200)))
         for _ in range(rng.randrange(0, 3)):
@@ -163,13 +191,13 @@ def test_remove_repeats(spark, monkeypatch, part):
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist(), "x") for i in range(130)]
-    rows += [(7, rows[7][1], "x"), (200, None, "x"), (210, [1.0, None, 0.0, 0.0, 0.0], "x"), (220, [float("nan")] * 5, "x"), (230, [float("inf")] * 5, "x"), (240, [1.0, 2.0], "x"), (None, [1.0] * 5, "x"), (250, [], "x")]
+    rows += [(7, rows[7][1], "x"), (200, None, "x"), (210, [1.0, None, 0.0, 0.0, 0.0], "x"), (220, [float("nan")] * 5, "x"), (230, [float("inf")] * 5, "x"), (240, [1.0, 2.0], "x"), (None, [1.0] * 5, "x"), (250, [], "x"), (251, [], "x")]
     rows += [(300 + i, [0.5] * 5, "x") for i in range(30)]  # ties
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
     got = {}
     for r in top_k(df, F.col("vec_id") % 10 == 0, k=10).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    good = [(i, [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    good = [(i, [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     for q, v in {i: v for i, v in good if i % 10 == 0}.items():
         other = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v)))[:10]
         assert got.pop(q, []) == [(n, i, -s) for n, (s, i) in enumerate(other, 1)]

@@ -90,6 +90,24 @@ def test_mixing(spark, docs, no_docs):
     assert mix_sources(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
 
 
+def test_mixing_with_clashing_columns(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 2}", "keep", 99, [1], 5, -1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string, size int, bands array<int>, copies int, _h int")
+    mixed = mix_sources(df)
+    assert set(mixed.columns) == {*df.columns, "source_size", "target"} and all(r["size"] == r["doc_id"] % 5 + 1 and r["bands"] == [1] for r in mixed.collect())
+    out = mixed_documents(df).collect()
+    assert out and all((r["taken"], r["size"], r["copies"], r["_h"]) == ("keep", 99, 5, -1) for r in out)
+
+
+def test_mixing_meets_targets_beside_a_long_document(spark):
+    """Half of a source is one document: targets that need it, or need it left out, are met all the same."""
+    for seed in range(3):
+        rows = [(i + 5000 * seed, "w " * 50, "a") for i in range(400)] + [(9000 + seed, "w " * 20_000, "a"), (9100 + seed, "w " * 30_000, "b")]
+        for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect():
+            nearest = 25 if r["source"] == "a" else 15_000
+            assert abs(r["n"] - r["t"]) <= nearest + 1
+
+
 def test_best_region():
     assert best_region([-1.0, 2.0, -1.0, 3.0, -5.0, 4.0]) == (1, 4) and best_region([-1.0]) == (0, 0) == best_region([])
 
@@ -106,6 +124,42 @@ def test_main_text():
     assert len(Page("<div>" * 20_000 + "x").blocks) == 1 and Page('<a "' * 20_000).blocks
 
 
+def test_forms_formulas_and_buttons():
+    scores = Scores({"p": (10_000, 10), "h1": (500, 5)}, (600, 20))
+    words = " ".join(f"w{i}" for i in range(60))
+    assert main_text(f"<body><form id=aspnet><div><p>{words}</p><p>{words}</p></div></form></body>", scores) == f"{words}\n\n{words}"
+    page = f"<body><article><p>{words} <math>a+b</math> so <button>holds</button></p><form><p>send me</p></form><p>{words}</p></article><button>Share</button></body>"
+    assert main_text(page, scores) == f"{words} a+b so holds\n\n{words}"
+
+
+def test_toxicity_of_texts_without_words():
+    model = toxicity.train(pa.array(["", " ", "\n", "", "", ""], pa.large_string()), np.array([0, 1, 0, 1, 0, 1]), 0.5)
+    assert np.isfinite(model.probability(pa.array(["", "some words"], pa.large_string()))).all()
+
+
+def test_long_words_are_spelled_side_by_side():
+    from piisift.llm import mixlm
+
+    rng = np.random.default_rng(1)
+    words = pa.array(["".join(chr(97 + x) for x in rng.integers(0, 4, n)) for n in (1, 63, 64, 65, 128, 5000)] + [""], pa.large_string())
+    bits = np.zeros(len(words), dtype=np.int64)
+    table = np.zeros((mixlm.SLOTS, 2), dtype=np.float32)
+    mixlm.count_slots(words, np.ones(len(words)), table)
+    for rows, *_ in mixlm.WordBits(words):
+        np.add.at(bits, rows, 1)
+    assert bits.tolist() == [8 * (len(w.as_py()) + 1) for w in words]  # all bytes and the closing one
+    assert table.sum() == mixlm.ORDERS * bits.sum()
+    model = mixlm.MixModel(table)
+    before = mixlm.WORD_PIECE
+    try:
+        whole = model.cost(words)
+        assert np.isfinite(whole).all() and (whole < 0).all()
+        mixlm.WORD_PIECE = 1 << 20
+        assert whole[:2] == pytest.approx(model.cost(words)[:2])  # up to one piece nothing differs
+    finally:
+        mixlm.WORD_PIECE = before
+
+
 def test_extract_text_on_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     rows = pages.select("page_id", "url", "html").union(spark.createDataFrame([(-1, None, None), (-1, None, None)], "page_id long, url string, html string"))
