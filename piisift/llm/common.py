@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from piisift.session import checkpoint_dir
+from piisift.session import checkpoint_dir, run_folder
 
 #: A word: a longest run of characters outside space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table of its own in the shared folder and reads it back: like :func:`cut`, and the planner knows its size."""
+    path = run_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spans_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes of all texts, offsets of the texts in them) of a large string or binary array without nulls."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]

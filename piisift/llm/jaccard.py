@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piisift.functions.bloom import bloom_filter, passes
-from piisift.llm.common import BASE, cut, give_back, mix64, split_words, text_array, text_slices, word_hashes
+from piisift.llm.common import BASE, cut, give_back, mix64, split_words, stored, text_array, text_slices, word_hashes
 from piisift.llm.components import connected_components
 
 #: Ids to drop up to which their list is broadcast; beyond, the join exchanges both sides.
 BROADCAST_ROWS = 1_000_000
 GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 512, 12 << 20
+#: Text bytes handled at once.
+SLICE = 2 << 20
 
 
 def ngram_hashes(counts: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +142,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.
 
 def _documents(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices with their distinct n-gram hashes, set sizes and class ids (a digest of the set)."""
-    for part in text_slices(batch):
+    for part in text_slices(batch, limit=SLICE):
         counts, words = split_words(text_array(part), lower=True)
         coded = words.dictionary_encode()
         hashed = word_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
@@ -279,6 +281,8 @@ def _join_tiles(num: int, den: int):
                 held[cls] = (data, int(tile != a))
             yield batch_of(links)
         yield batch_of(links_of(held, bands))
+        held = {}
+        give_back()
 
     return task
 
@@ -312,6 +316,7 @@ def _sets(k: int):
                 same = part.column(1).to_numpy() == cls
                 out = pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(1), pa.array(data, pa.binary())], names=["root", "tiles", "cls", "data"])
                 yield out.filter(pa.array(same))
+        give_back()
 
     return task
 
@@ -338,8 +343,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # one document per class of a cluster brings its whole set
     wanted = _clusters(met, classes)
-    wanted = cut(wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t")))
-    held = bloom_filter(wanted, ["i", "t"])  # most texts are in no cluster and stay where they are
+    wanted = stored(wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t")))
+    held = bloom_filter(wanted, ["i", "t"])  # most texts are in no cluster and stay where they are, also where the list is too long to broadcast
     texts = source.where(passes(held, 0, lambda test: test(F.col("doc_id"), F.col("text_hash")))).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("text", "cls", "root", "tiles")
     sets = texts.mapInArrow(_sets(k), "root long, tiles int, cls long, data binary")
     linked = connected_components(_links(sets, num, den))
