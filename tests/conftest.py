@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("piisift-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.piisift.inputPartitions", "4")  # else each of a union's tables compiles the whole detection
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
