@@ -32,7 +32,7 @@ from piisift.llm.components import connected_components
 
 #: Ids to drop up to which their list is broadcast; beyond, the join exchanges both sides.
 BROADCAST_ROWS = 1_000_000
-GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 2048, 32 << 20
+GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 8192, 24 << 20
 #: Text bytes handled at once.
 SLICE = 2 << 20
 
