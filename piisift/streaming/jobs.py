@@ -24,11 +24,12 @@ DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars
 def document_stream(
     spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, glob: str = "documents*.parquet"
 ) -> DataFrame:
-    """The ``documents`` parquet files of a directory as a stream of (doc_id, text)."""
-    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", glob)
+    """The ``documents`` parquet files of a directory, or the files in folders of that name, as a stream of (doc_id, text)."""
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    s = reader.parquet(sf_dir)
+    # in the path, not as a filter of names: the files of a table that is a folder are named otherwise
+    s = reader.parquet(f"{sf_dir.rstrip('/')}/{glob}")
     return s.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
 
 

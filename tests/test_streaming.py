@@ -55,3 +55,16 @@ def test_hybrid_guard_on_a_stream_equals_batch(spark):
     batch = hybrid_guard(batch_texts, responses).select("doc_id", "pii_score", "blocked", F.size("matches").alias("n"))
     assert streamed == sorted(map(tuple, batch.collect()))
     assert any(r[3] > 0 for r in streamed)
+
+
+def test_table_that_is_a_folder(spark):
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="piisift-folder-", dir="/tmp")
+    rows = [(i, f"call 010-1234-{i:04d}", "en", "web", 18) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{base}/documents.parquet")
+    for query in (catalog.stream_guard, catalog.stream_scrub):
+        got = query(spark, base).collect()
+        assert sorted(r.doc_id for r in got) == sorted(f"doc-{i}" for i in range(40))
+        assert all(r.n_matches == 1 for r in got)
