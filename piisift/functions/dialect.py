@@ -27,7 +27,18 @@ LEADING_RUN = re.compile(r"(\[(?:\\.|[^\]\\])+\])\+([^\\\[\](){}.*+?|^$])")
 
 
 def _class_body(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
+    """The characters as the inside of a class.  Java tests those below 256 by one bitmap and every
+    other item of a class in turn, so what is above is written as ranges."""
+    points = sorted(ord(c) for c in chars)
+    out = [f"\\x{{{p:X}}}" for p in points if p < 256]
+    high = [p for p in points if p >= 256]
+    while high:
+        n = 1
+        while n < len(high) and high[n] == high[0] + n:
+            n += 1
+        out.append(f"\\x{{{high[0]:X}}}" + (f"-\\x{{{high[n - 1]:X}}}" if n > 1 else ""))
+        high = high[n:]
+    return "".join(out)
 
 
 WS_BODY = _class_body(PY_WHITESPACE)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piisift.config import ALLOWLIST_KINDS, DetectorConfig
+from piisift.config import ALLOWLIST_KINDS, RULES, DetectorConfig
 from piisift.functions.matches import (
     empty_matches,
     make_match,
@@ -58,6 +58,12 @@ VALID_HINTS: dict[tuple[str, int], str] = {
     ("CARD", 0): r"\d(?:[\s-]*\d){12}",
 }
 
+#: Patterns that every match must contain, tried before the rule's own where they are cheaper to scan.
+RULE_HINTS: dict[tuple[str, int], str] = {
+    # a city's name: other letters fail on one range test
+    ("ADDRESS", 0): "(?=[가-힣])" + RULES[[r[0] for r in RULES].index("ADDRESS")][1].partition(")")[0] + ")",
+}
+
 GATE_COLUMNS = {
     "digit": lambda safe: safe.rlike(r"(?U)\d"),
     "hangul": lambda safe: safe.rlike("[가-힣]"),
@@ -209,6 +215,8 @@ def _build_candidates_column(text_col: str, config: DetectorConfig, types: set[s
         if use_gates:
             hint = VALID_HINTS.get((ptype, k)) if validate else None
             cond = has_match(safe, hint or pattern)
+            if (ptype, k) in RULE_HINTS:
+                cond = has_match(safe, RULE_HINTS[ptype, k]) & cond
             for g in RULE_GATES.get((ptype, k), ()):
                 cond = F.col(f"_g_{g}") & cond
             arr = F.when(cond, arr).otherwise(empty_matches())

@@ -439,11 +439,11 @@ QA_CHECKS = [
 def _checkable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' sheets, assistant turns, order notes and the allow-list's effect on suppliers' contacts, ready for checks."""
     parts = [
-        checkable(inputs.customer_records(spark, sf_dir), "contacts"),
+        checkable(inputs.dealt(spark, inputs.customer_records(spark, sf_dir)), "contacts"),
         checkable(inputs.conversation_turns(spark, sf_dir, role="assistant"), "answers"),
-        checkable(inputs.order_notes(spark, sf_dir), "orders"),
+        checkable(inputs.dealt(spark, inputs.order_notes(spark, sf_dir)), "orders"),
     ]
-    impact = allowlist_impact_table(inputs.supplier_contacts(spark, sf_dir), _extended_allow(spark, sf_dir))
+    impact = allowlist_impact_table(inputs.dealt(spark, inputs.supplier_contacts(spark, sf_dir)), _extended_allow(spark, sf_dir))
     types = {f.name: f.dataType for f in parts[0].schema.fields}
     given = {"doc_id": F.col("doc_id"), "source": F.lit("suppliers"), "score": F.col("score_after"), "delta": F.col("delta")}
     out = impact.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])

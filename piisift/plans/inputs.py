@@ -24,6 +24,21 @@ def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spread(df, int(wanted) if wanted else None)
 
 
+#: Tasks per core that texts are dealt out to.
+TASKS_PER_CORE = 4
+
+
+def dealt(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Dealt out to ``spark.piisift.inputPartitions`` tasks, else to ``TASKS_PER_CORE`` per core.
+
+    Texts made of the columns of small tables take far more time per byte than
+    a split allows for: a million customers come in one row group, so one task
+    would search all their sheets.
+    """
+    wanted = spark.conf.get("spark.piisift.inputPartitions", None)
+    return spread(df, int(wanted) if wanted else TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,10 +137,10 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return _spread(spark, out)
+    return dealt(spark, out)
 
 
-# Each table on its own.
+# Each table on its own; those that hold no text are as the scan gives them (see :func:`dealt`).
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,19 +152,19 @@ def conversation_turns(spark: SparkSession, sf_dir: str, role: str | None = None
 
 
 def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, _customer_records(spark, sf_dir))
+    return _customer_records(spark, sf_dir)
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, _order_notes(spark, sf_dir))
+    return _order_notes(spark, sf_dir)
 
 
 def supplier_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, _supplier_contacts(spark, sf_dir))
+    return _supplier_contacts(spark, sf_dir)
 
 
 def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, _part_addresses(spark, sf_dir))
+    return _part_addresses(spark, sf_dir)
 
 
 def extended_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,13 @@ def test_responses_for_every_text(spark):
     assert len(kinds) == 7
     for name in ("guard_response", "scrub_response"):
         assert {r["doc_id"].split("-")[0] for r in queries[name](spark, SF_SMALL).select("doc_id").collect()} == kinds
+
+
+def test_texts_are_dealt_out_without_a_setting(spark):
+    given = spark.conf.get("spark.piisift.inputPartitions")
+    spark.conf.unset("spark.piisift.inputPartitions")
+    try:
+        texts = inputs.all_texts(spark, SF_SMALL)
+        assert texts.rdd.getNumPartitions() == inputs.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.piisift.inputPartitions", given)
