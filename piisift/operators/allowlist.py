@@ -1,13 +1,13 @@
 """V4 with an allow-list given as a table of any size: filters inside the row expression, exact by a cascade.
 
-A Bloom filter over the list's ``(type, value)`` keys is made by one
-aggregation and tested in the row expression, so a text never moves for its
-allow-list.  What a filter lets through wrongly is found exactly: the distinct
-keys of the corpus that pass it (thin rows) are anti-joined with the list.  A
-second filter over those wrong keys takes them out again, a third one puts
-back listed keys that the second one caught, and so on until none is wrong.
-Each filter has the same fixed size, and each level is smaller by the filter's
-error rate, so two levels are rare below some hundred thousand entries.
+The distinct ``(type, value)`` keys of the corpus (thin rows) meet the list in
+one join.  A Bloom filter over those that are listed is made by one aggregation
+and tested in the row expression, so a text never moves for its allow-list, and
+entries that are in no text cost no more than that join.  A second filter over
+the other keys of the corpus that the first one lets through takes them out
+again, a third one puts back listed keys that the second one caught, and so on
+until none is wrong.  A filter grows with its keys, so each level is smaller by
+its error rate, and more than a few levels are rare.
 """
 
 from __future__ import annotations
@@ -38,30 +38,29 @@ Use = Callable[[Callable[[Column, Column], Column]], Column]
 def membership(keys: DataFrame, allow: DataFrame) -> Callable[[Use], Column]:
     """``listed(use)`` with ``use(test)``: exact membership in the list, for the keys in ``keys`` (the corpus' candidates).
 
-    ``keys`` are ``(ptype, value)`` rows, repeated as they come; only those
-    that pass the first filter are exchanged, combined by key before.  Keys
-    with a null are in no list.  The driver holds one filter per level.
+    ``keys`` are ``(ptype, value)`` rows, repeated as they come, combined by
+    key before they are exchanged.  Keys with a null are in no list.  The
+    driver holds one filter per level.
     """
     checkpoint_dir(keys.sparkSession)
-    listed = typed_allowlist(allow)
     filters: list[bytes] = []
 
+    def add_filter(rows: DataFrame) -> None:
+        filters.append(bloom_filter(rows, KEY, len(filters), rows.count()))
+
     def held(rows: DataFrame) -> DataFrame:
         """The rows that the newest filter lets through."""
-        return rows.where(passes(filters[-1], len(filters) - 1, lambda test: test(F.col("ptype"), F.col("value"))))
-
-    filters.append(bloom_filter(listed, KEY))
-    passing = held(keys).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
-    names = listed.select(*[F.col(c).alias(f"_{c}") for c in KEY])
-    wrong = passing.join(names, same, "left_anti").checkpoint(eager=True)
-    right = None
+        return rows.where(passes(filters[-1], len(filters) - 1, lambda test: test(F.col("ptype"), F.col("value")))).checkpoint(eager=True)
+
+    entries = typed_allowlist(allow).withColumn("_listed", F.lit(True))
+    known = keys.where(F.col("ptype").isNotNull() & F.col("value").isNotNull()).distinct().join(entries, KEY, "left").checkpoint(eager=True)
+    right = known.where("_listed").select(*KEY)
+    add_filter(right)
+    wrong = held(known.where(F.col("_listed").isNull()).select(*KEY))
     while not wrong.isEmpty():
-        filters.append(bloom_filter(wrong, KEY, len(filters)))
-        if right is None:
-            right = passing.join(names, same, "left_semi").checkpoint(eager=True)
+        add_filter(wrong)
         # the keys that the new filter should not hold, of those that every filter so far held
-        wrong, right = held(right).checkpoint(eager=True), wrong
+        wrong, right = held(right), wrong
 
     def use_from(level: int, use: Use) -> Column:
         """``use`` with the test that the filters from ``level`` on give together."""

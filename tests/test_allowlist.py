@@ -89,3 +89,14 @@ def test_antijoin_of_match_rows(spark):
     listed = {(ALLOWLIST_KINDS[k], v) for k, vs in as_lists(allow).items() for v in vs}
     kept = sorted((r.doc_id, r.ptype, r.value, r.span_start) for r in filter_allowlisted(c, allow).collect())
     assert kept == sorted((r.doc_id, r.ptype, r.value, r.span_start) for r in c.collect() if (r.ptype, r.value) not in listed)
+
+
+def test_entries_in_no_text_do_not_crowd_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "FILTER_BITS", 1 << 15)
+    made = []
+    monkeypatch.setattr(allowlist, "bloom_filter", lambda *a, **kw: made.append(bloom.bloom_filter(*a, **kw)) or made[-1])
+    allow = spark.range(200_000).select(F.lit("phones").alias("kind"), F.concat(F.lit("011-"), F.col("id").cast("string")).alias("value"))
+    df = spark.range(20_000).select(F.lit("PHONE").alias("ptype"), F.concat(F.lit("011-"), (F.col("id") * 20).cast("string")).alias("value"))
+    test = allowlist.membership(df, allow)
+    assert df.where(test(lambda t: t(F.col("ptype"), F.col("value")))).count() == 10_000
+    assert len(made) <= 4 and len(made[0]) >= 2 * 10_000
