@@ -8,12 +8,17 @@
    n-grams (the groups outnumber the differences that the threshold allows).
    Equal groups meet by their digest.  Sizes are handled in bands; a class joins
    its own band and, where a partner can be larger, the next.
-3. Classes that met, directly or not, form a cluster.  Inside a cluster (large
-   ones are dealt out as pairs of tiles) the group counts of each set are a
-   point; an R-tree over the points bounds the overlap of a set with a whole
-   box by the sum of coordinate minima.  Pairs that survive are verified on the
-   full sets, unless already linked through others.
-4. The verified links give the components.
+3. Classes that met in a band, directly or not, form a cluster.  A passage that
+   many texts share makes large ones of unlike sets, so inside a cluster sketches
+   are compared first: one or two bits an n-gram, each the parity of the n-grams
+   that fall on it.  Two sketches differ in no more bits than the sets differ in
+   n-grams, so a pair that differs in too many is dropped and no other.
+4. Classes that are left, directly or not, form clusters again; these bring their
+   whole sets.  Inside a cluster (large ones are dealt out as pairs of tiles) the
+   group counts of each set are a point; an R-tree over the points bounds the
+   overlap of a set with a whole box by the sum of coordinate minima.  Pairs that
+   survive are verified on the full sets, unless already linked through others.
+5. The verified links give the components.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piisift.functions.bloom import bloom_filter, passes
@@ -35,6 +40,8 @@ BROADCAST_ROWS = 1_000_000
 GROUPS, LEAF, TILE_CLASSES, TILE_BYTES = 64, 16, 8192, 24 << 20
 #: Text bytes handled at once.
 SLICE = 2 << 20
+#: Signatures that a task gathers before it deals them out, and n-grams whose signatures meet at once.
+GATHERED, PART_NGRAMS = 1 << 20, 4 << 20
 
 
 def ngram_hashes(counts: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +81,10 @@ class Bands:
             starts.append(max(starts[-1] + 1, ceil(1.25 * starts[-1])))
         self.starts = np.array(starts, dtype=np.int64)
 
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        """The band of each size."""
+        return np.searchsorted(self.starts, sizes, side="right") - 1
+
     def need(self, total):
         """Least overlap of two sets whose sizes sum to ``total``: num * union <= den * overlap."""
         return -(-self.num * total // (self.den + self.num))
@@ -96,7 +107,14 @@ class Bands:
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures of all documents in order, how many each has).
+    """(signatures of all documents in order, how many each has)."""
+    sig, doc, _ = banded_signatures(hashes, sizes, bands)
+    order = np.argsort(doc, kind="stable")
+    return sig[order], np.bincount(doc, minlength=len(sizes))
+
+
+def banded_signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, the document of each, its band).
 
     Two sets within the threshold share a signature.  Both use the same groups
     of the larger one's band and differ in at most ``allowed`` of ``m`` groups;
@@ -104,8 +122,8 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.
     of the equal groups is strong, and both emit it.  A document that has more
     weak groups emits for a second, third, ... hash as well, until it has not.
     """
-    out_sig, out_doc = [], []
-    own = np.searchsorted(bands.starts, sizes, side="right") - 1
+    out_sig, out_doc, out_band = [], [], []
+    own = bands.of(sizes)
     starts = np.cumsum(sizes) - sizes
     reach = sizes * bands.den // bands.num  # the largest partner
     for step in (0, 1):
@@ -132,12 +150,24 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.
             key = digest ^ mix64((band[of].astype(np.uint64) << np.uint64(40)) ^ (number.astype(np.uint64) << np.uint64(8)) ^ np.uint64(seed % 251))
             out_sig.append(mix64(key + filled.astype(np.uint64))[strong])
             out_doc.append(docs[of[strong]])
+            out_band.append(band[of[strong]])
             weak = m - np.bincount(of[strong], minlength=len(docs))
             again = weak >= m - allowed
             docs, band = docs[again], band[again]
-    sig, doc = np.concatenate([*out_sig, np.zeros(0, np.uint64)]), np.concatenate([*out_doc, np.zeros(0, np.int64)]).astype(np.int64)
-    order = np.argsort(doc, kind="stable")
-    return sig[order], np.bincount(doc, minlength=len(sizes))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*out_sig, np.zeros(0, np.uint64)]), np.concatenate([*out_doc, none]).astype(np.int64), np.concatenate([*out_band, none]).astype(np.int64)
+
+
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all documents' sketches in order, how many each has): bit i is the parity of the hashes that end in i.
+
+    A power of two of bits, at least as many as hashes and 64; no hashes, no sketch.
+    """
+    width = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), 0)
+    begins = np.repeat((np.cumsum(width) - width) * 64, sizes)
+    bit = (hashes & (np.repeat(width, sizes).astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    odd = np.bincount(begins + bit, minlength=int(width.sum()) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), width
 
 
 def _documents(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -152,46 +182,144 @@ def _documents(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch,
         yield part, hashes, sizes, mix64(cls + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64()))
+def _first_of_each(cls: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Whether a class comes for the first time and is not in ``seen``."""
+    fresh = np.zeros(len(cls), dtype=bool)
+    fresh[np.unique(cls, return_index=True)[1]] = True
+    return fresh & ~np.isin(cls, seen)
 
 
 def _fingerprints(k: int, num: int, den: int):
-    """Set sizes, classes and signatures; of a class only the first document of the task brings its signatures."""
+    """Set sizes, bands, classes and sketches; of a class only the first document of the task brings its sketch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part, hashes, sizes, cls in _documents(batch, k):
-                _, first = np.unique(cls, return_index=True)
-                fresh = np.zeros(len(cls), dtype=bool)
-                fresh[first] = True
-                fresh &= ~np.isin(cls, seen)
+                fresh = _first_of_each(cls, seen)
                 seen = np.concatenate([seen, cls[fresh]])
-                sig, per = signatures(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), bands)
-                columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), _lists(sig.view(np.int64), per)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "cls", "sigs"])
+                bits, width = sketches(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0))
+                ends = np.concatenate([[0], np.cumsum(width * 8)]).astype(np.int32)
+                sketch = pa.Array.from_buffers(pa.binary(), len(cls), [None, pa.py_buffer(ends), pa.py_buffer(bits)])
+                columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(bands.of(sizes), pa.int64()), pa.array(cls, pa.int64()), sketch]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "band", "cls", "sketch"])
+        give_back()
+
+    return task
+
+
+def _dealt_signatures(k: int, num: int, den: int, parts: int):
+    """Signatures by part, packed: runs of one node (a class in a band) with their lengths, and 32 bits of each signature.
+
+    32 bits and the part tell most signatures apart; where they do not, classes
+    meet that need not, and are told apart later.  Of a class only the first
+    document of the task brings its signatures.
+    """
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        part = ((sig >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((node, part))
+        sig, node, part = sig[order].astype(np.uint32), node[order], part[order]
+        run = np.ones(len(sig), dtype=bool)
+        run[1:] = (node[1:] != node[:-1]) | (part[1:] != part[:-1])
+        run[:: 1 << 15] = True  # so that lengths fit in 16 bits
+        run = np.flatnonzero(run)
+        number, at = np.unique(part, return_index=True)
+        at, of = np.append(at, len(sig)), np.searchsorted(run, np.append(at, len(sig)))
+        lengths = np.diff(np.append(run, len(sig))).astype(np.uint16)
+        columns = [pa.array(number, pa.int32())]
+        for values, cuts in ((node[run], of), (lengths, of), (sig, at)):
+            columns.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["part", "nodes", "lengths", "sigs"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen, held = Bands(num, den), np.zeros(0, dtype=np.int64), []
+        for batch in batches:
+            for _, hashes, sizes, cls in _documents(batch, k):
+                fresh = _first_of_each(cls, seen)
+                seen = np.concatenate([seen, cls[fresh]])
+                sig, doc, band = banded_signatures(hashes[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), bands)
+                held.append((sig, cls[doc] ^ band))
+                if sum(len(h[0]) for h in held) >= GATHERED:
+                    yield dealt(held)
+                    held = []
+        if any(len(h[0]) for h in held):
+            yield dealt(held)
+        held = []
         give_back()
 
     return task
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, cls) sorted by sig -> distinct pairs (class, first class of its signature); memory is one batch."""
-    last_sig, last_cls = None, 0
-    for batch in batches:
-        sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
+    """Packed signatures sorted by part -> distinct pairs (node, least node of its signature); memory is one part."""
+
+    def met(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        nodes, lengths, sig = (np.frombuffer(b"".join(h[i] for h in held), dtype=t) for i, t in enumerate((np.int64, np.uint16, np.uint32)))
+        node, order = np.repeat(nodes, lengths), np.argsort(sig)
+        same = sig[order][1:] == sig[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]  # most signatures are nobody else's
+        order = order[np.lexsort((node[order], sig[order]))]
+        sig, node = sig[order], node[order]
         new = np.ones(len(sig), dtype=bool)
         new[1:] = sig[1:] != sig[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-        hub = cls[first]
-        if last_sig is not None and sig[0] == last_sig:
-            hub[: np.argmax(new[1:]) + 1 if new[1:].any() else len(sig)] = last_cls
-        last_sig, last_cls = sig[-1], hub[-1]
-        pairs = np.unique(np.stack([cls, hub], axis=1)[cls != hub], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
+        hub = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        pairs = np.unique(np.stack([node, hub], axis=1)[node != hub], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["u", "v"])
+
+    key, held = None, []
+    for batch in batches:
+        for part, *packed in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            if part != key and held:
+                yield met(held)
+                held = []
+            key = part
+            held.append(packed)
+    if held:
+        yield met(held)
+    held = []
+    give_back()
+
+
+def alike_within(cls: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], side: np.ndarray, guest: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
+    """Pairs whose sketches do not rule them out, enough to connect all such pairs.
+
+    ``side`` tells the tiles of a pair apart (only cross pairs count then);
+    two ``guest`` classes of a band meet in their own band.
+    """
+    order = np.argsort(sizes, kind="stable")
+    cls, sizes, side, guest, bits = cls[order], sizes[order], side[order], guest[order], [bits[i] for i in order]
+    width, label, links, cross = np.array([len(b) for b in bits]), np.arange(len(order)), [], bool(side.any())
+    ends = np.searchsorted(sizes, sizes * bands.den // bands.num, side="right")
+    for w in np.unique(width).tolist():
+        first, last = np.searchsorted(width, [w, w + 1])
+        # sketches of larger sets are folded to this width: a bit is then the parity of those laid on it
+        rows = np.concatenate([_folded(bits, width, f, first, int(ends[last - 1]), w) for f in np.unique(width[first : ends[last - 1]]).tolist()])
+        for i in range(first, last):
+            js = np.arange(i + 1, ends[i])
+            use = label[js] != label[i]
+            if cross:
+                use &= side[js] != side[i]
+            if guest[i]:
+                use &= ~guest[js]
+            js = js[use]
+            if not len(js):
+                continue
+            total = sizes[i] + sizes[js]
+            apart = np.bitwise_count(rows[js - first] ^ rows[i - first]).sum(axis=1, dtype=np.int64)
+            js = js[apart <= total - 2 * bands.need(total)]
+            if len(js):
+                others, at = np.unique(label[js], return_index=True)
+                links += [(int(cls[i]), int(cls[j])) for j in js[at]]
+                label[np.isin(label, others)] = label[i]
+    return links
+
+
+def _folded(bits: list[np.ndarray], width: np.ndarray, wide: int, first: int, end: int, narrow: int) -> np.ndarray:
+    """The sketches of ``wide`` words among rows ``first`` to ``end``, folded to ``narrow`` words each."""
+    a, b = np.clip(np.searchsorted(width, [wide, wide + 1]), first, end)
+    return np.bitwise_xor.reduce(np.stack(bits[a:b]).reshape(b - a, -1, narrow), axis=1)
 
 
 class CountTree:
@@ -256,16 +384,16 @@ def links_within(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band
     return links
 
 
-def _join_tiles(num: int, den: int):
-    """Segments of equal (root, a, b), sorted by them -> links; memory is one pair of tiles."""
+def _join_tiles(num: int, den: int, whole: bool):
+    """Segments of equal (root, a, b), sorted by them -> links by whole sets or else pairs by sketches; memory is one pair of tiles."""
 
     def links_of(held: dict, bands: Bands) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
-        data, side = zip(*held.values(), strict=True)
-        cls, side = np.array(list(held), dtype=np.int64), np.array(side)
-        sets = [np.frombuffer(d, dtype=np.uint64) for d in data]
-        return links_within(cls, sets, side, bands)
+        data, side, n, guest = zip(*held.values(), strict=True)
+        cls, side = np.array([c for c, _ in held], dtype=np.int64), np.array(side)
+        words = [np.frombuffer(d, dtype=np.uint64) for d in data]
+        return links_within(cls, words, side, bands) if whole else alike_within(cls, np.array(n, dtype=np.int64), words, side, np.array(guest), bands)
 
     def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
@@ -274,11 +402,11 @@ def _join_tiles(num: int, den: int):
         bands, key, held = Bands(num, den), None, {}
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for root, a, b, cls, tile, data in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for root, a, b, cls, tile, n, guest, data in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if (root, a, b) != key:
                     links += links_of(held, bands)
                     key, held = (root, a, b), {}
-                held[cls] = (data, int(tile != a))
+                held[cls, guest] = (data, int(tile != a), n, guest)
             yield batch_of(links)
         yield batch_of(links_of(held, bands))
         held = {}
@@ -287,24 +415,24 @@ def _join_tiles(num: int, den: int):
     return task
 
 
-def _clusters(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """Components of ``edges`` joined with ``classes``: ``root, tiles`` and the columns of ``classes``.
+def _clusters(edges: DataFrame, nodes: DataFrame, size: Column) -> DataFrame:
+    """Components of ``edges`` joined with ``nodes`` by ``node``: ``root, tiles`` and the other columns of ``nodes``.
 
-    ``tiles``: so many that one holds ``TILE_CLASSES`` sets or ``TILE_BYTES`` on average.
+    ``tiles``: so many that one holds ``TILE_CLASSES`` rows or ``TILE_BYTES`` of ``size`` on average.
     """
-    members = connected_components(edges).join(classes, F.col("node") == F.col("cls")).drop("node")
-    tiles = members.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
+    members = connected_components(edges).withColumnRenamed("node", "_node").join(nodes, F.col("_node") == F.col("node")).drop("_node", "node")
+    tiles = members.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum(size) / TILE_BYTES)).cast("int").alias("tiles"))
     return members.join(tiles.select(F.col("root").alias("r"), "tiles"), F.col("root") == F.col("r")).drop("r")
 
 
-def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Deals ``root, tiles, cls, data`` out to pairs of tiles and joins inside each."""
+def _links(rows: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+    """Deals ``root, tiles, cls, n, guest, data`` out to pairs of tiles and joins inside each."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     dealt = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("root", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "cls", "tile", "data")
+    dealt = dealt.select("root", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "cls", "tile", "n", "guest", "data")
     dealt = dealt.repartition(partitions, "root", "a", "b").sortWithinPartitions("root", "a", "b")
-    return dealt.mapInArrow(_join_tiles(num, den), "u long, v long")
+    return dealt.mapInArrow(_join_tiles(num, den, whole), "u long, v long")
 
 
 def _sets(k: int):
@@ -314,7 +442,8 @@ def _sets(k: int):
                 ends = np.cumsum(sizes)
                 data = [hashes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
                 same = part.column(1).to_numpy() == cls
-                out = pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(1), pa.array(data, pa.binary())], names=["root", "tiles", "cls", "data"])
+                guest = np.zeros(len(data), dtype=bool)
+                out = pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(1), pa.array(sizes, pa.int64()), pa.array(guest), pa.array(data, pa.binary())], names=["root", "tiles", "cls", "n", "guest", "data"])
                 yield out.filter(pa.array(same))
         give_back()
 
@@ -333,21 +462,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     num, den = threshold
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    prints = source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, cls long, sigs array<long>")
-    thin = cut(prints.select("doc_id", "text_hash", "n", "cls"))  # signatures are many: made again below rather than kept on disk
-    classes = thin.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("d"))
+    thin = cut(source.mapInArrow(_fingerprints(k, num, den), f"doc_id {id_type}, text_hash long, n long, band long, cls long, sketch binary"))
+    classes = thin.where("n > 0").groupBy("cls", "n", "band").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("d"), F.max("sketch").alias("sketch"))
 
-    met = prints.select(F.explode("sigs").alias("sig"), "cls")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(met.repartition(partitions, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_meetings, "u long, v long"))
+    parts = max(partitions, (thin.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS)
+    met = source.mapInArrow(_dealt_signatures(k, num, den, parts), "part int, nodes binary, lengths binary, sigs binary")
+    met = cut(met.repartitionById(partitions, F.col("part") % partitions).sortWithinPartitions("part").mapInArrow(_meetings, "u long, v long"))
+
+    # a class is a node in its own band and a guest in the next
+    nodes = classes.select("cls", "n", F.col("sketch").alias("data"), "band", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest"))
+    nodes = nodes.select("cls", "n", "guest", "data", F.col("cls").bitwiseXOR(F.col("band") + F.col("guest").cast("long")).alias("node"))
+    alike = cut(_links(_clusters(met, nodes, F.length("data")), num, den, whole=False))
 
     # one document per class of a cluster brings its whole set
-    wanted = _clusters(met, classes)
+    wanted = _clusters(alike, classes.select(F.col("cls").alias("node"), "cls", "n", "d"), F.col("n") * 8)
     wanted = stored(wanted.select("root", "tiles", "cls", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("t")))
     held = bloom_filter(wanted, ["i", "t"])  # most texts are in no cluster and stay where they are, also where the list is too long to broadcast
     texts = source.where(passes(held, 0, lambda test: test(F.col("doc_id"), F.col("text_hash")))).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("text", "cls", "root", "tiles")
-    sets = texts.mapInArrow(_sets(k), "root long, tiles int, cls long, data binary")
-    linked = connected_components(_links(sets, num, den))
+    sets = texts.mapInArrow(_sets(k), "root long, tiles int, cls long, n long, guest boolean, data binary")
+    linked = connected_components(_links(sets, num, den, whole=True))
 
     named = classes.join(linked, F.col("cls") == F.col("node"), "left").select("cls", "n", F.col("d.doc_id").alias("least"), F.coalesce("root", "cls").alias("root"))
     ids = named.groupBy("root", (F.col("root") + F.lit(1)).alias("_r1")).agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")

@@ -4,10 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ROWS, docs, no_docs, words_of  # noqa: F401
 from pyspark.sql import functions as F
 
+from piisift.llm import jaccard
+from piisift.llm.common import stored
 from piisift.llm.exact_dedup import drop_copies, exact_groups
 from piisift.llm.grouping import common_prefixes, suffix_array
 from piisift.llm.jaccard import Bands, ngram_hashes, one_of_each_group, signatures, similar_groups
@@ -126,6 +129,59 @@ def test_similar_sets_share_a_signature():
             assert set(sig[: per[0]]) & set(sig[per[0] :])
 
 
+def test_unlike_texts_with_a_common_passage_bring_no_sets(spark, monkeypatch):
+    rng, brought = random.Random(3), []
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(10**9)}" for _ in range(60))])) for i in range(150)]
+    rows += [(200 + i, f"{text} end{i}") for i, (_, text) in enumerate(rows[:3])]
+    monkeypatch.setattr(jaccard, "stored", lambda df: brought.append(stored(df)) or brought[-1])
+    got = sorted((tuple(r) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=5, threshold=(80, 100)).collect()), key=str)
+    assert got == brute_components(rows, 5, 80, 100)
+    assert brought[0].count() == 6
+
+
+def test_sketches_part_no_similar_sets():
+    rng, bands = np.random.default_rng(4), Bands(80, 100)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 700)), dtype=np.uint64)
+        for _ in range(5):
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.2], base[:1], rng.integers(0, 2**63, int(rng.integers(0, len(base) // 7 + 1)), dtype=np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    words, width = jaccard.sketches(np.concatenate(sets), sizes)
+    bits = np.split(words, np.cumsum(width)[:-1])
+    for side in (np.zeros(len(sets), dtype=int), np.arange(len(sets)) % 2):
+        root = list(range(len(sets)))
+        for u, v in jaccard.alike_within(np.arange(len(sets)), sizes, bits, side, np.zeros(len(sets), dtype=bool), bands):
+            root = [root[u] if r == root[v] else r for r in root]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both) and (side[i] != side[j] or not side.any()):
+                    assert root[i] == root[j]
+        assert len(set(root)) >= 40
+
+
+def test_dealt_signatures_meet(monkeypatch):
+    """Whatever is gathered and however many parts there are, classes of one signature in a band come together."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(40))) for _ in range(150)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    by_signature = {}
+    for _, hashes, sizes, cls in jaccard._documents(batch, 2):
+        for s, d, band in zip(*(x.tolist() for x in jaccard.banded_signatures(hashes, sizes, Bands(80, 100))), strict=True):
+            by_signature.setdefault(s, set()).add(int(cls[d]) ^ band)
+    for gathered, parts in ((1, 7), (1 << 20, 1), (500, 40)):
+        monkeypatch.setattr(jaccard, "GATHERED", gathered)
+        rows = sorted((r for b in jaccard._dealt_signatures(2, 80, 100, parts)(iter([batch])) for r in b.to_pylist()), key=lambda r: r["part"])
+        pairs = [p for b in jaccard._meetings(pa.RecordBatch.from_pylist(rows[i : i + 9]) for i in range(0, len(rows), 9)) for p in b.to_pylist()]
+        together = {}
+        for p in pairs:
+            together.setdefault(p["u"], set()).add(p["v"])
+        for nodes in by_signature.values():
+            assert all(min(nodes) in together[n] for n in nodes if n != min(nodes))
+
+
 def test_one_of_each_group(docs):
     out = one_of_each_group(docs, k=5, threshold=(80, 100))
     assert out.columns == docs.columns
