@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from piisift.llm.common import give_back, spans_of, text_array, text_slices
 
-WINDOW, END_ID, POOL_TOKENS, MIN_FILL, CACHE_WORDS, SLICE = 2048, 1, 2 << 20, 0.97, 300_000, 12 << 20
+WINDOW, END_ID, POOL_TOKENS, MIN_FILL, CACHE_WORDS = 2048, 1, 2 << 20, 0.97, 300_000
+#: Text bytes tokenised at once, and tokens of a batch of pieces: what a task holds besides its pool.
+SLICE, OUT_TOKENS = 2 << 20, 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -299,6 +301,19 @@ class TaskPacker:
         self.docs, self.tokens = moved, sum(len(d[2]) for d in moved)
 
 
+def _gathered(pieces: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """The pieces in order, in lists of at most 4,096 and of ``OUT_TOKENS`` tokens or one piece more."""
+    out, tokens = [], 0
+    for piece in pieces:
+        out.append(piece)
+        tokens += len(piece[2])
+        if len(out) == 4096 or tokens >= OUT_TOKENS:
+            yield out
+            out, tokens = [], 0
+    if out:
+        yield out
+
+
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, min_fill: float = MIN_FILL
 ) -> DataFrame:
@@ -323,20 +338,19 @@ def pack_documents(
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, out = WordTokenizer(path), TaskPacker(window, min_fill), []
-        for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
-                ids, tokens = words.encode(text_array(part))
-                ends = np.cumsum(tokens)
-                for doc_id, end, n in zip(part.column(0).to_pylist(), ends, tokens, strict=True):
-                    out.extend(packer.add(doc_id, ids[end - n : end].copy()))
-                    if len(out) >= 4096:
-                        yield rows(out)
-                        out = []
-        out.extend(packer.finish())
-        for i in range(0, len(out), 4096):
-            yield rows(out[i : i + 4096])
-        del words, packer, out
+        words, packer = WordTokenizer(path), TaskPacker(window, min_fill)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for part in text_slices(batch, limit=SLICE):
+                    ids, tokens = words.encode(text_array(part))
+                    ends = np.cumsum(tokens)
+                    for doc_id, end, n in zip(part.column(0).to_pylist(), ends, tokens, strict=True):
+                        yield from packer.add(doc_id, ids[end - n : end].copy())
+            yield from packer.finish()
+
+        yield from map(rows, _gathered(pieces()))
+        del words, packer, pieces
         give_back()
 
     ddl = f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

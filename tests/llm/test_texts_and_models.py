@@ -48,6 +48,14 @@ def test_packing_round_trip(docs, no_docs, monkeypatch, pool):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_packed_pieces_leave_in_small_batches():
+    pieces = [(i, 0, np.zeros(n, dtype=np.uint32), n, 0, 0) for i, n in enumerate([2048] * 700 + [1] * 9000)]
+    batches = list(packing._gathered(iter(pieces)))
+    assert [p[0] for b in batches for p in b] == list(range(len(pieces)))
+    assert all(len(b) <= 4096 and sum(len(p[2]) for p in b) < packing.OUT_TOKENS + packing.WINDOW for b in batches)
+    assert list(packing._gathered(iter([]))) == []
+
+
 def test_word_tokenizer_equals_library():
     words = packing.WordTokenizer(packing.default_tokenizer())
     texts = ["", " a", "don't<|endoftext|>x", "İstanbul ﬁ é été ÉTÉ", "'sun's 12'3 <| $$$'ll", "\x1c a\x85b", "日本語 テスト", "a‍b ß ª º × ÷", "it's I'LL we've x'y 'tis", *[r[1] or "" for r in ROWS]]
