@@ -209,18 +209,19 @@ def _fingerprints(k: int, num: int, den: int):
 
 
 def _dealt_signatures(k: int, num: int, den: int, parts: int):
-    """Signatures by part, packed: runs of one node (a class in a band) with their lengths, and 32 bits of each signature.
+    """Signatures by part, packed: runs of one node (a class in a band) with their lengths, and 40 bits of each signature.
 
-    32 bits and the part tell most signatures apart; where they do not, classes
-    meet that need not, and are told apart later.  Of a class only the first
+    40 bits and the part tell nearly all signatures apart; where they do not,
+    classes meet that need not, and are told apart later (32 bits would let
+    enough meet to make one cluster of all bands).  Of a class only the first
     document of the task brings its signatures.
     """
 
     def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sig, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        part = ((sig >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        part = ((sig >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((node, part))
-        sig, node, part = sig[order].astype(np.uint32), node[order], part[order]
+        sig, node, part = sig[order], node[order], part[order]
         run = np.ones(len(sig), dtype=bool)
         run[1:] = (node[1:] != node[:-1]) | (part[1:] != part[:-1])
         run[:: 1 << 15] = True  # so that lengths fit in 16 bits
@@ -229,9 +230,9 @@ def _dealt_signatures(k: int, num: int, den: int, parts: int):
         at, of = np.append(at, len(sig)), np.searchsorted(run, np.append(at, len(sig)))
         lengths = np.diff(np.append(run, len(sig))).astype(np.uint16)
         columns = [pa.array(number, pa.int32())]
-        for values, cuts in ((node[run], of), (lengths, of), (sig, at)):
+        for values, cuts in ((node[run], of), (lengths, of), (sig.astype(np.uint32), at), ((sig >> np.uint64(32)).astype(np.uint8), at)):
             columns.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, names=["part", "nodes", "lengths", "sigs"])
+        return pa.RecordBatch.from_arrays(columns, names=["part", "nodes", "lengths", "low", "high"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, held = Bands(num, den), np.zeros(0, dtype=np.int64), []
@@ -255,8 +256,9 @@ def _dealt_signatures(k: int, num: int, den: int, parts: int):
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed signatures sorted by part -> distinct pairs (node, least node of its signature); memory is one part."""
 
-    def met(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        nodes, lengths, sig = (np.frombuffer(b"".join(h[i] for h in held), dtype=t) for i, t in enumerate((np.int64, np.uint16, np.uint32)))
+    def met(held: list[list[bytes]]) -> pa.RecordBatch:
+        nodes, lengths, low, high = (np.frombuffer(b"".join(h[i] for h in held), dtype=t) for i, t in enumerate((np.int64, np.uint16, np.uint32, np.uint8)))
+        sig = high.astype(np.uint64) << np.uint64(32) | low
         node, order = np.repeat(nodes, lengths), np.argsort(sig)
         same = sig[order][1:] == sig[order][:-1]
         order = order[np.append(same, False) | np.append(False, same)]  # most signatures are nobody else's
@@ -270,7 +272,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key, held = None, []
     for batch in batches:
-        for part, *packed in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+        for part, *packed in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
             if part != key and held:
                 yield met(held)
                 held = []
@@ -467,7 +469,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(partitions, (thin.agg(F.sum("n")).first()[0] or 0) // PART_NGRAMS)
-    met = source.mapInArrow(_dealt_signatures(k, num, den, parts), "part int, nodes binary, lengths binary, sigs binary")
+    met = source.mapInArrow(_dealt_signatures(k, num, den, parts), "part int, nodes binary, lengths binary, low binary, high binary")
     met = cut(met.repartitionById(partitions, F.col("part") % partitions).sortWithinPartitions("part").mapInArrow(_meetings, "u long, v long"))
 
     # a class is a node in its own band and a guest in the next
