@@ -28,7 +28,7 @@ from piisift.llm.common import give_back, spans_of, text_array, text_slices
 
 WINDOW, END_ID, POOL_TOKENS, MIN_FILL, CACHE_WORDS = 2048, 1, 2 << 20, 0.97, 300_000
 #: Text bytes tokenised at once, and tokens of a batch of pieces: what a task holds besides its pool.
-SLICE, OUT_TOKENS = 2 << 20, 1 << 19
+SLICE, OUT_TOKENS = 1 << 20, 1 << 18
 
 
 def default_tokenizer() -> str:
@@ -338,7 +338,9 @@ def pack_documents(
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the stage before has left in this worker
         words, packer = WordTokenizer(path), TaskPacker(window, min_fill)
+        give_back()
 
         def pieces() -> Iterator[tuple]:
             for batch in batches:
